@@ -19,7 +19,7 @@ def distance_m(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column, radiu
     la, oa, lb, ob = (F.radians(_finite(c)) for c in (lat_a, lon_a, lat_b, lon_b))
     half = lambda x: F.sin(x / 2) * F.sin(x / 2)
     h = half(lb - la) + F.cos(la) * F.cos(lb) * half(ob - oa)
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * radius * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 # 30 m is at most 0.00028 degrees of latitude; of longitude, 0.0006 up to 63

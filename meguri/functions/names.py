@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meguri.functions import vocab
@@ -157,14 +157,16 @@ def tokens(normalized: Column, lexicon=None, noise=None) -> Column:
 
 
 def name_features(name: Column, lexicon=None) -> Column:
-    """P6-P8 together: struct(normalized, tokens, canonical, skeleton)."""
+    """P6-P8 together: struct(normalized, tokens, canonical, skeleton).
+
+    For a whole table, :func:`with_name` computes the same in steps.
+    """
     normalized = normalize_name(name)
-    return _features(normalized, tokens(normalized, lexicon))
+    return _features(normalized, tokens(normalized, lexicon), romanize(normalized))
 
 
-def _features(normalized: Column, toks: Column) -> Column:
+def _features(normalized: Column, toks: Column, whole: Column) -> Column:
     canonical = F.array_join(toks, "")
-    whole = romanize(normalized)
     return F.struct(
         normalized.alias("normalized"),
         toks.alias("tokens"),
@@ -173,6 +175,17 @@ def _features(normalized: Column, toks: Column) -> Column:
     )
 
 
+def with_name(df: DataFrame, name: str = "building_name", out: str = "name", lexicon=None) -> DataFrame:
+    """P6-P8 as a column of ``df``; steps keep each intermediate value computed once."""
+    normalized = F.col("_name_normalized")
+    return (
+        df.withColumn("_name_normalized", normalize_name(F.col(name)))
+        .withColumns({"_name_tokens": tokens(normalized, lexicon), "_name_whole": romanize(normalized)})
+        .withColumn(out, _features(normalized, F.col("_name_tokens"), F.col("_name_whole")))
+        .drop("_name_normalized", "_name_tokens", "_name_whole")
+    )
+
+
 def is_unnamed(name: Column) -> Column:
     """NULL, blank, or the unknown-name sentinel (never the blank-name one)."""
     return trim_space(F.coalesce(name, F.lit(""))).isin("", vocab.UNKNOWN_NAME)

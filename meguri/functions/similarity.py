@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _both_empty(a: Column, b: Column) -> Column:
@@ -90,7 +91,7 @@ def _jaro_winkler_pair(a: str, b: str) -> float:
     return jaro + lead * 0.1 * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler (prefix 4, weight 0.1); Spark has no built-in for it."""
     return pd.Series(
@@ -147,8 +148,8 @@ def common_depth(a: Column, b: Column) -> Column:
     return F.when(first > 0, first - 1).otherwise(F.size(pairs)).cast("int")
 
 
-def block_relation(a: Column, b: Column) -> Column:
-    depth = common_depth(a, b)
+def block_relation(a: Column, b: Column, depth: Column | None = None) -> Column:
+    depth = common_depth(a, b) if depth is None else depth
     return (
         F.when((F.size(a) == 0) | (F.size(b) == 0), "unknown")
         .when((depth == F.size(a)) & (depth == F.size(b)), "equal")
@@ -157,28 +158,32 @@ def block_relation(a: Column, b: Column) -> Column:
     )
 
 
-def address_similarity(a: Column, b: Column) -> Column:
-    """Compare two P1 structs: struct(score, exact, locality_match, locality_similarity, relation, depth)."""
-    exact = (F.length(a["normalized"]) > 0) & (a["normalized"] == b["normalized"])
-    locality = same_locality(a["locality"], b["locality"])
-    locality_ratio = levenshtein_ratio(a["locality"], b["locality"])
-    relation = block_relation(a["blocks"], b["blocks"])
-    unknown = relation == "unknown"
-    depth = F.when(unknown, 0).otherwise(common_depth(a["blocks"], b["blocks"]))
+def address_score(a: Column, b: Column, exact: Column, local: Column, relation: Column, depth: Column) -> Column:
     share = depth / F.greatest(F.size(a["blocks"]), F.size(b["blocks"]), F.lit(1))
-    score = (
+    return (
         F.when(exact, 1.0)
-        .when(~locality, locality_ratio * 0.5)
+        .when(~local, levenshtein_ratio(a["locality"], b["locality"]) * 0.5)
         .when(relation == "equal", 0.97)
         .when(relation == "prefix", 0.85 + 0.1 * share)
         .when(relation == "divergent", 0.45 + 0.25 * share)
         .otherwise(0.6)
     )
+
+
+def address_similarity(a: Column, b: Column) -> Column:
+    """Compare two P1 structs.
+
+    struct(score, exact, locality_match, locality_similarity, relation, depth)
+    """
+    exact = (F.length(a["normalized"]) > 0) & (a["normalized"] == b["normalized"])
+    local = same_locality(a["locality"], b["locality"])
+    depth = common_depth(a["blocks"], b["blocks"])
+    relation = block_relation(a["blocks"], b["blocks"], depth)
     return F.struct(
-        round4(score).alias("score"),
+        round4(address_score(a, b, exact, local, relation, depth)).alias("score"),
         exact.alias("exact"),
-        locality.alias("locality_match"),
-        round4(locality_ratio).alias("locality_similarity"),
+        local.alias("locality_match"),
+        round4(levenshtein_ratio(a["locality"], b["locality"])).alias("locality_similarity"),
         relation.alias("relation"),
-        depth.alias("depth"),
+        F.when(relation == "unknown", 0).otherwise(depth).alias("depth"),
     )

@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from meguri.functions.vocab import SPACE_CLASS
 
@@ -21,7 +22,7 @@ from meguri.functions.vocab import SPACE_CLASS
 _STABLE = r"^[\x00-\x7Fぁ-ゖァ-ヺー一-鿿〇々、。「」・−–—―‐]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 

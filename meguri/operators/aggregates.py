@@ -32,7 +32,7 @@ def refresh_buildings(buildings: DataFrame, history: DataFrame, candidates: Data
     out = buildings.drop("distribution_count", "last_distributed_date").join(rolled, "id", "left")
     count = F.coalesce("distribution_count", F.lit(0)).cast("long")
     if candidates is None:
-        pending, out = F.lit(False), out
+        pending = F.lit(False)
     else:
         waiting = pending_counts(candidates).withColumnRenamed("building_id", "id")
         out = out.join(waiting, "id", "left")
@@ -257,8 +257,8 @@ def completion_outcome(completed: DataFrame) -> DataFrame:
 
 def table_counts(**tables: DataFrame) -> DataFrame:
     """One row with the row count of each table."""
-    counts = [df.agg(F.count("*").alias(name)) for name, df in tables.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.join(c)  # each side is exactly one row
-    return out
+    parts = [df.agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.agg(*[F.max(F.when(F.col("table") == name, F.col("n"))).alias(name) for name in tables])

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from datetime import date, timedelta
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meguri.functions import vocab
@@ -226,19 +226,11 @@ def path_pattern(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")), F.when(anchored, "$").otherwise(""))
 
 
-def robots_rules(groups: DataFrame) -> DataFrame:
-    """Rule groups (host?, group_no, user_agents, rules, crawl_delay_ms) -> one row per agent and rule."""
-    keep = [c for c in ("host", "group_no", "crawl_delay_ms") if c in groups.columns]
-    return groups.select(
-        *keep, F.explode("user_agents").alias("agent"), F.explode_outer("rules").alias("rule")
-    ).select(*keep, F.lower("agent").alias("agent"), "rule.type", "rule.path")
-
-
 def _agent_groups(groups: DataFrame, agent: str) -> DataFrame:
     """The group that binds ``agent`` on each host: longest agent token contained
     in it, else the first ``*`` group."""
-    token = F.explode("user_agents")
-    tokens = groups.select("host", "group_no", F.lower(token).alias("token"))
+    named = groups.select("host", "group_no", F.explode("user_agents").alias("token"))
+    tokens = named.withColumn("token", F.lower("token"))
     fits = tokens.filter((F.col("token") == "*") | F.lit(agent.lower()).contains(F.col("token")))
     specific = (F.col("token") != "*").cast("int")
     rank = F.struct(specific, specific * F.length("token"), -F.col("group_no"))
@@ -275,7 +267,3 @@ def robots_decision(urls: DataFrame, groups: DataFrame, agent: str) -> DataFrame
         "url", (~denied).alias("allowed"),
         F.when(denied, F.col("rule.path")).alias("denied_by"), "crawl_delay_ms",
     )
-
-
-def row_order(*cols) -> Window:
-    return Window.orderBy(*cols)

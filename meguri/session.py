@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", partitions: int = 8, name: str = "meguri") -> SparkSession:
@@ -56,3 +57,12 @@ def settled(df: DataFrame, label: str = "step") -> DataFrame:
 def fits_broadcast(df: DataFrame, limit_rows: int = 100_000) -> bool:
     """True when ``df`` is shown to have at most ``limit_rows`` rows."""
     return df.limit(limit_rows + 1).count() <= limit_rows
+
+
+def only_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on computed columns without computing them again in the filter.
+
+    Spark moves a filter below the projection it reads from by copying the
+    expressions into it; a column it may not copy keeps the filter in place.
+    """
+    return df.withColumn("_here", F.spark_partition_id()).filter(condition & (F.col("_here") >= 0)).drop("_here")
