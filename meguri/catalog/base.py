@@ -208,7 +208,7 @@ def sql_metres(la: str, oa: str, lb: str, ob: str, radius: float = 6371008.8) ->
         f"pow(sin((radians({lb})-radians({la}))/2),2)+cos(radians({la}))*cos(radians({lb}))"
         f"*pow(sin((radians({ob})-radians({oa}))/2),2)"
     )
-    return f"(2*{radius}*asin(least(1.0,sqrt({h}))))"
+    return f"(2*{radius}*asin(sqrt({h})))"
 
 
 _MASTER_SQL = f"""

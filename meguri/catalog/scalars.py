@@ -101,10 +101,11 @@ def p7(t: Tables):
     return done.select("building_id", F.array_join("f.tokens", " ").alias("tokens"), "f.canonical")
 
 
-@query("p8_romanized_names", f"""
-WITH r(k, a, b) AS (VALUES (0,'gurando','mezon'),(1,'royar','kort'),(2,'san','haitu'),(3,'gren','park'))
-SELECT n.building_id, CASE WHEN n.building_id % 2 = 0 THEN concat(['gurando','','san',''][w1+1],['mezon','koto','haitu','paku'][w2+1],CAST(n.building_id % 50 AS VARCHAR))
- ELSE concat(['','royar','','gren'][w1+1],['maison','kort','heights','park'][w2+1],CAST(n.building_id % 50 AS VARCHAR)) END AS romaji FROM names n""")
+@query("p8_romanized_names", """
+SELECT building_id, replace(replace(replace(CASE WHEN building_id % 2 = 0
+  THEN concat(['gurando','','san',''][w1+1],['mezon','koto','haitu','paku'][w2+1],CAST(building_id % 50 AS VARCHAR))
+  ELSE concat(['','royar','','gren'][w1+1],['maison','kort','heights','park'][w2+1],CAST(building_id % 50 AS VARCHAR)) END,
+ 'nm','m'),'np','mp'),'ts','t') AS romaji FROM names""")
 def p8(t: Tables):
     return t.names.select("building_id", names.romanize(names.normalize_name(F.col("name"))).alias("romaji"))
 
@@ -254,11 +255,6 @@ def p25(t: Tables):
 
 
 # -- pairs ----------------------------------------------------------------------
-_PAIR_SQL = f"""p AS (SELECT a.building_id, {sql_normal_name('a.name')} AS x, {sql_normal_name('b.name')} AS y,
- list_filter(string_split_regex({sql_normal_name('a.name')},'(?:)'),c -> c <> '') AS unused
- FROM names a JOIN names b ON b.building_id = a.building_id + 4)"""
-
-
 def _pairs(t: Tables):
     n = names.with_name(t.names, "name", "f").select("building_id", "f")
     m = n.select((F.col("building_id") - 4).alias("building_id"), F.col("f").alias("g"))
@@ -324,7 +320,7 @@ def n1_same(t: Tables):
 WITH p AS (SELECT a.building_id, lower(concat(a.city,a.town)) AS la, lower(concat(b.city,b.town)) AS lb, a.chome AS a1, a.block AS a2, a.house AS a3,
  b.chome AS b1, b.block AS b2, b.house AS b3 FROM buildings a JOIN buildings b ON b.building_id = a.building_id + 120),
 q AS (SELECT *, CASE WHEN a1 <> b1 THEN 0 WHEN a2 <> b2 THEN 1 WHEN a3 <> b3 THEN 2 ELSE 3 END AS d,
- (greatest(length(la),length(lb)) - levenshtein(la,lb)) / greatest(length(la),length(lb)) AS r FROM p)
+ (greatest(length(la),length(lb)) - levenshtein(replace(la,'区','#'),replace(lb,'区','#'))) / greatest(length(la),length(lb)) AS r FROM p)
 SELECT building_id, floor((CASE WHEN la <> lb THEN r * 0.5 WHEN d = 3 THEN 1.0 ELSE 0.45 + 0.25 * d / 3 END) * 10000 + 0.5) / 10000 AS score,
  la = lb AS locality_match, CASE WHEN d = 3 THEN 'equal' ELSE 'divergent' END AS relation, d AS depth FROM q""")
 def j7(t: Tables):

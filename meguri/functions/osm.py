@@ -76,7 +76,9 @@ def convert_elements(elements: DataFrame, prefecture: str | None = None, city: s
         "_name": name_of_tags(tags), "_building": F.coalesce(F.lower(tag(tags, "building")), F.lit("")),
         "_residential": F.lower(tag(tags, "residential")), "_use": _raw(tags, "building:use"), "_mixed": mixed,
         "total_units": units_of_tags(tags), "_address": address_of_tags(tags, prefecture, city), "_place": place,
-    }).withColumn("_term", first_term(nfkc(F.col("_name")))).withColumn("_category", term_category(F.col("_term")))
+    }).withColumn("_folded_name", nfkc(F.col("_name")))
+    staged = staged.withColumn("_term", first_term(F.col("_folded_name")))
+    staged = staged.withColumn("_category", term_category(F.col("_term")))
 
     name_multi = F.coalesce(F.col("_category") == "residential_multi", F.lit(False))
     name_off = F.col("_category").isNotNull() & ~name_multi
