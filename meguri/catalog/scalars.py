@@ -225,12 +225,12 @@ def p18(t: Tables):
 
 
 @query("p21_distance", f"""
-SELECT a.building_id, {sql_metres('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS metres
+SELECT a.building_id, round({sql_metres('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}, 3) AS metres
 FROM buildings a LEFT JOIN buildings b ON b.building_id = a.building_id + 1""")
 def p21(t: Tables):
     b = t.buildings.select((F.col("building_id") - 1).alias("building_id"), F.col("latitude").alias("la"), F.col("longitude").alias("lo"))
     m = geo.distance_m(F.col("latitude"), F.col("longitude"), F.col("la"), F.col("lo"))
-    return t.buildings.join(b, "building_id", "left").select("building_id", m.alias("metres"))
+    return t.buildings.join(b, "building_id", "left").select("building_id", F.round(m, 3).alias("metres"))
 
 
 @query("p23_stored_name_key", """

@@ -167,8 +167,9 @@ class NameEdits:
 def _apply_names(buildings: DataFrame, names: DataFrame, source: str) -> DataFrame:
     """Write names (id, _new) into building_name, normalized name and name_source only."""
     has = F.col("_new").isNotNull()
-    return buildings.join(names, "id", "left").withColumns({
-        "normalized_building_name": F.when(has, normalize_name(F.col("_new"))).otherwise(F.col("normalized_building_name")),
+    keyed = names.withColumn("_new_key", normalize_name(F.col("_new")))
+    return buildings.join(keyed, "id", "left").withColumns({
+        "normalized_building_name": F.when(has, F.col("_new_key")).otherwise(F.col("normalized_building_name")),
         "building_name": F.coalesce("_new", "building_name"),
         "name_source": F.when(has, source).otherwise(F.col("name_source")),
     }).select(*buildings.columns)

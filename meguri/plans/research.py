@@ -216,19 +216,20 @@ def _patch(buildings: DataFrame, values: DataFrame, keep_null: Column) -> DataFr
     value_of = lambda f: F.max_by(F.struct("value"), F.when(F.col("field_name") == f, F.col("seq")))
     wide = values.groupBy("id").agg(*[value_of(f).alias(f"_{f}") for f in vocab.RESEARCH_FIELDS])
     wide = wide.withColumns({f"_{f}": F.when(F.col(f"_{f}.value").isNotNull() | keep_null[f], F.col(f"_{f}")) for f in vocab.RESEARCH_FIELDS})
+    # Normal forms are worked out for the changed rows alone, before the join.
+    wide = with_address(wide, "_address.value", "_addr").withColumn("_name_key", normalize_name(F.col("_building_name.value")))
     joined = buildings.join(wide, "id", "left")
-    new = {f: F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.value")) for f in vocab.RESEARCH_FIELDS}
+    new = {f: F.col(f"_{f}.value") for f in vocab.RESEARCH_FIELDS}
     has = {f: F.col(f"_{f}").isNotNull() for f in vocab.RESEARCH_FIELDS}
-    joined = with_address(joined.withColumn("_new_address", new["address"]), "_new_address", "_addr")
-    blank = F.coalesce(new["building_name"], F.lit(""))
+    pick = lambda f, value: F.when(has[f], value)
     out = joined.withColumns({
-        "normalized_building_name": F.when(has["building_name"], normalize_name(blank)).otherwise(F.col("normalized_building_name")),
-        "building_name": F.when(has["building_name"], blank).otherwise(F.col("building_name")),
-        "normalized_address": F.when(has["address"], F.col("_addr.normalized")).otherwise(F.col("normalized_address")),
-        "address": F.when(has["address"], new["address"]).otherwise(F.col("address")),
-        "total_units": F.when(has["total_units"], new["total_units"].try_cast("int")).otherwise(F.col("total_units")),
-        "property_type": F.when(has["property_type"], F.coalesce(new["property_type"], F.lit("unknown"))).otherwise(F.col("property_type")),
-        "building_type": F.when(has["building_type"], new["building_type"]).otherwise(F.col("building_type")),
+        "normalized_building_name": pick("building_name", F.col("_name_key")).otherwise(F.col("normalized_building_name")),
+        "building_name": pick("building_name", F.coalesce(new["building_name"], F.lit(""))).otherwise(F.col("building_name")),
+        "normalized_address": pick("address", F.col("_addr.normalized")).otherwise(F.col("normalized_address")),
+        "address": pick("address", new["address"]).otherwise(F.col("address")),
+        "total_units": pick("total_units", new["total_units"].try_cast("int")).otherwise(F.col("total_units")),
+        "property_type": pick("property_type", F.coalesce(new["property_type"], F.lit("unknown"))).otherwise(F.col("property_type")),
+        "building_type": pick("building_type", new["building_type"]).otherwise(F.col("building_type")),
     })
     if "name_source" in buildings.columns:
         out = out.withColumn("name_source", F.when(has["building_name"], "csv").otherwise(F.col("name_source")))
