@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from meguri.catalog import jobs, lists, matching, scalars  # noqa: F401
+from meguri.catalog import jobs, lists, matching, scalars, sources  # noqa: F401
 from meguri.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -96,13 +96,11 @@ def convert_elements(elements: DataFrame, prefecture: str | None = None, city: s
         (name_off, "name_excluded", F.concat(F.lit("建物名「"), "_name", F.lit("」に「"), "_term", F.lit("」が含まれるため対象外"))),
         (F.col("_address").isNull() & F.col("_place").isNull(), "no_address", F.lit("住所タグも座標も無いため登録しない")),
     ]
-    reason, detail = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for condition, name, text in reversed(rules):
-        reason = F.when(condition, F.lit(name)).otherwise(reason)
-        detail = F.when(condition, text).otherwise(detail)
+    refusals = [F.when(c, F.struct(F.lit(name).alias("reason"), text.alias("detail"))) for c, name, text in rules]
+    staged = staged.withColumn("_refused", F.try_element_at(F.array_compact(F.array(*refusals)), F.lit(1)))
     has_address = F.col("_address").isNotNull()
-    return staged.withColumns({"reason": reason, "detail": detail}).select(
-        "type", "id", F.col("reason").isNull().alias("accepted"), "reason", "detail",
+    return staged.select(
+        "type", "id", F.col("_refused").isNull().alias("accepted"), "_refused.reason", "_refused.detail",
         F.concat(F.lit("osm:"), "type", F.lit("/"), F.col("id").cast("string")).alias("source_ref"),
         F.coalesce("_name", F.lit(vocab.UNKNOWN_NAME)).alias("building_name"),
         F.coalesce("_address", F.lit("")).alias("address"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meguri.functions.osm import convert_elements
 from meguri.operators.joins import complete_addresses
+from meguri.session import only_where, settled
 
 POINTS_PER_TILE = 1500
 MAX_SIDE = 4
@@ -80,7 +81,7 @@ def assign_tiles(rows: DataFrame, points: DataFrame, by: str) -> DataFrame:
 def records_of_elements(elements: DataFrame, points: DataFrame, prefecture: str, city: str, town: str | None = None) -> DataFrame:
     """Accepted elements as source records, addresses completed from the
     nearest reference point; records still without an address are dropped."""
-    accepted = convert_elements(elements, prefecture, city).filter("accepted")
+    accepted = settled(only_where(convert_elements(elements, prefecture, city), F.col("accepted")), "accepted")
     has = accepted.filter("address <> ''")
     open_rows = accepted.filter("address = '' and latitude is not null").withColumn("row_no", F.col("source_ref"))
     done = complete_addresses(open_rows, points, prefecture, city).filter("completed_address is not null").withColumns({
