@@ -19,6 +19,7 @@ from meguri.functions.address import with_address
 from meguri.functions.names import normalize_name
 from meguri.operators.aggregates import refresh_buildings
 from meguri.plans.ingest import Snapshot
+from meguri.session import settled
 
 _DIGITS = "translate(n.n_name,'0123456789_','ABCDEFGHIJ')"
 
@@ -166,9 +167,12 @@ class Tables:
         """The stored buildings with count, date and status from the history."""
         return refresh_buildings(self.unserved_master, self.stored_history, self.candidates)
 
-    @property
+    @cached_property
     def snapshot(self) -> Snapshot:
-        return Snapshot(self.master, self.stored_history, self.candidates)
+        """The stored tables as a job finds them: written, not views."""
+        return Snapshot(
+            settled(self.master, "master"), settled(self.stored_history, "history"), settled(self.candidates, "pairs")
+        )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -122,13 +122,13 @@ def t4(t: Tables):
 
 @query("t5_reconcile")
 def t5(t: Tables):
-    cities = t.master.select("city").distinct()
+    cities = t.snapshot.buildings.select("city").distinct()
     return I.reconcile(t.snapshot, cities).after.buildings.select("id", "status")
 
 
 @query("t5_reconcile_counts")
 def t5_counts(t: Tables):
-    return I.reconcile(t.snapshot, t.master.select("city").distinct()).counts
+    return I.reconcile(t.snapshot, t.snapshot.buildings.select("city").distinct()).counts
 
 
 @query("t6_mark_distributed", """
@@ -136,7 +136,7 @@ SELECT id, CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN 'CONFIRMED_DISTRIBUTED' ELS
  CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN distribution_count + 1 ELSE distribution_count END AS distribution_count,
  CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN DATE '2026-03-01' ELSE last_distributed_date END AS last_distributed_date FROM master""")
 def t6(t: Tables):
-    chosen = t.master.filter(F.col("id").cast("long") % 6 == 0).select("id")
+    chosen = t.snapshot.buildings.filter(F.col("id").cast("long") % 6 == 0).select("id")
     after = I.mark_distributed(t.snapshot, chosen, date(2026, 3, 1), "配布班", "")
     return after.buildings.select("id", "status", "distribution_count", "last_distributed_date")
 
@@ -144,7 +144,7 @@ def t6(t: Tables):
 @query("t6_pairs_after", """
 SELECT id, CASE WHEN status = 'pending' AND CAST(new_building_id AS BIGINT) % 6 = 0 THEN 'same' ELSE status END AS status FROM pairs""")
 def t6_pairs(t: Tables):
-    chosen = t.master.filter(F.col("id").cast("long") % 6 == 0).select("id")
+    chosen = t.snapshot.buildings.filter(F.col("id").cast("long") % 6 == 0).select("id")
     return I.mark_distributed(t.snapshot, chosen, date(2026, 3, 1)).candidates.select("id", "status")
 
 
@@ -171,8 +171,8 @@ SELECT m.id, CASE WHEN CAST(m.id AS BIGINT) % 30 = 20 THEN concat('新名 ',m.id
 def t8(t: Tables):
     k = F.col("id").cast("long")
     name = F.when(k % 30 == 0, " ").when(k % 30 == 10, F.repeat(F.lit("長"), 201)).otherwise(F.concat(F.lit("新名 "), "id"))
-    edits = t.master.filter(k % 10 == 0).select("id", name.alias("building_name"))
-    return N.edit_names(t.master, edits).buildings.select("id", "building_name", "normalized_building_name", "name_source")
+    edits = t.snapshot.buildings.filter(k % 10 == 0).select("id", name.alias("building_name"))
+    return N.edit_names(t.snapshot.buildings, edits).buildings.select("id", "building_name", "normalized_building_name", "name_source")
 
 
 @query("t9_apply_name_list", f"""WITH {_CHECKED_SQL}, c AS (SELECT id, {_CURRENT_NAME} AS current_name FROM master),
@@ -181,7 +181,7 @@ SELECT c.id, coalesce(u.building_name, c.current_name) AS building_name, CASE WH
 def t9(t: Tables):
     """The valid rows of the list, applied; a list with an error would apply nothing."""
     checked = Q.check_completion_rows(name_list(t)).filter("error is null")
-    known = checked.join(t.master.select(F.col("id").alias("building_id")), "building_id", "left_semi")
+    known = checked.join(t.snapshot.buildings.select(F.col("id").alias("building_id")), "building_id", "left_semi")
     done = N.apply_name_list(renamed_master(t), known)
     return done.buildings.select("id", "building_name", "name_source")
 
@@ -197,7 +197,7 @@ def t10(t: Tables):
     building's address.  Shown for the blocks that have one building."""
     k = F.col("id").cast("long")
     source = F.when(k % 10 == 4, "manual")
-    stored = t.master.withColumns({"building_name": F.when(k % 2 == 0, vocab.UNKNOWN_NAME).otherwise(F.col("building_name")), "name_source": source})
+    stored = t.snapshot.buildings.withColumns({"building_name": F.when(k % 2 == 0, vocab.UNKNOWN_NAME).otherwise(F.col("building_name")), "name_source": source})
     landed = t.buildings.select(F.concat(F.lit("名称"), F.col("building_id").cast("string")).alias("name"), "address", F.lit("archive").alias("source"))
     spark = t.spark
     lookups = spark.createDataFrame([], "block_key string, source string, candidate_count bigint")
@@ -253,13 +253,13 @@ j AS (SELECT *, CASE WHEN building_id <> '' THEN CASE WHEN by_id IS NOT NULL THE
 
 @query("j13_research_match", f"WITH {_MATCH_SQL} SELECT line, matched_id, match_kind FROM j")
 def j13(t: Tables):
-    return R.match_rows(research_rows(t), t.master).select("line", "matched_id", "match_kind")
+    return R.match_rows(research_rows(t), t.snapshot.buildings).select("line", "matched_id", "match_kind")
 
 
 @query("a10_match_kinds", f"""WITH {_MATCH_SQL}, s(match_kind) AS (VALUES ('id'),('address_one'),('address_many'),('block_prefix_one'),('block_prefix_many'),('block_no_prefix'),('block_absent'),('address_unreadable'))
 SELECT s.match_kind, count(j.line) AS count FROM s LEFT JOIN j USING (match_kind) GROUP BY s.match_kind""")
 def a10(t: Tables):
-    return A.match_kind_counts(R.match_rows(research_rows(t), t.master))
+    return A.match_kind_counts(R.match_rows(research_rows(t), t.snapshot.buildings))
 
 
 _VERDICT = """
@@ -277,7 +277,7 @@ z AS (SELECT *, CASE WHEN matched_id IS NULL AND building_id = '' AND match_kind
 
 @query("t11_research_plan", f"WITH {_MATCH_SQL}, {_VERDICT} SELECT line, verdict FROM z")
 def t11(t: Tables):
-    return R.plan_research(research_rows(t), t.master, allow_create=True).select("line", "verdict")
+    return R.plan_research(research_rows(t), t.snapshot.buildings, allow_create=True).select("line", "verdict")
 
 
 @query("a9_research_plan_counts", f"""WITH {_MATCH_SQL}, {_VERDICT}
@@ -285,7 +285,7 @@ SELECT count(*) AS total, count(*) FILTER (verdict = '更新可能') AS updatabl
  count(*) FILTER (verdict IN ('建物名競合','住所競合','要確認')) AS needs_review, count(*) FILTER (verdict = '照合不可') AS unmatched,
  count(*) FILTER (verdict = '変更なし') AS no_change, CAST(0 AS BIGINT) AS error FROM z""")
 def a9(t: Tables):
-    return A.research_plan_counts(R.plan_research(research_rows(t), t.master, allow_create=True))
+    return A.research_plan_counts(R.plan_research(research_rows(t), t.snapshot.buildings, allow_create=True))
 
 
 @query("t12_address_decision", """
@@ -296,17 +296,18 @@ def t12(t: Tables):
         F.when(k == 0, F.col("address")).when(k == 1, F.concat("address", F.lit("-3")))
         .when(k == 2, F.concat(F.col("city"), F.lit("別町1-1"))).when(k == 3, F.concat(F.col("city"), F.col("town"), F.lit("9-"), F.col("block").cast("string")))
         .otherwise(F.col("city")))
-    return t.buildings.select("building_id", R.decide_address(F.col("address"), proposed)["kind"].alias("kind"))
+    done = R.with_address_decision(t.buildings.withColumn("proposed", proposed), "address", "proposed", "d")
+    return done.select("building_id", "d.kind")
 
 
 def _applied(t: Tables):
-    plan = settled(R.plan_research(research_rows(t), t.master, allow_create=True), "plan")
-    return R.apply_research(t.master, plan, plan.select("line"), "batch-1")
+    plan = settled(R.plan_research(research_rows(t), t.snapshot.buildings, allow_create=True), "plan")
+    return R.apply_research(t.snapshot.buildings, plan, plan.select("line"), "batch-1")
 
 
 @query("f12_line_selection", f"WITH {_MATCH_SQL}, {_VERDICT} SELECT line FROM z WHERE verdict IN ('更新可能','新規登録') AND line % 2 = 0")
 def f12(t: Tables):
-    plan = R.plan_research(research_rows(t), t.master, allow_create=True)
+    plan = R.plan_research(research_rows(t), t.snapshot.buildings, allow_create=True)
     chosen = t.buildings.select((F.col("building_id") + 1).alias("line")).filter("line % 2 = 0")
     return L.select_lines(plan, chosen, ["更新可能", "新規登録"]).select("line")
 
@@ -316,13 +317,13 @@ p AS (SELECT matched_id AS id, arg_max(address, line) FILTER (addr = 'detail') A
 SELECT mm.id, coalesce(p.address, mm.address) AS address, coalesce(p.units, mm.total_units) AS total_units, coalesce(p.kind, mm.property_type) AS property_type
 FROM master mm LEFT JOIN p USING (id)""")
 def t13(t: Tables):
-    done = _applied(t).buildings.join(t.master.select("id"), "id", "left_semi")
+    done = _applied(t).buildings.join(t.snapshot.buildings.select("id"), "id", "left_semi")
     return done.select("id", "address", "total_units", "property_type")
 
 
 @query("t13_created", f"""WITH {_MATCH_SQL}, {_VERDICT} SELECT building_name, address, regexp_extract(address,'^([^区]+区)',1) AS city, CASE WHEN total_units = '8' THEN 8 END AS total_units FROM z WHERE verdict = '新規登録'""")
 def t13_created(t: Tables):
-    done = _applied(t).buildings.join(t.master.select("id"), "id", "left_anti")
+    done = _applied(t).buildings.join(t.snapshot.buildings.select("id"), "id", "left_anti")
     return done.select("building_name", "address", "city", "total_units")
 
 
@@ -330,7 +331,7 @@ def t13_created(t: Tables):
 def t14(t: Tables):
     """Apply, then roll back: what was updated is as it was."""
     done = _applied(t)
-    back = R.roll_back(done.buildings, done.audit, "batch-1").join(t.master.select("id"), "id", "left_semi")
+    back = R.roll_back(done.buildings, done.audit, "batch-1").join(t.snapshot.buildings.select("id"), "id", "left_semi")
     return back.select("id", "building_name", "normalized_building_name", "address", "normalized_address", "total_units", "property_type")
 
 
@@ -340,9 +341,9 @@ _ARCHIVE = "version string, table_name string, row_id string, row_data string"
 
 @query("s19_archive_and_restore", "SELECT id, building_name, total_units, latitude, last_distributed_date FROM master WHERE CAST(id AS BIGINT) % 3 = 0")
 def s19(t: Tables):
-    away = t.master.filter(F.col("id").cast("long") % 3 == 0)
+    away = t.snapshot.buildings.filter(F.col("id").cast("long") % 3 == 0)
     archive = H.archive_rows(away, "buildings", "v1")
-    kept = t.master.filter(F.col("id").cast("long") % 3 != 0)
+    kept = t.snapshot.buildings.filter(F.col("id").cast("long") % 3 != 0)
     return H.restore_rows(archive, "buildings", "v1", kept).select("id", "building_name", "total_units", "latitude", "last_distributed_date")
 
 
@@ -385,7 +386,7 @@ UNION ALL SELECT 'duplicate_candidates', 'building_exists', id FROM pairs WHERE
 def q3(t: Tables):
     """Negative units, self pairs and missing buildings, put in by formula."""
     k = F.col("id").cast("long")
-    b = t.master.filter(k % 25 != 3).withColumn("total_units", F.when((k % 50 == 7), -F.col("total_units")).otherwise(F.col("total_units")))
+    b = t.snapshot.buildings.filter(k % 25 != 3).withColumn("total_units", F.when((k % 50 == 7), -F.col("total_units")).otherwise(F.col("total_units")))
     c = t.candidates.withColumn("possible_existing_building_id", F.when(k % 90 == 0, F.col("new_building_id")).otherwise(F.col("possible_existing_building_id")))
     found = Q.violations(b, t.stored_history, c)
     return found.filter(F.col("rule") != "unique_address_and_name")

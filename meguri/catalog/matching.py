@@ -41,7 +41,7 @@ m AS (SELECT q.row_no, q.building_name, q.address, q.distributed_date,
 SELECT row_no, coalesce(both_id, addr_id, name_id) AS target_id,
  CASE WHEN both_id IS NOT NULL THEN 'address_and_name' WHEN addr_id IS NOT NULL THEN 'address' WHEN name_id IS NOT NULL THEN 'name' END AS match_kind FROM m""")
 def j1(t: Tables):
-    return J.resolve_past_rows(prepare_rows(past_rows(t)), settled(t.master)).select("row_no", "target_id", "match_kind")
+    return J.resolve_past_rows(prepare_rows(past_rows(t)), t.snapshot.buildings).select("row_no", "target_id", "match_kind")
 
 
 # New rows next to stored buildings: same source id, same name, shifted points, elsewhere.
@@ -91,7 +91,7 @@ def j2(t: Tables):
 
 
 def _keyed_master(t: Tables):
-    keyed = with_name(t.master, "building_name", "_n").withColumn("canonical", F.col("_n.canonical")).drop("_n")
+    keyed = with_name(t.snapshot.buildings, "building_name", "_n").withColumn("canonical", F.col("_n.canonical")).drop("_n")
     return settled(keyed)
 
 
@@ -121,8 +121,9 @@ def j5(t: Tables):
 
 def _sides(t: Tables):
     cols = ["id", "building_name", "address", "latitude", "longitude", "normalized_address"]
-    targets = t.master.filter("distribution_count = 0").select(*cols)
-    served = t.master.filter("distribution_count > 0").select(*cols)
+    stored = t.snapshot.buildings
+    targets = stored.filter("distribution_count = 0").select(*cols)
+    served = stored.filter("distribution_count > 0").select(*cols)
     return targets, served
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meguri.functions import vocab
-from meguri.functions.text import nfkc, noise_class, trim_space
+from meguri.functions.text import literal_map, nfkc, noise_class, trim_space
 
 _VOWELS = "aiueo"
 
@@ -47,10 +47,6 @@ _PAIRS = "|".join(k for k in _KANA if len(k) == 2)
 _UNIT = f"(ッ?(?:{_PAIRS})|ッ?[{''.join(k for k in _KANA if len(k) == 1)}]|[\\s\\S])"
 
 
-def _literal_map(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-
-
 def _fold_katakana(text: Column) -> Column:
     """Hiragana -> katakana; spellings of the v-sounds that are read alike -> b-row."""
     hiragana = "".join(chr(c) for c in range(0x3041, 0x3097))
@@ -71,7 +67,7 @@ def normalize_name(name: Column) -> Column:
 def katakana_to_romaji(text: Column) -> Column:
     """Romanize katakana; other characters stay, long-vowel marks go."""
     units = F.regexp_extract_all(_fold_katakana(text), F.lit(_UNIT), 1)
-    table = _literal_map(_KANA)
+    table = literal_map(_KANA)
 
     def romanize(unit: Column) -> Column:
         # A small tsu doubles the next consonant (ch is doubled with t).
@@ -142,7 +138,7 @@ def tokens(normalized: Column, lexicon=None, noise=None) -> Column:
     pieces = F.regexp_extract_all(
         normalized, F.lit(f"((?:{known})|(?:(?!{known})[\\s\\S])+)"), 1
     )
-    table = _literal_map(index)
+    table = literal_map(index)
 
     def to_token(piece: Column) -> Column:
         romaji = romanize(piece)

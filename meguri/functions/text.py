@@ -60,3 +60,14 @@ def char_class(chars: str) -> str:
 def noise_class(chars: str) -> str:
     """Character class of punctuation plus white space."""
     return "[" + "".join(re.escape(c) for c in chars) + SPACE_CLASS + "]"
+
+
+def literal_map(table: dict[str, str]) -> Column:
+    """A constant lookup table (folded by Spark; built in one call)."""
+    text = "\x1e".join(f"{k}\x1f{v}" for k, v in table.items())
+    return F.str_to_map(F.lit(text), F.lit("\x1e"), F.lit("\x1f"))
+
+
+def literal_list(values: list[str]) -> Column:
+    """A constant array of texts (folded by Spark; built in one call)."""
+    return F.split(F.lit("\x1e".join(values)), "\x1e")

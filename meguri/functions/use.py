@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meguri.functions import vocab
-from meguri.functions.text import nfkc, trim_space
+from meguri.functions.text import literal_list, literal_map, nfkc, trim_space
 
 MULTI, EXCLUDED = "RESIDENTIAL_MULTI", "EXCLUDED"
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    return F.try_element_at(literal_map(table), key)
 
 
 def _label(category: Column) -> Column:
@@ -27,7 +27,7 @@ def tag_category(tag: Column) -> Column:
 def first_term(text: Column) -> Column:
     """First term found, excluding terms before residential ones, list order."""
     terms = [t for t, _ in vocab.EXCLUDING_TERMS] + vocab.RESIDENTIAL_TERMS
-    found = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t))
+    found = F.filter(literal_list(terms), lambda t: F.contains(text, t))
     return F.try_element_at(found, F.lit(1))
 
 

@@ -107,26 +107,30 @@ def match_rows(rows: DataFrame, current: DataFrame) -> DataFrame:
     return out
 
 
-def decide_address(current: Column, proposed: Column) -> Column:
-    """struct(kind, reason): none, detail, or conflict.
+def with_address_decision(df: DataFrame, current: str, proposed: str, out: str) -> DataFrame:
+    """Add struct(kind, reason): none, detail, or conflict.
 
     Only the same place written in more detail is accepted.
     """
-    old, new = block_key(current), block_key(proposed)
-    same = canonical_address(current) == canonical_address(proposed)
-    arrow = lambda a, b: F.concat(F.lit("（"), a.cast("string"), F.lit(" → "), b.cast("string"), F.lit("）。"))
+    staged = df.withColumns({
+        "_old": block_key(F.col(current)), "_new": block_key(F.col(proposed)),
+        "_old_text": canonical_address(F.col(current)), "_new_text": canonical_address(F.col(proposed)),
+    })
+    old, new = F.col("_old"), F.col("_new")
+    arrow = lambda part: F.concat(
+        F.lit("（"), old[part].cast("string"), F.lit(" → "), new[part].cast("string"), F.lit("）。"))
     conflict = (
         F.when(old.isNull() | new.isNull(), "住所から丁目・番を読み取れませんでした。")
-        .when(old["town"] != new["town"], F.concat(F.lit("町名が違います"), arrow(old["town"], new["town"])))
-        .when(old["chome"] != new["chome"], F.concat(F.lit("丁目が違います"), arrow(old["chome"], new["chome"])))
-        .when(old["block"] != new["block"], F.concat(F.lit("番が違います"), arrow(old["block"], new["block"])))
-        .when(~canonical_address(proposed).startswith(canonical_address(current)), "既存住所の続きになっていません。")
-    )
-    unchanged = (proposed == "") | same
-    return F.struct(
-        F.when(unchanged, "none").when(conflict.isNotNull(), "conflict").otherwise("detail").alias("kind"),
-        F.when(~unchanged, conflict).alias("reason"),
+        .when(old["town"] != new["town"], F.concat(F.lit("町名が違います"), arrow("town")))
+        .when(old["chome"] != new["chome"], F.concat(F.lit("丁目が違います"), arrow("chome")))
+        .when(old["block"] != new["block"], F.concat(F.lit("番が違います"), arrow("block")))
+        .when(~F.col("_new_text").startswith(F.col("_old_text")), "既存住所の続きになっていません。")
     )
+    unchanged = (F.col(proposed) == "") | (F.col("_old_text") == F.col("_new_text"))
+    staged = staged.withColumn("_conflict", F.when(~unchanged, conflict))
+    kind = F.when(unchanged, "none").when(F.col("_conflict").isNotNull(), "conflict").otherwise("detail")
+    decided = staged.withColumn(out, F.struct(kind.alias("kind"), F.col("_conflict").alias("reason")))
+    return decided.drop("_old", "_new", "_old_text", "_new_text", "_conflict")
 
 
 def _change(condition: Column, field: str, old: Column, new: Column) -> Column:
@@ -145,8 +149,8 @@ def plan_research(rows: DataFrame, current: DataFrame, overwrite: bool = False,
         F.col("id").alias("matched_id"),
         F.struct(*[F.col(c) for c in ("building_name", "address", "total_units", "property_type", "building_type")]).alias("cur"),
     )
-    staged = matched.join(cur, "matched_id", "left").withColumns({
-        "_address": decide_address(F.col("cur.address"), F.col("address")),
+    staged = matched.join(cur, "matched_id", "left").withColumn("_current", F.col("cur.address"))
+    staged = with_address_decision(staged, "_current", "address", "_address").withColumns({
         "_units": parse.count_of_research(F.col("total_units")),
         "_type": parse.property_type_of_research(F.col("property_type")),
         "_source": parse.research_source(F.col("source")),
