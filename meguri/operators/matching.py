@@ -231,25 +231,46 @@ def _close_pairs(t: DataFrame, e: DataFrame) -> DataFrame:
     return contained.unionByName(containing).unionByName(siblings.filter(differ & (_blocks_text(tb) != _blocks_text(eb))))
 
 
-def _loose_pairs(t: DataFrame, e: DataFrame) -> DataFrame:
-    """Pairs with agreeing localities that agree on at most one block number
-    (met on a name key), or of which one has no block number."""
-    tb, eb = F.col("t.addr.blocks"), F.col("e.addr.blocks")
-    keyed = lambda df, loc, side: (
-        df.filter(F.size(F.col(f"{side}.addr.blocks")) > 0)
-        .withColumns({f"{side}_keys": name_keys(F.col(f"{side}.name")), "_loc": loc})
-        .withColumn("_key", F.explode(f"{side}_keys"))
-    )
-    named = keyed(t, F.col("e_loc"), "t").join(keyed(e, F.col("e.addr.locality"), "e"), ["_loc", "_key"])
-    # A pair may share several keys: keep the meeting at the smallest one only.
-    named = named.filter(F.array_min(F.array_intersect("t_keys", "e_keys")) == F.col("_key"))
-    divergent = (F.get(tb, F.lit(0)) != F.get(eb, F.lit(0))) | (F.get(tb, F.lit(1)) != F.get(eb, F.lit(1)))
-    e_loc = e.withColumn("e_loc", F.col("e.addr.locality"))
-    blank_t = t.filter(F.size(tb) == 0).join(e_loc, "e_loc")
-    blank_e = t.filter(F.size(tb) > 0).join(e_loc.filter(F.size(eb) == 0), "e_loc")
-    return named.filter(divergent).select("t", "e").unionByName(blank_t.select("t", "e")).unionByName(
-        blank_e.select("t", "e")
+# Served rows that may share a key before rows must also meet on a name key.
+CROWD = 200
+
+
+def _divergent_pairs(t: DataFrame, e: DataFrame, depth: int) -> DataFrame:
+    """Pairs with agreeing localities whose blocks agree on exactly ``depth`` numbers.
+
+    Rows meet on the locality and those numbers.  Where more than CROWD served
+    rows share that, they must share a name key too, which every pair similar
+    enough does.
+    """
+    n = F.lit(depth)
+
+    def keyed(df: DataFrame, loc: Column, side: str) -> DataFrame:
+        blocks = F.col(f"{side}.addr.blocks")
+        return df.filter(F.size(blocks) > depth).withColumn("_key", _key(loc, _blocks_text(blocks, n)))
+
+    asked, stored = keyed(t, F.col("e_loc"), "t"), keyed(e, F.col("e.addr.locality"), "e")
+    crowded = stored.groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > CROWD).select("_key")
+    plain = asked.join(crowded, "_key", "left_anti").join(stored.join(crowded, "_key", "left_anti"), "_key")
+
+    def by_name(df: DataFrame, side: str) -> DataFrame:
+        keys = df.join(crowded, "_key", "left_semi").withColumn(f"{side}_keys", name_keys(F.col(f"{side}.name")))
+        return keys.withColumn("_name_key", F.explode(f"{side}_keys"))
+
+    # A pair may share several name keys: keep the meeting at the smallest one only.
+    named = by_name(asked, "t").join(by_name(stored, "e"), ["_key", "_name_key"]).filter(
+        F.array_min(F.array_intersect("t_keys", "e_keys")) == F.col("_name_key")
     )
+    apart = F.get(F.col("t.addr.blocks"), n) != F.get(F.col("e.addr.blocks"), n)
+    return plain.select("t", "e").unionByName(named.select("t", "e")).filter(apart)
+
+
+def _blank_pairs(t: DataFrame, e: DataFrame) -> DataFrame:
+    """Pairs with agreeing localities of which one side has no block number."""
+    tb, eb = F.col("t.addr.blocks"), F.col("e.addr.blocks")
+    stored = e.withColumn("e_loc", F.col("e.addr.locality"))
+    blank_t = t.filter(F.size(tb) == 0).join(stored, "e_loc").select("t", "e")
+    blank_e = t.filter(F.size(tb) > 0).join(stored.filter(F.size(eb) == 0), "e_loc").select("t", "e")
+    return blank_t.unionByName(blank_e)
 
 
 def _near_pairs(t: DataFrame, e: DataFrame, th: Thresholds) -> DataFrame:
@@ -263,8 +284,13 @@ def _near_pairs(t: DataFrame, e: DataFrame, th: Thresholds) -> DataFrame:
     return asked.join(stored, "_cell").select("t", "e").filter(m <= th.nearby_m)
 
 
-# The best address score a loose pair can have: no block number on one side.
-_LOOSE_CEILING = 0.60
+def _unsaturated(placed: DataFrame, found: DataFrame, ceiling: float, top: int | None) -> DataFrame:
+    """Targets without ``top`` candidates that score above ``ceiling``."""
+    if top is None:
+        return placed
+    above = found.filter(F.col("address_score") > ceiling).select("target_id", "existing_id").distinct()
+    full = above.groupBy("target_id").agg(F.count("*").alias("n")).filter(F.col("n") >= top)
+    return placed.withColumn("target_id", F.col("t.id")).join(full, "target_id", "left_anti").drop("target_id")
 
 
 def match_candidates(targets: DataFrame, existing: DataFrame, top: int | None = 5, thresholds: Thresholds = Thresholds()) -> DataFrame:
@@ -287,15 +313,15 @@ def match_candidates(targets: DataFrame, existing: DataFrame, top: int | None =
         open_t.withColumn("t_loc", F.col("t.addr.locality")).join(localities, "t_loc").drop("t_loc"), "placed"
     )
     not_self = F.col("t.id") != F.col("e.id")
-    near = _near_pairs(open_t, e, th)
-    first = settled(_scored(_close_pairs(placed, e).unionByName(near).filter(not_self), th), "close")
-    if top is None:
-        short = placed
-    else:
-        full = first.filter(F.col("address_score") > _LOOSE_CEILING).select("target_id", "existing_id").distinct()
-        full = full.groupBy("target_id").agg(F.count("*").alias("n")).filter(F.col("n") >= top)
-        short = placed.withColumn("target_id", F.col("t.id")).join(full, "target_id", "left_anti").drop("target_id")
-    found = first.unionByName(_scored(_loose_pairs(short, e).filter(not_self), th))
+    pairs = _close_pairs(placed, e).unionByName(_blank_pairs(placed, e)).unionByName(_near_pairs(open_t, e, th))
+    found = settled(_scored(pairs.filter(not_self), th), "close")
+    # Blocks that agree on d numbers and then differ score at most
+    # 0.45 + 0.25 d / (d + 1); a target full above that has no use for them.
+    for depth, ceiling in ((1, 0.575), (0, 0.45)):
+        short = settled(_unsaturated(placed, found, ceiling, top), "short")
+        if not short.isEmpty():
+            loose = _scored(_divergent_pairs(short, e, depth).filter(not_self), th)
+            found = found.unionByName(settled(loose, "loose"))
     found = found.dropDuplicates(["target_id", "existing_id"])
 
     best = [F.col("address_score").desc(), F.col("name_score").desc(), F.col("_order")]

@@ -49,8 +49,9 @@ def _random_rows(prefix, n, rng):
     return rows
 
 
-@pytest.mark.parametrize("top, seed", [(5, 1), (None, 2), (2, 3)])
-def test_keys_lose_no_pair(spark, top, seed):
+@pytest.mark.parametrize("top, seed, crowd", [(None, 2, 3), (2, 3, 200)])
+def test_keys_lose_no_pair(spark, monkeypatch, top, seed, crowd):
+    monkeypatch.setattr(M, "CROWD", crowd)  # 3: nearly every key counts as crowded
     rng = random.Random(seed)
     existing = _random_rows("e", 60, rng)
     targets = spark.createDataFrame(_random_rows("t", 60, rng) + existing[:5], SCHEMA)
