@@ -20,8 +20,8 @@ from meguri.session import local_session  # noqa: E402
 HEADLINE = [
     "undistributed_list", "o2_list_page", "a1_history_rollup", "a3_status_counts", "p1_normalized_address", "p7_name_tokens",
     "p9_use_classification", "f7_acceptance", "j1_past_row_target", "j6_confirmed_by_address", "j6_duplicate_candidates",
-    "j8_nearest_point", "w1_name_verdicts", "t2_past_ingest", "t5_reconcile", "t7_apply_decisions", "t11_research_plan",
-    "t13_apply_research", "s2_building_list", "s14_configured_extraction", "x1_streamed_rollup",
+    "j8_nearest_point", "w1_name_verdicts", "t2_past_ingest", "t7_apply_decisions", "t11_research_plan",
+    "s2_building_list", "s14_configured_extraction", "x1_streamed_rollup",
 ]
 
 

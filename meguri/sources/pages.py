@@ -16,6 +16,7 @@ from meguri.functions.address import _chome_number, _half_width, address_parts,
 from meguri.functions.text import SPACE_CLASS, trim_space
 from meguri.operators.dedup import first_wins
 
+# Markup of the known listing pages (fixed values).
 LISTING_LINK = r'<a href="[^"]*/archive/b-[0-9]+/"'
 LISTING_NAME = r'<span class="font-bold">([^<]+)</span>'
 _NOT_SPACE = f'[^{SPACE_CLASS}<>"]'
