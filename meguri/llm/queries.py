@@ -1,6 +1,6 @@
 """All queries of this subpackage; importing their modules registers them."""
 
-from meguri.llm import pii, quality, secrets  # noqa: F401
+from meguri.llm import decontaminate, pii, quality, secrets  # noqa: F401
 from meguri.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
