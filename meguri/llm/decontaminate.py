@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -52,13 +51,15 @@ class Windows:
         self.shortest = min(by_length, default=0)
 
 
-_SENT: dict[str, Broadcast] = {}
+_BUILT: dict[tuple[str, int], Windows] = {}
 
 
-@lru_cache(maxsize=2)
-def _windows(key: str, width: int) -> Windows:
+def _windows(key: str, items: Broadcast, width: int) -> Windows:
     """Built once a worker process; ``key`` is that of one block of one call."""
-    return Windows(_SENT.pop(key).value, width)
+    if (key, width) not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key, width] = Windows(items.value, width)
+    return _BUILT[key, width]
 
 
 class Shard:
@@ -154,9 +155,7 @@ def _pass(docs: DataFrame, key: str, items: Broadcast, width: int, last: bool, s
     carried = "spans" in docs.columns
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _SENT[key] = items
-        windows = _windows(key, width)
-        _SENT.pop(key, None)
+        windows = _windows(key, items, width)
         shard, held = Shard(windows), []
 
         def flush() -> Iterator[pa.RecordBatch]:
