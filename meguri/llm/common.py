@@ -90,3 +90,48 @@ def word_codes(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[b
 def checked_schema(df: DataFrame, needed: list[str]) -> DataFrame:
     """Only the named columns, so that others cannot clash with ours."""
     return df.select(*[F.col(f"`{c}`") for c in needed])
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: 0, 1, ... without a gap within each ``group``, in ``order``,
+    which must start with what sorts the groups and leave no ties.
+
+    Rows are dealt to tasks by range, so one group of any size may span many
+    tasks. Each task numbers its rows as a stream; a group that goes on from
+    the task before starts where that one stopped, which takes the counts of each
+    task's first and last group only.
+    """
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = object(), 0
+        for batch in frames:
+            of = batch.column(group).to_pylist()
+            place = np.empty(len(of), dtype=np.int64)
+            for i, value in enumerate(of):
+                seen = seen + 1 if value == last else 0
+                place[i], last = seen, value
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*batch.schema.names, "_place"])
+
+    dealt = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_task", F.spark_partition_id())
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
+    placed = step(dealt.mapInArrow(run, f"{schema}, _place long"), "placed")
+    wrapped = F.struct(F.col(group).alias("g"))  # a null group counts as one
+    by_order = F.struct(*order, wrapped.alias("w"))
+    ends = placed.groupBy("_task").agg(F.min(by_order)["w"].alias("first"), F.max(by_order)["w"].alias("last"))
+    found = placed.join(F.broadcast(ends), "_task").filter((wrapped == F.col("first")) | (wrapped == F.col("last")))
+    counts = found.groupBy("_task", "first", "last").agg(
+        F.count(F.when(wrapped == F.col("first"), 1)).alias("in_first"), F.count(F.when(wrapped == F.col("last"), 1)).alias("in_last")
+    ).collect()  # one row a task
+    ahead, last, total = [], object(), 0
+    for r in sorted(counts, key=lambda r: r["_task"]):
+        if r["first"] == last:
+            ahead.append((r["_task"], r["first"]["g"], total))
+        whole = r["first"] == r["last"] == last
+        last, total = r["last"], r["in_last"] + (total if whole else 0)
+    kind = rows.schema[group].dataType.simpleString()
+    known = spark.createDataFrame(ahead, f"_t int, _g {kind}, _ahead long")
+    return placed.join(F.broadcast(known), (F.col("_task") == F.col("_t")) & F.col(group).eqNullSafe(F.col("_g")), "left").select(
+        *rows.columns, (F.col("_place") + F.coalesce("_ahead", F.lit(0))).alias(name)
+    )

@@ -13,14 +13,11 @@ the least for these units, so at most that share above the least for groups.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meguri.llm.common import step, table
+from meguri.llm.common import numbered, step, table
 from meguri.llm.registry import query
 
 LAW = "bytes"
@@ -132,44 +129,7 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
         if start is not None:
             shard = F.when(order >= F.lit(_signed(start ^ 2**63)), k).otherwise(shard)
     ordered = rows.withColumn("shard", shard.cast("int")).withColumn("order", order)
-    return with_slots(ordered).select("doc_id", "size", "text_crc32", "shard", "slot")
-
-
-def with_slots(rows: DataFrame) -> DataFrame:
-    """Adds ``slot``: 0, 1, ... within each shard by (order, doc_id, row).
-
-    Rows are dealt by range, so a shard, or a group of any size, may span many
-    tasks. Each task numbers its own rows as a stream, and the few counts per
-    (task, shard) give the offsets.
-    """
-    spark = rows.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = [*rows.columns, "task", "place"]
-
-    def numbered(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, seen = None, 0
-        for batch in frames:
-            of = batch.column("shard").to_numpy(zero_copy_only=False)
-            place = np.empty(len(of), dtype=np.int64)
-            heads = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1]) if len(of) else []
-            for a, b in zip(heads, [*heads[1:], len(of)]):
-                if of[a] != shard:
-                    shard, seen = of[a], 0
-                place[a:b] = np.arange(seen, seen + b - a)
-                seen += b - a
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=[*batch.schema.names, "place"])
-
-    dealt = rows.repartitionByRange(tasks, "order", "doc_id", "row").sortWithinPartitions("order", "doc_id", "row")
-    dealt = dealt.withColumn("task", F.spark_partition_id())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", place long"
-    placed = step(dealt.mapInArrow(numbered, schema).select(*names), "placed")
-    counts = placed.groupBy("shard", "task").agg(F.count("*").alias("n")).collect()  # a shard is a range: tasks + shards rows at most
-    offsets, ahead = [], {}
-    for r in sorted(counts, key=lambda r: (r["shard"], r["task"])):
-        offsets.append((r["shard"], r["task"], ahead.get(r["shard"], 0)))
-        ahead[r["shard"]] = ahead.get(r["shard"], 0) + r["n"]
-    known = spark.createDataFrame(offsets, "shard int, task int, ahead long")
-    return placed.join(F.broadcast(known), ["shard", "task"]).withColumn("slot", F.col("place") + F.col("ahead"))
+    return numbered(ordered, "shard", ["order", "doc_id", "row"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 @query("op4_minimax_shards")
