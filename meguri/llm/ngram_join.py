@@ -135,21 +135,24 @@ def signatures(starts: np.ndarray, values: np.ndarray, bands: Bands) -> tuple[np
 
 # -- passes over the texts ----------------------------------------------------
 def with_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key of the set, its band, and its spare signatures there and one band below."""
+    """row, doc_id, n_shingles, key of the set, its band, and its spare signatures there and one band below.
+
+    ``row`` is the row's place, as ``F.monotonically_increasing_id()`` has it."""
     bands = Bands()
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
-            starts, values = shingle_sets(texts_of(batch.column(1)))
+            starts, values = shingle_sets(texts_of(batch.column(2)))
             _, _, spare = signatures(starts, values, bands)
             sizes = np.diff(starts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(set_keys(starts, values)), pa.array(bands.band(sizes)), pa.array(spare[:, 0]), pa.array(spare[:, 1])],
-                names=["doc_id", "n_shingles", "key", "band", "spare", "spare_below"],
+                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(set_keys(starts, values)), pa.array(bands.band(sizes)), pa.array(spare[:, 0]), pa.array(spare[:, 1])],
+                names=["row", "doc_id", "n_shingles", "key", "band", "spare", "spare_below"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, key long, band long, spare long, spare_below long")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return rows.mapInArrow(run, f"row long, doc_id {kind}, n_shingles long, key long, band long, spare long, spare_below long")
 
 
 def with_signatures(docs: DataFrame) -> DataFrame:
@@ -247,24 +250,33 @@ def links(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by
-    links, itself included), one row per row of ``docs``.
+    """row, doc_id, n_shingles, component_id (the smallest doc_id reachable by
+    links, itself included) and first (whether the row is the first of its
+    component by doc_id and place), one row per row of ``docs``.
 
     Null, empty and wordless texts have an empty set and link with nothing: their
-    component is their own id. Equal sets are linked without comparison. Repeated
-    rows are rows of one component; null ids are passed over for a component's
-    id unless all its ids are null. Other columns are not read. No rows: no rows.
+    component is their own id, and each is the first. Equal sets are linked
+    without comparison. Repeated rows are rows of one component; null ids are
+    passed over for a component's id unless all its ids are null. Other columns
+    are not read. No rows: no rows.
     """
     keys = step(with_keys(docs), "keys")
     roots = components(step(links(docs, keys), "all"))
-    owned = keys.filter("key <> 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    owned = keys.filter("key <> 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row")).alias("head"))
     group = owned.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = group.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_key = step(group.join(least, "root").select("key", "component_id"), "groups")
-    linked = keys.filter("key <> 0").select("doc_id", "n_shingles", "key").join(by_key, "key").select("doc_id", "n_shingles", "component_id")
-    return linked.union(keys.filter("key = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    least = group.groupBy("root").agg(F.min("least").alias("component_id"), F.min("head").alias("head"))
+    by_key = step(group.drop("head").join(least, "root").select("key", "component_id", F.col("head.row").alias("head")), "groups")
+    linked = keys.filter("key <> 0").join(by_key, "key").select("row", "doc_id", "n_shingles", "component_id", (F.col("row") == F.col("head")).alias("first"))
+    return linked.union(keys.filter("key = 0").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with only the first row of each component, columns as they were."""
+    gone = join(docs).filter(~F.col("first")).select(F.col("row").alias("_row"))
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 @query("op7_partenum_join")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    return join(table(spark, folder, "documents"))
+    return join(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
