@@ -41,7 +41,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 # -- sets ---------------------------------------------------------------------
 def shingle_sets(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each text's set, sorted distinct shingle hashes)."""
+    """(start of each text's set, its distinct shingle hashes)."""
     # lower() of bytes changes A-Z only; split() knows exactly the six blanks
     starts, codes, unique = word_codes([t.encode("utf-8", "surrogatepass").lower().split() for t in texts])
     hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in unique), dtype=np.uint64, count=len(unique))
@@ -59,13 +59,14 @@ def shingle_sets(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.n
             for w in word[starts[i] : starts[i + 1]]:
                 h = mixed(np.array([h * _STEP + w]))[0]
             out[starts[i]] = h
-    owner = np.repeat(np.arange(len(sizes)), count)
-    at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts[:-1], count)
-    values = out[at]
-    order = np.lexsort((values, owner))
-    owner, values = owner[order], values[order]
+        owner = np.repeat(np.arange(len(sizes)), count)
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts[:-1], count)
+        values = out[at]
+        own = values + mixed(owner.astype(np.uint64) * _STEP)  # equal within a text where the values are
+    order = np.argsort(own)
+    again = order[1:][own[order[1:]] == own[order[:-1]]]
     new = np.ones(len(values), dtype=bool)
-    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    new[again] = False
     owner, values = owner[new], values[new]
     return np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))]), values
 
@@ -100,37 +101,50 @@ class Bands:
         return np.searchsorted(self.tops, sizes, side="left")
 
 
-def signatures(starts: np.ndarray, values: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, signature, spare of each set in its own and the band below).
+def _slots(starts: np.ndarray, values: np.ndarray, bands: Bands, lower: int) -> tuple[np.ndarray, ...]:
+    """(band of each set, first slot of each set, slot of each shingle): a slot is a partition of one set."""
+    sizes = np.diff(starts)
+    band = np.maximum(bands.band(sizes) - lower, 0)
+    n = bands.parts[band]
+    first = np.concatenate([[0], np.cumsum(np.where(sizes > 0, n, 0))])
+    part = mixed(values + np.uint64(0x9FB21C651E98DF25)) % np.repeat(n, sizes).astype(np.uint64)
+    return band, first, np.repeat(first[:-1], sizes) + part.astype(np.int64)
 
-    A signature's last 8 bits are its band. ``spare`` is how many signatures a
-    set can leave out in that band: those it has beyond k + 1; it may be negative.
-    """
+
+def spares(starts: np.ndarray, values: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """How many signatures each set can leave out in its own band and in the one
+    below: those beyond k + 1; may be negative."""
+    out = []
+    for lower in (0, 1):
+        band, first, slot = _slots(starts, values, bands, lower)
+        filled = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=int(first[-1])) > 0)])
+        out.append(filled[first[1:]] - filled[first[:-1]] - bands.differ[band] - 1)
+    return out[0], out[1]
+
+
+def signatures(starts: np.ndarray, values: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(set, signature) for each set's own band and the one below; the last 8
+    bits of a signature are its band."""
     sizes = np.diff(starts)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
     own = bands.band(sizes)
     spread = mixed(values ^ np.uint64(0xA24BAED4963EE407))
-    part = mixed(values + np.uint64(0x9FB21C651E98DF25))
-    sets, sigs, spare = [], [], []
+    high, low = (spread >> np.uint64(32)).astype(np.float64), (spread & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    sets, sigs = [], []
     for lower in (0, 1):
-        band = np.maximum(own - lower, 0)
-        n = bands.parts[band]
-        first = np.concatenate([[0], np.cumsum(np.where(sizes > 0, n, 0))])
-        slot = first[owner] + (part % n[owner].astype(np.uint64)).astype(np.int64)
-        with np.errstate(over="ignore"):
-            total = np.zeros(int(first[-1]), dtype=np.uint64)
-            np.add.at(total, slot, spread)
-            filled = np.bincount(slot, minlength=len(total)) > 0
-            of = np.repeat(np.arange(len(sizes)), np.diff(first))
-            number = (np.arange(len(total)) - first[of]).astype(np.uint64)
-            sig = mixed(total + mixed(number * np.uint64(256) + band[of].astype(np.uint64) + np.uint64(1)))
-        sig = (sig & ~np.uint64(255)) | band[of].astype(np.uint64)
+        band, first, slot = _slots(starts, values, bands, lower)
+        n = int(first[-1])
+        filled = np.bincount(slot, minlength=n) > 0
+        of = np.repeat(np.arange(len(sizes)), np.diff(first))
         # where nothing may differ, linked sets are equal: no signatures are needed
-        there = filled & ((lower == 0) | (own[of] > 0)) & (bands.differ[band[of]] > 0)
-        sets.append(of[there])
-        sigs.append(sig[there])
-        spare.append(np.bincount(of[there], minlength=len(sizes)) - bands.differ[band] - 1)
-    return np.concatenate(sets), np.concatenate(sigs).view(np.int64), np.stack(spare, axis=1)
+        there = np.flatnonzero(filled & (own[of] >= lower) & (bands.differ[band[of]] > 0))
+        of = of[there]
+        with np.errstate(over="ignore"):  # sums of halves are whole below 2^53, so for 2^21 shingles in a slot
+            total = (np.bincount(slot, high, n)[there].astype(np.uint64) << np.uint64(32)) + np.bincount(slot, low, n)[there].astype(np.uint64)
+            number = (there - first[of]).astype(np.uint64)
+            sig = mixed(total + mixed(number * np.uint64(256) + band[of].astype(np.uint64) + np.uint64(1)))
+        sets.append(of)
+        sigs.append((sig & ~np.uint64(255)) | band[of].astype(np.uint64))
+    return np.concatenate(sets), np.concatenate(sigs).view(np.int64)
 
 
 # -- passes over the texts ----------------------------------------------------
@@ -143,10 +157,10 @@ def with_keys(docs: DataFrame) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
             starts, values = shingle_sets(texts_of(batch.column(2)))
-            _, _, spare = signatures(starts, values, bands)
+            spare, below = spares(starts, values, bands)
             sizes = np.diff(starts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(set_keys(starts, values)), pa.array(bands.band(sizes)), pa.array(spare[:, 0]), pa.array(spare[:, 1])],
+                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(set_keys(starts, values)), pa.array(bands.band(sizes)), pa.array(spare), pa.array(below)],
                 names=["row", "doc_id", "n_shingles", "key", "band", "spare", "spare_below"],
             )
 
@@ -171,37 +185,29 @@ def with_signatures(docs: DataFrame) -> DataFrame:
                     new[i] = True
             keep = np.repeat(new, np.diff(starts))
             starts = np.concatenate([[0], np.cumsum(np.where(new, np.diff(starts), 0))])
-            which, sigs, _ = signatures(starts, values[keep], bands)
+            which, sigs = signatures(starts, values[keep], bands)
             yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(keys[which])], names=["bucket", "id"])
 
     return docs.select("text").mapInArrow(run, "bucket long, id long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, items) of the sets whose keys are in ``wanted`` (id): sorted hashes as bytes."""
-    spark = docs.sparkSession
-    some = wanted.limit(SENT + 1).count() <= SENT
-    sent = spark.sparkContext.broadcast(np.sort(np.array([r["id"] for r in wanted.toLocalIterator()], dtype=np.int64))) if some else None
+    """(id, items) for ``wanted`` (id, row): the hashes of each row's set as bytes.
+
+    Only the texts of those rows are read into sets. Their numbers are sent to
+    every task if there are at most SENT of them; else the rows are joined.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "text")
+    few = wanted.limit(SENT + 1).count() <= SENT
+    picked = rows.join(F.broadcast(wanted) if few else wanted, "row")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
         for batch in batches(frames):
-            starts, values = shingle_sets(texts_of(batch.column(0)))
-            keys = set_keys(starts, values)
-            fits = np.isin(keys, sent.value) if sent is not None else keys != 0
-            ids, items = [], []
-            for i in np.flatnonzero(fits):
-                key = int(keys[i])
-                if key not in done:
-                    done.add(key)
-                    ids.append(key)
-                    items.append(values[starts[i] : starts[i + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], names=["id", "items"])
+            starts, values = shingle_sets(texts_of(batch.column(1)))
+            items = [values[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["id", "items"])
 
-    found = docs.select("text").mapInArrow(run, "id long, items binary")
-    if not some:
-        found = found.join(wanted, "id", "left_semi")
-    return found.dropDuplicates(["id"])
+    return picked.select("id", "text").mapInArrow(run, "id long, items binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -227,26 +233,31 @@ def _band(bucket: str) -> Column:
     return F.col(bucket).bitwiseAND(F.lit(255))
 
 
-def links(docs: DataFrame, keys: DataFrame) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between keys of different sets: all of them outside crowded
-    buckets, and within these as many as join up every component."""
-    shared = step(shared_only(with_signatures(docs)), "shared")
+    buckets, and within these as many as join up every component. ``sets`` has a
+    row for each key, see ``join``."""
+    shared = step(shared_only(with_signatures(docs)), "shared").withColumn("band", _band("bucket"))
     counts = shared.groupBy("bucket").agg(F.count("*").alias("n"))
-    few = shared.join(counts.filter(F.col("n") <= CROWD), "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    i = F.transform("ids", lambda x, k: F.transform(F.slice("ids", k + 2, F.lit(CROWD)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
-    plain = step(few.select(F.explode(F.flatten(i)).alias("p")).select("p.a", "p.b").distinct(), "pairs")
-
-    spare = keys.filter("key <> 0").groupBy("key").agg(F.first("band").alias("band"), F.first("spare").alias("spare"), F.first("spare_below").alias("below"))
-    crowded = shared.join(counts.filter(F.col("n") > CROWD).select("bucket"), "bucket").withColumn("band", _band("bucket"))
+    crowded = step(shared.join(counts.filter(F.col("n") > CROWD).select("bucket"), "bucket"), "crowded")
     lost = crowded.groupBy("id", "band").agg(F.count("*").alias("lost"))
-    short = lost.join(spare.select(F.col("key").alias("id"), F.col("band").alias("own"), "spare", "below"), "id").filter(
-        F.col("lost") > F.when(F.col("band") == F.col("own"), F.col("spare")).otherwise(F.col("below"))
-    ).select("id", "band")
-    hard = step(crowded.join(short, ["id", "band"]).select("bucket", "id"), "crowded")
+    spare = F.when(F.col("band") == F.col("own"), F.col("spare")).otherwise(F.col("below"))
+    known = sets.select(F.col("key").alias("id"), "own", "spare", "below")
+    short = lost.join(known, "id").filter(F.col("lost") > spare).select("id", "band")
+    hard = step(crowded.join(short, ["id", "band"]).select("bucket", "id"), "hard")
+
+    few = shared.join(counts.filter(F.col("n") <= CROWD), "bucket").groupBy("bucket", "band").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    pairs = F.transform("ids", lambda x, k: F.transform(F.slice("ids", k + 2, F.lit(CROWD)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    met = step(few.select("band", F.explode(F.flatten(pairs)).alias("p")).groupBy("p.a", "p.b", "band").agg(F.count("*").alias("met")), "met")
+    # linked sets agree in all but k of the signatures of either one, less those in crowded buckets
+    for side in "ab":
+        met = met.join(known.withColumnRenamed("id", side), side).join(lost.withColumnRenamed("id", side), [side, "band"], "left").filter(
+            F.col("met") >= spare + 1 - F.coalesce("lost", F.lit(0))).select("a", "b", "band", "met")
+    plain = step(met.select("a", "b").distinct(), "pairs")
 
-    wanted = step(plain.select(F.explode(F.array("a", "b")).alias("id")).union(hard.select("id")).distinct(), "wanted")
-    sets = step(sets_of(docs, wanted), "sets")
-    return similar(plain, sets).union(bucket_links(hard, lambda pairs: similar(pairs, sets), 2, True))
+    wanted = plain.select(F.explode(F.array("a", "b")).alias("id")).union(hard.select("id")).distinct()
+    items = step(sets_of(docs, step(wanted.join(sets.select(F.col("key").alias("id"), "row"), "id"), "wanted")), "sets")
+    return similar(plain, items).union(bucket_links(hard, lambda pairs: similar(pairs, items), 2, True))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -261,9 +272,11 @@ def join(docs: DataFrame) -> DataFrame:
     are not read. No rows: no rows.
     """
     keys = step(with_keys(docs), "keys")
-    roots = components(step(links(docs, keys), "all"))
-    owned = keys.filter("key <> 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row")).alias("head"))
-    group = owned.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    owned = step(keys.filter("key <> 0").groupBy("key").agg(
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row")).alias("head"), F.min("row").alias("row"),
+        F.first("band").alias("own"), F.first("spare").alias("spare"), F.first("spare_below").alias("below")), "owned")
+    roots = components(step(links(docs, owned), "all"))
+    group = owned.select("key", "least", "head").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = group.groupBy("root").agg(F.min("least").alias("component_id"), F.min("head").alias("head"))
     by_key = step(group.drop("head").join(least, "root").select("key", "component_id", F.col("head.row").alias("head")), "groups")
     linked = keys.filter("key <> 0").join(by_key, "key").select("row", "doc_id", "n_shingles", "component_id", (F.col("row") == F.col("head")).alias("first"))
