@@ -169,15 +169,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int
         return model
     got = got.sort_by([("id", "ascending"), ("size", "ascending")])
     toxic, sizes = got.column("toxic").to_numpy(), got.column("size").to_numpy()
-    lists = got.column("word").combine_chunks()
+    held = np.array([xxhash.xxh64_intdigest(i) % 5 == 0 for i in got.column("id").to_pylist()])
+    lists, value = got.column("word").combine_chunks(), got.column("value").combine_chunks().flatten().to_numpy()
+    del got
     counts = np.diff(lists.offsets.to_numpy())
-    text = np.repeat(np.arange(len(counts)), counts)
-    word = lists.flatten().to_numpy().astype(np.int64)
-    value = got.column("value").combine_chunks().flatten().to_numpy().astype(np.float64)
+    text, word = np.repeat(np.arange(len(counts), dtype=np.int32), counts), lists.flatten().to_numpy()
+    number, train = np.cumsum(~held) - 1, ~held[text]
+    # from here on only features that tell the labels of the fitted rows apart
+    some = telling(number[text[train]], word[train], DIMENSIONS, toxic[~held] > 0, model.least_texts, model.least_ratio)[word]
+    text, word, value, train = text[some], word[some].astype(np.int64), value[some].astype(np.float64), train[some]
     grade = graded(text, word, value, sizes, toxic)
-    held = np.array([xxhash.xxh64_intdigest(i) % 5 == 0 for i in got.column("id").to_pylist()])
-    train = ~held[text]
-    number = np.cumsum(~held) - 1
     model.fit(number[text[train]], word[train], value[train], grade[~held])
     if held.any():
         p = model.chances(text, word, value, len(toxic))[held, 0]
