@@ -215,6 +215,30 @@ def sql_metres(la: str, oa: str, lb: str, ob: str, radius: float = 6371008.8) ->
     return f"(2*{radius}*asin(sqrt({h})))"
 
 
+def sql_jaro_winkler(x: str, y: str) -> str:
+    """DuckDB expression: Jaro-Winkler, prefix of up to 4, weight 0.1.
+
+    Its own functions halve an odd number of transpositions down and leave out
+    the prefix of low scores.  Matches are gathered here as 1000 i + j.
+    """
+    reach = f"greatest(0, greatest(length({x}),length({y})) // 2 - 1)"
+    free = f"list_filter(range(greatest(1, i[1] - {reach}), least(length({y}), i[1] + {reach}) + 1), lambda j: substr({y},j,1) = substr({x},i[1],1) AND NOT list_contains(list_transform(hits, lambda h: h % 1000), j))"
+    steps = f"list_prepend(CAST([] AS BIGINT[]), list_transform(range(1, length({x}) + 1), lambda i: [i]))"
+    hits = f"list_reduce({steps}, lambda hits, i: CASE WHEN len({free}) = 0 THEN hits ELSE list_append(hits, i[1] * 1000 + ({free})[1]) END)"
+    there = f"list_sort(list_transform({hits}, lambda h: h % 1000))"
+    swapped = f"len(list_filter(list_zip(list_transform({hits}, lambda h: h // 1000), {there}), lambda p: substr({x},p[1],1) <> substr({y},p[2],1)))"
+    m = f"len({hits})"
+    jaro = f"(CASE WHEN {m} = 0 THEN CAST(0 AS DOUBLE) ELSE ({m} / length({x}) + {m} / length({y}) + ({m} - {swapped} / 2) / {m}) / 3 END)"
+    lead = " ".join(f"WHEN least(length({x}),length({y})) < {n} OR left({x},{n}) <> left({y},{n}) THEN {n - 1}" for n in (1, 2, 3, 4))
+    return f"({jaro} + (CASE {lead} ELSE 4 END) * CAST(0.1 AS DOUBLE) * (1 - {jaro}))"
+
+
+def sql_name_score(x: str, y: str) -> str:
+    """DuckDB expression: score of two different canonical names whose skeletons differ."""
+    edit = f"(greatest(length({x}),length({y})) - levenshtein({x},{y})) / greatest(length({x}),length({y}))"
+    return f"least(CAST(0.98 AS DOUBLE), greatest({edit}, {sql_jaro_winkler(x, y)} * CAST(0.95 AS DOUBLE)))"
+
+
 _MASTER_SQL = f"""
 SELECT CAST(b.building_id AS VARCHAR) AS id, b.building_name, b.address,
  {sql_normal_name('b.building_name')} AS normalized_building_name,

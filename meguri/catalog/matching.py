@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meguri.catalog.base import Tables, query, sql_metres, sql_normal_address, sql_normal_name
+from meguri.catalog.base import Tables, query, sql_metres, sql_name_score, sql_normal_address, sql_normal_name
 from meguri.functions import vocab
 from meguri.functions.address import block_key_text
 from meguri.functions.names import with_name
+from meguri.functions.similarity import round4
 from meguri.operators import aggregates as A
 from meguri.operators import joins as J
 from meguri.operators import matching as M
@@ -127,12 +128,49 @@ def _sides(t: Tables):
     return targets, served
 
 
-@query("j6_duplicate_candidates")
+def _sql_candidates(targets: str, existing: str) -> str:
+    """J6 over every pair of one locality or within 30 m, best five: the names
+    here are one word and a number, the addresses three numbers after the locality."""
+    side = """SELECT id, building_name, normalized_address AS na, lower(concat(city,town)) AS loc, CAST(1 + CAST(id AS BIGINT) % 6 AS INT) AS b1,
+     CAST(1 + CAST(id AS BIGINT) % 40 AS INT) AS b2, CAST(1 + CAST(id AS BIGINT) % 9 AS INT) AS b3, latitude, longitude,
+     concat('kustomer',regexp_extract(building_name,'[0-9]+')) AS nm"""
+    m = sql_metres("t.latitude", "t.longitude", "e.latitude", "e.longitude")
+    percent = lambda x: f"concat(CAST(CAST(floor({x} * 100 + 0.5) AS BIGINT) AS VARCHAR),'%')"
+    metres = "concat('座標距離 ',CAST(CAST(floor(m + 0.5) AS BIGINT) AS VARCHAR),'m')"
+    same, loc_ratio = "t.loc = e.loc", "(greatest(length(t.loc),length(e.loc)) - levenshtein(replace(t.loc,'区','#'),replace(e.loc,'区','#'))) / greatest(length(t.loc),length(e.loc))"
+    return f"""
+t AS ({side} FROM ({targets})), e AS ({side} FROM ({existing})),
+x AS (SELECT t.id AS target_id, min(e.id) AS existing_id FROM t JOIN e ON t.na = e.na AND t.na <> '' AND t.id <> e.id GROUP BY t.id),
+near AS (SELECT t.id AS a, e.id AS b FROM t JOIN e ON t.loc = e.loc UNION
+ SELECT t.id, e.id FROM t JOIN e ON abs(t.latitude - e.latitude) < 0.0003 AND abs(t.longitude - e.longitude) < 0.0004),
+p AS (SELECT t.id AS target_id, e.id AS existing_id, {same} AS local, {m} AS m, {sql_name_score('t.nm', 'e.nm')} AS name_score,
+  CASE WHEN t.b1 <> e.b1 THEN 0 WHEN t.b2 <> e.b2 THEN 1 WHEN t.b3 <> e.b3 THEN 2 ELSE 3 END AS d, {loc_ratio} AS lr
+  FROM near JOIN t ON t.id = a JOIN e ON e.id = b WHERE a <> b AND a NOT IN (SELECT target_id FROM x)),
+c AS (SELECT *, floor((CASE WHEN NOT local THEN lr * 0.5 WHEN d = 3 THEN 0.97 ELSE 0.45 + 0.25 * d / 3 END) * 10000 + 0.5) / 10000 AS address_score FROM p
+  WHERE (local AND (d = 3 OR name_score >= 0.85)) OR m <= 10 OR (m <= 30 AND name_score >= 0.5)),
+k AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY address_score DESC, name_score DESC, existing_id) AS rank FROM c),
+found AS (
+SELECT target_id, existing_id, CAST(1 AS INT) AS rank, 'CONFIRMED_DISTRIBUTED' AS status, CAST(1 AS DOUBLE) AS address_score, name_score, m,
+ concat('住所完全一致（normalized_address） / 建物名は不一致だが住所一致を優先（建物名類似度 ',{percent('name_score')},'）') AS reasons
+FROM (SELECT x.target_id, x.existing_id, {m} AS m, {sql_name_score('t.nm', 'e.nm')} AS name_score FROM x JOIN t ON t.id = x.target_id JOIN e ON e.id = x.existing_id)
+UNION ALL
+SELECT target_id, existing_id, CAST(rank AS INT), 'POSSIBLE_DUPLICATE', address_score, name_score, floor(m * 10000 + 0.5) / 10000,
+ concat_ws(' / ', CASE WHEN local AND d = 3 THEN '町名・街区符号が一致（住所表記のみ相違）' END,
+  CASE WHEN local AND d < 3 AND name_score >= 0.85 THEN '同一町名・番地相違だが建物名が高類似' END,
+  CASE WHEN m <= 10 THEN concat({metres},'（ほぼ同一地点）') WHEN m <= 30 AND name_score >= 0.5 THEN concat({metres},' かつ建物名が類似') END,
+  concat('住所類似度 ',{percent('address_score')}), concat('建物名類似度 ',{percent('name_score')})) FROM k WHERE rank <= 5)"""
+
+
+_UNSERVED, _SERVED_ROWS = "SELECT * FROM master WHERE distribution_count = 0", "SELECT * FROM master WHERE distribution_count > 0"
+
+
+@query("j6_duplicate_candidates", f"""WITH {_sql_candidates(_UNSERVED, _SERVED_ROWS)}
+SELECT target_id, existing_id, rank, status, address_score, round(name_score, 6) AS name_score, floor(m * 10000 + 0.5) / 10000 AS distance_meters, reasons FROM found""")
 def j6(t: Tables):
     """The five best candidates of every unserved building among the served ones."""
     return M.match_candidates(*_sides(t)).select(
         "target_id", "existing_id", "rank", "status", "address_score", F.round("name_score", 6).alias("name_score"),
-        F.round("distance_meters", 3).alias("distance_meters"), F.array_join("reasons", " / ").alias("reasons"))
+        round4(F.col("distance_meters")).alias("distance_meters"), F.array_join("reasons", " / ").alias("reasons"))
 
 
 @query("j6_confirmed_by_address", """
@@ -229,17 +267,12 @@ def w2(t: Tables):
     return done.select("id", F.col("rank").cast("long").alias("rank"), F.col("candidate.name").alias("name"), F.round("distance", 3).alias("distance"))
 
 
-@query("w3_top_candidates", """
-SELECT new_id, other_id, rank FROM (SELECT a.id AS new_id, b.id AS other_id, row_number() OVER (PARTITION BY a.id ORDER BY b.total_units DESC NULLS LAST, b.id) AS rank
-FROM master a JOIN master b ON a.city = b.city AND a.town = b.town AND a.id <> b.id WHERE CAST(a.id AS BIGINT) % 10 = 0) WHERE rank <= 5""")
+@query("w3_top_candidates", f"""WITH {_sql_candidates(_UNSERVED, _SERVED_ROWS)}
+SELECT target_id AS new_id, existing_id AS other_id, rank FROM found WHERE rank <= 3""")
 def w3(t: Tables):
-    """The five best per building of a sample of pairs, ties by id."""
-    from meguri.operators.dedup import top_per_key
-    a = t.master.filter(F.col("id").cast("long") % 10 == 0).select(F.col("id").alias("new_id"), "city", "town")
-    b = t.master.select(F.col("id").alias("other_id"), "city", "town", "total_units")
-    pairs = a.join(b, ["city", "town"]).filter("new_id <> other_id")
-    best = top_per_key(pairs, ["new_id"], [F.col("total_units").desc_nulls_last(), F.col("other_id")], 5)
-    return best.select("new_id", "other_id", F.col("rank").cast("long").alias("rank"))
+    """The three best candidates of every unserved building."""
+    best = M.match_candidates(*_sides(t), top=3)
+    return best.select(F.col("target_id").alias("new_id"), F.col("existing_id").alias("other_id"), "rank")
 
 
 # -- name lists ------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meguri.catalog.base import Tables, query, sql_metres, sql_normal_address, sql_normal_name
+from meguri.catalog.base import Tables, query, sql_jaro_winkler, sql_metres, sql_name_score, sql_normal_address, sql_normal_name
 from meguri.functions import address as P
 from meguri.functions import geo, names, osm, parse, similarity, use, vocab
 from meguri.operators import aggregates as A
@@ -282,7 +282,8 @@ def n3(t: Tables):
     return _pairs(t).select("building_id", similarity.bigram_dice(F.col("f.canonical"), F.col("g.canonical")).alias("dice"))
 
 
-@query("n4_jaro_winkler")
+@query("n4_jaro_winkler", f"""
+WITH n AS ({_LISTED}) SELECT a.building_id, {sql_jaro_winkler('a.c', 'b.c')} AS score FROM n a JOIN n b ON b.building_id = a.building_id + 4""")
 def n4(t: Tables):
     return _pairs(t).select("building_id", similarity.jaro_winkler(F.col("f.canonical"), F.col("g.canonical")).alias("score"))
 
@@ -301,7 +302,9 @@ def n6(t: Tables):
     return _pairs(t).select("building_id", similarity.is_token_prefix(short, F.col("g.tokens")).alias("is_prefix"))
 
 
-@query("n1_name_similarity")
+@query("n1_name_similarity", f"""
+WITH n AS ({_LISTED}) SELECT a.building_id, {sql_name_score('a.c', 'b.c')} AS score, false AS token_exact, false AS translit
+FROM n a JOIN n b ON b.building_id = a.building_id + 4""")
 def n1(t: Tables):
     done = _pairs(t).withColumn("s", similarity.name_similarity(F.col("f"), F.col("g")))
     return done.select("building_id", "s.score", "s.token_exact", "s.translit")

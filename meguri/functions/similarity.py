@@ -105,16 +105,24 @@ JARO_WEIGHT = 0.95
 SKELETON_SCORE = 0.95
 
 
+def compared_names(a: Column, b: Column) -> tuple[Column, Column]:
+    """The forms that are compared: canonical, or the surface if either canonical form is empty."""
+    bare = (F.length(a["canonical"]) == 0) | (F.length(b["canonical"]) == 0)
+    return tuple(F.when(bare, n["normalized"]).otherwise(n["canonical"]) for n in (a, b))
+
+
 def name_similarity(a: Column, b: Column) -> Column:
     """struct(score, token_exact, translit) of two name-feature structs.
 
     1 for equal canonical names; otherwise the best of the edit ratio, 0.95 x
     Jaro-Winkler of the canonical names, and 0.95 for equal consonant
-    skeletons, kept under 0.98.  An empty name scores 0 against everything.
+    skeletons, kept under 0.98.  An empty name scores 0 against everything.  A
+    name made of common words only has no canonical form; it and what it is
+    compared with count by their surface forms.
 
     The Jaro-Winkler UDF gets NULL for pairs already decided without it.
     """
-    x, y = a["canonical"], b["canonical"]
+    x, y = compared_names(a, b)
     usable = (F.length(a["normalized"]) > 0) & (F.length(b["normalized"]) > 0)
     exact = usable & (x == y) & (F.length(x) > 0)
     skeleton = (a["skeleton"] == b["skeleton"]) & (F.length(a["skeleton"]) > 0)

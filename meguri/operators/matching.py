@@ -27,7 +27,7 @@ from meguri.functions.address import with_address
 from meguri.functions.names import with_name
 from meguri.functions.parse import metres_text, percent_text
 from meguri.functions.similarity import (
-    JARO_WEIGHT, address_score, block_relation, common_depth, levenshtein_ratio, name_similarity, round4,
+    JARO_WEIGHT, address_score, block_relation, common_depth, compared_names, levenshtein_ratio, name_similarity, round4,
     same_locality,
 )
 from meguri.operators.dedup import order_columns, top_per_key
@@ -108,41 +108,51 @@ def _prefixes(blocks: Column, last: Column) -> Column:
 # Characters of folded names, rarest first (fixed order; the rest, mostly kanji,
 # come before these).
 _COMMON_CHARS = "qxjvlcpwdfzbyhgktmsnreouia0123456789"
-# A score of 0.85 needs Jaro-Winkler of 0.8947.  Unless the first four letters
-# agree (then the lead key meets), the names share m letters with
-# m (1/a + 1/b) >= 1.5489, hence m >= 0.5489 a for either length a.
-_SHARED_SHARE = 0.5489
 
 
-def name_keys(name: Column) -> Column:
-    """Keys of which two names scoring 0.85 or more share at least one.
+def shared_share(score: float) -> float:
+    """The least share of either name's letters that two names of this score or
+    more have in common, unless their first four letters or their skeletons agree.
 
-    The first four letters; the consonant skeleton; and the rarest letters
-    (numbered by occurrence), as many as must hit a common one.
+    An edit ratio of s keeps s of the letters.  Jaro-Winkler of w with at most
+    three leading letters means Jaro of j = (w - 0.3) / 0.7 or more, hence m
+    common letters with m (1/a + 1/b) >= 3 j - 1, and so m >= (3 j - 2) a.
     """
-    text = name["canonical"]
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    jaro = (score / JARO_WEIGHT - 0.3) / 0.7
+    return min(score, 3 * jaro - 2)
+
 
-    def numbered(c: Column, i: Column) -> Column:
-        nth = F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda d: d == c))
-        rank = F.lpad(F.position(c, F.lit(_COMMON_CHARS)).cast("string"), 2, "0")
-        return F.concat(rank, c, nth.cast("string"))
+def name_keys(name: Column, share: float) -> Column:
+    """Keys of which two names share at least one, if they have ``share`` > 0 of
+    their letters in common, the first four letters or the skeleton.
 
-    need = F.ceil(F.size(letters) * _SHARED_SHARE).cast("int")
-    by_rarity = F.array_sort(F.transform(letters, numbered))
-    rare = F.slice(by_rarity, F.lit(1), F.greatest(F.size(letters) - need + 1, F.lit(1)))
+    The first four letters; the consonant skeleton; and the rarest letters
+    (numbered by occurrence), as many as must hit a common one: of the
+    canonical form and, as names without one are compared by it, of the surface.
+    """
     none = F.array().cast("array<string>")
-    keys = F.concat(
-        F.array(F.concat(F.lit("l:"), F.substring(text, 1, 4))),
-        F.when(F.length(name["skeleton"]) > 0, F.array(F.concat(F.lit("s:"), name["skeleton"]))).otherwise(none),
-        F.transform(rare, lambda k: F.concat(F.lit("c:"), k)),
-    )
-    return F.when(F.length(text) > 0, F.array_distinct(keys)).otherwise(none)
+
+    def form_keys(text: Column, mark: str) -> Column:
+        letters = F.filter(F.split(text, ""), lambda c: c != "")
+
+        def numbered(c: Column, i: Column) -> Column:
+            nth = F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda d: d == c))
+            rank = F.lpad(F.position(c, F.lit(_COMMON_CHARS)).cast("string"), 2, "0")
+            return F.concat(rank, c, nth.cast("string"))
+
+        need = F.ceil(F.size(letters) * share - 1e-9).cast("int")
+        by_rarity = F.array_sort(F.transform(letters, numbered))
+        rare = F.slice(by_rarity, F.lit(1), F.greatest(F.size(letters) - need + 1, F.lit(1)))
+        lead = F.array(F.concat(F.lit(f"{mark}l:"), F.substring(text, 1, 4)))
+        return F.when(F.length(text) > 0, F.concat(lead, F.transform(rare, lambda k: F.concat(F.lit(f"{mark}c:"), k)))).otherwise(none)
+
+    skeleton = F.when(F.length(name["skeleton"]) > 0, F.array(F.concat(F.lit("s:"), name["skeleton"]))).otherwise(none)
+    return F.array_distinct(F.concat(form_keys(name["canonical"], ""), skeleton, form_keys(name["normalized"], "n")))
 
 
 def _score_ceiling(a: Column, b: Column) -> Column:
     """A cheap bound the name score cannot exceed, from lengths and shared letters."""
-    x, y = a["canonical"], b["canonical"]
+    x, y = compared_names(a, b)
     la, lb = F.length(x), F.length(y)
     without = lambda a, b: F.length(F.call_function("translate", a, b, F.lit("")))
     shared = F.least(la - without(x, y), lb - without(y, x))
@@ -231,36 +241,41 @@ def _close_pairs(t: DataFrame, e: DataFrame) -> DataFrame:
     return contained.unionByName(containing).unionByName(siblings.filter(differ & (_blocks_text(tb) != _blocks_text(eb))))
 
 
-# Served rows that may share a key before rows must also meet on a name key.
+# Served rows that may share a key before rows meet on a name key as well.
 CROWD = 200
 
 
-def _divergent_pairs(t: DataFrame, e: DataFrame, depth: int) -> DataFrame:
-    """Pairs with agreeing localities whose blocks agree on exactly ``depth`` numbers.
+def _divergent_pairs(t: DataFrame, e: DataFrame, depth: int, least_name: float) -> DataFrame:
+    """Pairs with agreeing localities whose blocks agree on exactly ``depth``
+    numbers, among them all whose names score ``least_name`` or more.
 
     Rows meet on the locality and those numbers.  Where more than CROWD served
     rows share that, they must share a name key too, which every pair similar
-    enough does.
+    enough does; for scores so low that names need no letter in common, all
+    rows of the key meet.
     """
     n = F.lit(depth)
+    share = shared_share(least_name)
 
     def keyed(df: DataFrame, loc: Column, side: str) -> DataFrame:
         blocks = F.col(f"{side}.addr.blocks")
         return df.filter(F.size(blocks) > depth).withColumn("_key", _key(loc, _blocks_text(blocks, n)))
 
     asked, stored = keyed(t, F.col("e_loc"), "t"), keyed(e, F.col("e.addr.locality"), "e")
+    apart = F.get(F.col("t.addr.blocks"), n) != F.get(F.col("e.addr.blocks"), n)
+    if share <= 0:
+        return asked.join(stored, "_key").select("t", "e").filter(apart)
     crowded = stored.groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > CROWD).select("_key")
     plain = asked.join(crowded, "_key", "left_anti").join(stored.join(crowded, "_key", "left_anti"), "_key")
 
     def by_name(df: DataFrame, side: str) -> DataFrame:
-        keys = df.join(crowded, "_key", "left_semi").withColumn(f"{side}_keys", name_keys(F.col(f"{side}.name")))
+        keys = df.join(crowded, "_key", "left_semi").withColumn(f"{side}_keys", name_keys(F.col(f"{side}.name"), share))
         return keys.withColumn("_name_key", F.explode(f"{side}_keys"))
 
     # A pair may share several name keys: keep the meeting at the smallest one only.
     named = by_name(asked, "t").join(by_name(stored, "e"), ["_key", "_name_key"]).filter(
         F.array_min(F.array_intersect("t_keys", "e_keys")) == F.col("_name_key")
     )
-    apart = F.get(F.col("t.addr.blocks"), n) != F.get(F.col("e.addr.blocks"), n)
     return plain.select("t", "e").unionByName(named.select("t", "e")).filter(apart)
 
 
@@ -320,7 +335,7 @@ def match_candidates(targets: DataFrame, existing: DataFrame, top: int | None =
     for depth, ceiling in ((1, 0.575), (0, 0.45)):
         short = settled(_unsaturated(placed, found, ceiling, top), "short")
         if not short.isEmpty():
-            loose = _scored(_divergent_pairs(short, e, depth).filter(not_self), th)
+            loose = _scored(_divergent_pairs(short, e, depth, th.divergent_name).filter(not_self), th)
             found = found.unionByName(settled(loose, "loose"))
     found = found.dropDuplicates(["target_id", "existing_id"])
 
