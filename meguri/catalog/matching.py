@@ -48,11 +48,11 @@ def j1(t: Tables):
 # New rows next to stored buildings: same source id, same name, shifted points, elsewhere.
 _NEW = """
 SELECT building_id AS row_no, CASE building_id % 5 WHEN 2 THEN '（建物名不明）' WHEN 4 THEN concat('別館',CAST(building_id AS STRING)) ELSE building_name END AS building_name,
- CASE building_id % 5 WHEN 3 THEN concat('架空区九番町',CAST(building_id AS STRING),'-1') WHEN 4 THEN concat('新区一番町',CAST(building_id AS STRING),'-2') ELSE address END AS address,
+ CASE building_id % 5 WHEN 3 THEN concat('架空区桜町',CAST(building_id AS STRING),'-1') WHEN 4 THEN concat('新区松町',CAST(building_id AS STRING),'-2') ELSE address END AS address,
  CAST(total_units AS INT) AS total_units, property_type, 'apartments' AS building_use_raw,
  CASE building_id % 5 WHEN 2 THEN latitude + CAST(0.00002 AS DOUBLE) WHEN 4 THEN latitude + CAST(0.00008 AS DOUBLE) ELSE latitude END AS latitude, longitude,
  CASE building_id % 5 WHEN 0 THEN source_ref ELSE concat('list:',CAST(building_id AS STRING)) END AS source_ref
-FROM buildings WHERE building_id % 2 = 0
+FROM buildings
 """
 
 
