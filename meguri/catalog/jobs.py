@@ -489,3 +489,21 @@ def x1(t: Tables):
     return X.current_rollup(t.spark, path)
 
 
+@query("x1_rollup_after_deletes", """
+SELECT user_id AS building_id, count(*) AS distribution_count, max(CAST(ts AS DATE)) AS last_distributed_date FROM events WHERE event_id % 3 <> 0 GROUP BY user_id""")
+def x1_deletes(t: Tables):
+    """Three epochs: most events, then a third of all deleted (some never seen till then), then the rest."""
+    folder, path, checkpoint, smaller = (new_path(t.spark, label) for label in ("changes", "rollup", "stream", "compact"))
+    events = t.table("events").select("event_id", F.col("user_id").alias("building_id"), F.to_date("ts").alias("distributed_date"))
+    k = F.col("event_id")
+    early, late = events.filter(k % 5 != 0).withColumn("op", F.lit("insert")), events.filter(k % 5 == 0).withColumn("op", F.lit("insert"))
+    gone = events.filter(k % 3 == 0).withColumn("op", F.lit("delete"))
+    for step, (rows, to) in enumerate(((early, path), (gone, path), (late, smaller))):
+        rows.write.mode("append").parquet(folder)
+        if step == 2:
+            X.compact(t.spark, path, smaller)
+        stream = t.spark.readStream.schema(rows.schema).parquet(folder)
+        X.start_rollup(stream, to, checkpoint).awaitTermination()
+    return X.current_rollup(t.spark, smaller)
+
+

@@ -143,13 +143,10 @@ for _sort, _order in {
 }.items():
     @query(f"o1_sort_{_sort}", f"""
 WITH s AS (SELECT id, normalized_address, building_name, total_units, row_number() OVER (ORDER BY {_order}, id) AS position FROM master)
-SELECT id, position FROM s WHERE position <= 300""")
+SELECT id, position FROM s""")
     def o1(t: Tables, sort=_sort):
-        """The first 300 of the order, with their position."""
-        page = L.list_page(t.master, L.BuildingFilter(sort=sort, statuses=_ALL, min_units=0), 300)
-        from pyspark.sql import Window
-        place = F.row_number().over(Window.orderBy(*L.sort_order(sort)))  # over one page of rows
-        return page.withColumn("position", place.cast("long")).select("id", "position")
+        """The position of every row in the order."""
+        return L.positions(t.master, sort).select("id", "position")
 
 
 @query("o2_list_page", """
@@ -320,7 +317,7 @@ def p22(t: Tables):
 @query("j14_pending_pairs", """
 SELECT p.id, p.address_similarity_score, n.building_name AS new_name, e.building_name AS existing_name FROM pairs p
 LEFT JOIN master n ON p.new_building_id = n.id LEFT JOIN master e ON p.possible_existing_building_id = e.id
-WHERE p.status = 'pending' ORDER BY p.address_similarity_score DESC, p.id LIMIT 300""")
+WHERE p.status = 'pending'""")
 def j14(t: Tables):
     return J.pending_pairs(t.candidates, t.master).select(
         "id", "address_similarity_score", F.col("new_building.building_name").alias("new_name"),
@@ -330,7 +327,7 @@ def j14(t: Tables):
 @query("j15_resolved_pairs", """
 SELECT p.id, p.status, n.building_name AS new_name, e.building_name AS existing_name FROM pairs p
 LEFT JOIN master n ON p.new_building_id = n.id LEFT JOIN master e ON p.possible_existing_building_id = e.id
-WHERE p.status <> 'pending' ORDER BY p.resolved_on DESC, p.id LIMIT 50""")
+WHERE p.status <> 'pending'""")
 def j15(t: Tables):
     return J.resolved_pairs(t.candidates, t.master).select(
         "id", "status", F.col("new_building.building_name").alias("new_name"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from meguri.catalog.base import Tables, query
 from meguri.functions import vocab
-from meguri.session import new_path
+from meguri.session import allow_shift_jis, new_path
 from meguri.sources import csv_files as C
 from meguri.sources import landed as D
 from meguri.sources import pages as P
@@ -34,6 +34,18 @@ def s1(t: Tables):
     return C.read_csv(t.spark, _written(rows, "s1")).select("building_id", "building_name", "note")
 
 
+@query("s1_mixed_folder", "SELECT CAST(building_id AS VARCHAR) AS building_id, building_name, address, CASE WHEN building_id % 2 = 0 THEN town END AS town FROM buildings")
+def s1_mixed(t: Tables):
+    """One folder, two layouts: other columns in another order, the second in Shift_JIS."""
+    k, path = F.col("building_id"), new_path(t.spark, "s1-mixed")
+    text = t.buildings.select(k.cast("string").alias("building_id"), "building_name", "address", "town")
+    allow_shift_jis(t.spark)
+    text.filter(k % 2 == 0).write.options(header=True, escape='"').csv(path)
+    text.filter(k % 2 == 1).select("address", "building_id", "building_name").write.options(
+        header=True, escape='"', encoding="Shift_JIS").mode("append").csv(path)
+    return C.read_csv(t.spark, path).select("building_id", "building_name", "address", "town")
+
+
 @query("s2_building_list", """
 SELECT building_name, address, city, town, prefecture, total_units, property_type, latitude, longitude FROM
  (SELECT building_name, address, city, town, CAST(NULL AS VARCHAR) AS prefecture, total_units,

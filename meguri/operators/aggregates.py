@@ -229,8 +229,9 @@ def grouped_messages(failures: DataFrame) -> DataFrame:
     return counts.withColumn("text", F.concat("message", F.lit("（"), F.col("count").cast("string"), F.lit(" 件）")))
 
 
-def import_batch(results: DataFrame, file_name: str, kind: str = "distributed", mapping: dict | None = None) -> DataFrame:
-    """The audit row of one import."""
+def import_batch(results: DataFrame, file_name: str, kind: str = "distributed", mapping: dict | None = None,
+                 batch: str | None = None) -> DataFrame:
+    """The audit row of one import; ``batch`` tells imports of one file name apart."""
     n = lambda *names: F.count_if(F.col("outcome").isin(*names))
     pairs = [F.lit(x) for kv in (mapping or {}).items() for x in kv]
     mapped = (F.create_map(*pairs) if pairs else F.create_map()).cast("map<string,string>")
@@ -241,7 +242,7 @@ def import_batch(results: DataFrame, file_name: str, kind: str = "distributed",
         n("possible_duplicate", "already_distributed").alias("duplicate_rows"),
         n("skipped").alias("skipped_rows"),
     ).select(
-        F.sha2(F.lit(f"{kind}/{file_name}"), 256).alias("id"),
+        F.sha2(F.lit(f"{kind}/{batch or file_name}"), 256).alias("id"),
         F.lit(file_name).alias("file_name"), F.lit(kind).alias("kind"), "*", mapped.alias("column_mapping"),
     )
 

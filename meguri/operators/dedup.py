@@ -78,6 +78,7 @@ def merge_areas(*areas: DataFrame) -> DataFrame:
 
 
 def order_columns(df: DataFrame, id_column: str = "id") -> list[Column]:
-    """The order in which 'the first' stored row is meant: (created_at, id)."""
-    created = [F.col("created_at")] if "created_at" in df.columns else []
+    """The order in which 'the first' stored row is meant: (created_at, id); rows
+    without a time come after those with one."""
+    created = [F.coalesce("created_at", F.lit("9999-12-31").cast("timestamp"))] if "created_at" in df.columns else []
     return [*created, F.col(id_column)]

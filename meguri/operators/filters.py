@@ -6,10 +6,11 @@ from dataclasses import dataclass, field
 from datetime import date, timedelta
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meguri.functions import vocab
+from meguri.session import settled
 
 PAGE_SIZE = 100
 DEFAULT_MIN_UNITS = 6
@@ -144,6 +145,21 @@ def sort_order(sort: str) -> list[Column]:
     return [*orders.get(sort, orders["address_asc"]), F.col("id").asc()]
 
 
+def positions(buildings: DataFrame, sort: str) -> DataFrame:
+    """O1: the position of every row in an order, from 1.
+
+    The sort deals rows by range; a row's place among its task's rows and the
+    sizes of the tasks before give the position, one row a task being summed up.
+    """
+    placed = settled(buildings.orderBy(*sort_order(sort)).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    task, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(task.alias("_task")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = sizes.select("_task", F.coalesce(before, F.lit(0)).alias("_ahead"))
+    return placed.withColumn("_task", task).join(ahead, "_task").withColumn(
+        "position", F.col("_ahead") + place + 1).drop("_task", "_at", "_ahead")
+
+
 def list_page(buildings: DataFrame, f: BuildingFilter, page_size: int = PAGE_SIZE) -> DataFrame:
     """O2: one page of the list. A page near the front is a top-n, not a full sort."""
     matched = filter_buildings(buildings, f).orderBy(*sort_order(f.sort))
@@ -242,26 +258,21 @@ def robots_decision(urls: DataFrame, groups: DataFrame, agent: str) -> DataFrame
 
     ``urls`` has url; ``groups`` has host, group_no, user_agents, rules (array of
     type, path), crawl_delay_ms.  The longest matching path wins, allow wins a
-    tie, and no matching rule means allowed.  The best rule per url is an
-    aggregate over (url, rule) matches, so no url's rules are gathered.
+    tie, and no matching rule means allowed.  A host's rules stay one array, so a
+    url is one row however many rules its host has.
     """
     bound = groups.join(_agent_groups(groups, agent), ["host", "group_no"], "left_semi")
-    rules = bound.select("host", "crawl_delay_ms", F.explode_outer("rules").alias("rule")).select(
-        F.col("host").alias("_host"), "crawl_delay_ms", "rule.type", "rule.path",
-        path_pattern(F.col("rule.path")).alias("_pattern"),
+    rules = bound.groupBy(F.col("host").alias("_host")).agg(
+        F.flatten(F.collect_list(F.transform("rules", lambda r: F.struct(r["type"].alias("type"), r["path"].alias("path"), path_pattern(r["path"]).alias("pattern"))))).alias("_rules"),
+        F.max("crawl_delay_ms").alias("crawl_delay_ms"),
     )
     target = urls.select("url").distinct().withColumns(
         {"_host": url_host(F.col("url")), "_path": url_path(F.col("url"))}
     )
-    hit = F.coalesce(F.expr("_path rlike _pattern"), F.lit(False))
-    weight = F.struct(F.length("path"), (F.col("type") == "allow").cast("int"))
-    matched = target.join(rules, "_host", "left").withColumns(
-        {"_hit": hit, "_rule": F.struct("type", "path")}
-    )
-    best = matched.groupBy("url").agg(
-        F.max_by(F.when(F.col("_hit"), F.col("_rule")), F.when(F.col("_hit"), weight)).alias("rule"),
-        F.max("crawl_delay_ms").alias("crawl_delay_ms"),
-    )
+    hits = F.filter("_rules", lambda r: F.coalesce(F.regexp_like(F.col("_path"), r["pattern"]), F.lit(False)))
+    ranked = F.transform(hits, lambda r: F.struct(
+        F.length(r["path"]).alias("size"), (r["type"] == "allow").cast("int").alias("allows"), r["type"].alias("type"), r["path"].alias("path")))
+    best = target.join(rules, "_host", "left").select("url", F.array_max(ranked).alias("rule"), "crawl_delay_ms")
     denied = F.coalesce(F.col("rule.type") == "disallow", F.lit(False))
     return best.select(
         "url", (~denied).alias("allowed"),

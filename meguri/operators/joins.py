@@ -9,7 +9,6 @@ from meguri.functions import geo, vocab
 from meguri.functions.names import is_unnamed
 from meguri.functions.text import trim_space
 from meguri.operators.dedup import first_wins, order_columns, top_per_key
-from meguri.session import fits_broadcast
 
 MERGE_DISTANCE_M = 5.0
 NEAR_DISTANCE_M = 15.0
@@ -194,8 +193,8 @@ def nearest_point(rows: DataFrame, points: DataFrame, by: list[str] | None = Non
 
     ``rows``: row_no, latitude, longitude; ``points``: point_id, town, block,
     latitude, longitude.  ``by`` names shared columns (such as city) that must
-    agree as well.  A point list shown to be small is broadcast; else both sides
-    are shuffled by cell, where each point appears once.
+    agree as well.  Rows and points meet by cell, where each point appears once;
+    Spark broadcasts the points where they are small.
     """
     by = by or []
     known = points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
@@ -205,8 +204,6 @@ def nearest_point(rows: DataFrame, points: DataFrame, by: list[str] | None = Non
         ), "_lat", "_lon", cell,
     )
     spots = first_wins(spots, [*by, "_lat", "_lon"], ["point_id"])
-    if fits_broadcast(spots):
-        spots = F.broadcast(spots)
     asked = rows.select("row_no", *by, "latitude", "longitude").filter("latitude is not null and longitude is not null")
     pairs = (
         _in_cells(asked, "latitude", "longitude", cell).join(spots, [*by, "_cell"])
@@ -330,10 +327,10 @@ def _with_both(candidates: DataFrame, buildings: DataFrame) -> DataFrame:
     return candidates.join(new, "new_building_id", "left").join(old, "possible_existing_building_id", "left")
 
 
-def pending_pairs(candidates: DataFrame, buildings: DataFrame, building_id=None, limit: int | None = 300) -> DataFrame:
+def pending_pairs(candidates: DataFrame, buildings: DataFrame, building_id=None, limit: int | None = None) -> DataFrame:
     """Waiting candidates with both buildings, best address score first.
 
-    The limit is the page of the report; it is taken before the joins.
+    A limit, if asked for, is the page of the report; it is taken before the joins.
     """
     waiting = candidates.filter(F.col("status") == "pending")
     if building_id is not None:
@@ -343,7 +340,7 @@ def pending_pairs(candidates: DataFrame, buildings: DataFrame, building_id=None,
     return _with_both(page, buildings).orderBy(*order)
 
 
-def resolved_pairs(candidates: DataFrame, buildings: DataFrame, limit: int | None = 50) -> DataFrame:
+def resolved_pairs(candidates: DataFrame, buildings: DataFrame, limit: int | None = None) -> DataFrame:
     """Judged candidates with both buildings, latest decision first."""
     judged = candidates.filter(F.col("status") != "pending")
     order = [F.col("resolved_at").desc_nulls_first(), F.col("id")]

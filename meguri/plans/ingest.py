@@ -6,7 +6,8 @@ Every job takes snapshots and returns new snapshots; the caller writes them.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -231,8 +232,9 @@ def preview(rows: DataFrame, before: Snapshot, create_unmatched: bool = True) ->
     return results_of(decide(rows, before, create_unmatched)[0])
 
 
-def new_buildings(rows: DataFrame, source: str, columns: list[str] | None = None) -> DataFrame:
-    """The stored form of inserted rows (trimmed, defaults, NULL kept NULL)."""
+def new_buildings(rows: DataFrame, source: str, columns: list[str] | None = None, at: datetime | None = None) -> DataFrame:
+    """The stored form of inserted rows (trimmed, defaults, NULL kept NULL),
+    created ``at`` that time, or now."""
     out = rows.select(
         F.col("building_id").alias("id"),
         F.coalesce(blank_to_null(F.col("building_name")), F.lit(vocab.BLANK_NAME)).alias("building_name"),
@@ -243,6 +245,7 @@ def new_buildings(rows: DataFrame, source: str, columns: list[str] | None = None
         "latitude", "longitude", F.lit(vocab.NOT_DISTRIBUTED).alias("status"),
         F.lit(None).cast("date").alias("last_distributed_date"), F.lit(0).cast("long").alias("distribution_count"),
         F.lit(source).alias("source"), "source_ref", "address_source", "address_precision",
+        (F.current_timestamp() if at is None else F.lit(at)).alias("created_at"),
     )
     return out if columns is None else out.select(*[c for c in columns if c in out.columns])
 
@@ -286,16 +289,17 @@ def _add(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def ingest(rows: DataFrame, before: Snapshot, source: str, create_unmatched: bool = True,
-           reject_development: bool = True, batch: str = "batch") -> IngestResult:
+           reject_development: bool = True, batch: str = "batch", at: datetime | None = None) -> IngestResult:
     """Past rows become history of the building they name; new rows are
-    merged, inserted, or set aside as possible duplicates."""
+    merged, inserted, or set aside as possible duplicates.  ``batch`` names this
+    run and no other: it is part of every new id."""
     decisions, pairs = decide(rows, before, create_unmatched, reject_development, batch)
     decisions = settled(decisions, "decisions")
     taken = decisions.filter(F.col("building_id").isNotNull())
 
     buildings = before.buildings
     inserted = taken.filter(F.col("into") == F.col("row_no"))
-    buildings = _add(buildings, new_buildings(inserted, source))
+    buildings = _add(buildings, new_buildings(inserted, source, at=at))
     buildings = fill_missing(buildings, taken.filter(~F.col("is_past") & (F.col("outcome") == "merged")))
 
     events = taken.filter("is_past").select(
@@ -351,12 +355,14 @@ def reconcile(before: Snapshot, cities: DataFrame) -> Reconciled:
     return Reconciled(Snapshot(buildings, before.history, candidates), counts)
 
 
-def mark_distributed(before: Snapshot, chosen: DataFrame, on: date, by: str = "", notes: str = "") -> Snapshot:
-    """History rows for the chosen buildings (id); their waiting pairs become ``same``."""
+def mark_distributed(before: Snapshot, chosen: DataFrame, on: date, by: str = "", notes: str = "", batch: str | None = None) -> Snapshot:
+    """History rows for the chosen buildings (id); their waiting pairs become
+    ``same``.  ``batch`` names this marking in the ids; by default a name of its own."""
+    batch = batch or uuid4().hex
     ids = chosen.select("id").distinct()
     blank = lambda v: F.nullif(F.lit(v.strip()), F.lit(""))
     events = ids.select(
-        _id_of(F.lit("mark"), F.col("id"), F.lit(on.isoformat())).alias("id"), F.col("id").cast("string").alias("building_id"),
+        _id_of(F.lit("mark"), F.lit(batch), F.col("id"), F.lit(on.isoformat())).alias("id"), F.col("id").cast("string").alias("building_id"),
         F.lit(on).alias("distributed_date"), blank(by).alias("distributed_by"), blank(notes).alias("notes"),
     )
     history = _add(before.history, events)
@@ -377,14 +383,17 @@ class ImportRun:
     batch: DataFrame
 
 
-def run_import(rows: DataFrame, before: Snapshot, file_name: str, mapping: dict | None = None) -> ImportRun:
+def run_import(rows: DataFrame, before: Snapshot, file_name: str, mapping: dict | None = None, batch: str | None = None) -> ImportRun:
     """Past-distribution list: ingest without creating buildings, then
-    reconcile the cities the list names, then the audit row."""
-    done = ingest(rows, before, "import", create_unmatched=False, batch=file_name)
+    reconcile the cities the list names, then the audit row.  ``batch`` names this
+    import in the ids; by default a name of its own, so that a file of the same
+    name imported again makes rows of its own."""
+    name = batch or f"{file_name}/{uuid4().hex}"
+    done = ingest(rows, before, "import", create_unmatched=False, batch=name)
     middle = Snapshot(settled(done.after.buildings, "buildings"), done.after.history, done.after.candidates)
     cities = rows.select(address_parts(F.col("address"))["city"].alias("city"))
     reconciled = reconcile(middle, cities)
-    batch = aggregates.import_batch(done.results, file_name, "distributed", mapping)
+    batch = aggregates.import_batch(done.results, file_name, "distributed", mapping, name)
     return ImportRun(done.results, reconciled.after, reconciled.counts, batch)
 
 

@@ -178,13 +178,14 @@ def _apply_names(buildings: DataFrame, names: DataFrame, source: str) -> DataFra
 def edit_names(buildings: DataFrame, edits: DataFrame) -> NameEdits:
     """Names typed by people (id, building_name), 1 to 200 characters.
 
-    An edit is refused when another building at the address has the name, or an
-    earlier edit (by id) takes it.  Accepted rows are marked manual.
+    An edit is refused when there is no such building, when another building at
+    the address has the name, or when an earlier edit (by id) takes it.  Accepted
+    rows are marked manual.
     """
     text = trim_space(F.coalesce("building_name", F.lit("")))
     asked = first_wins(edits.select("id", text.alias("_new")), ["id"], ["_new"])
     asked = asked.withColumn("_key", normalize_name(F.col("_new"))).join(
-        buildings.select("id", "normalized_address", F.col("building_name").alias("old_building_name")), "id", "left"
+        buildings.select("id", "normalized_address", F.col("building_name").alias("old_building_name"), F.lit(True).alias("_known")), "id", "left"
     )
     place = F.coalesce("normalized_address", F.lit(""))
     asked = settled(asked.withColumn("_at", F.when(place != "", place)), "edits")
@@ -197,7 +198,8 @@ def edit_names(buildings: DataFrame, edits: DataFrame) -> NameEdits:
         (F.col("_min") != F.col("id")) | (F.col("_max") != F.col("id")) | (F.col("_first") < F.col("id")), F.lit(False)
     )
     error = (
-        F.when(F.col("_new") == "", "建物名を入力してください。")
+        F.when(F.col("_known").isNull(), "該当する建物がない")
+        .when(F.col("_new") == "", "建物名を入力してください。")
         .when(F.length("_new") > 200, "建物名が長すぎます（200文字まで）。")
         .when(clash, "同じ住所に同じ建物名が既に登録されています。別の名前にするか、重複候補の確認画面で整理してください。")
     )

@@ -260,19 +260,20 @@ def apply_research(buildings: DataFrame, plan: DataFrame, chosen: DataFrame, bat
     """Apply the chosen lines that may be applied; one audit row per field.
 
     ``chosen`` has ``line``.  Counts, dates and status are never touched.
+    ``batch`` names this application and no other: it is part of every id.
     """
     updates = select_lines(plan, chosen, [UPDATABLE]).filter(F.size("changes") > 0)
     made = select_lines(plan, chosen, [CREATABLE]).withColumn("new_id", F.sha2(F.concat_ws("|", F.lit(batch), F.col("line").cast("string")), 256))
     both = updates.withColumn("_id", F.col("matched_id")).unionByName(made.withColumn("_id", F.col("new_id")).drop("new_id"))
     fields = both.select("line", "_id", "source", "note", F.posexplode("changes").alias("pos", "c"))
     audit = fields.select(
-        (F.col("line") * 10 + F.col("pos")).cast("long").alias("id"), F.lit(batch).alias("batch_id"),
+        F.xxhash64(F.lit(batch), "line", "pos").alias("id"), (F.col("line") * 10 + F.col("pos")).cast("long").alias("seq"), F.lit(batch).alias("batch_id"),
         F.col("_id").alias("building_id"), F.col("c.field").alias("field_name"), F.col("c.old_value").alias("old_value"),
         F.col("c.new_value").alias("new_value"), blank_to_null(F.col("source")).alias("source"), blank_to_null(F.col("note")).alias("note"),
     )
     audit = settled(audit, "audit")
     values = audit.join(made.select(F.col("new_id").alias("building_id")), "building_id", "left_anti").select(
-        F.col("building_id").alias("id"), "field_name", F.col("new_value").alias("value"), F.col("id").alias("seq")
+        F.col("building_id").alias("id"), "field_name", F.col("new_value").alias("value"), "seq"
     )
     never = {f: F.lit(False) for f in vocab.RESEARCH_FIELDS}
     patched = _patch(buildings, values, never).unionByName(_inserts(made, buildings.columns), allowMissingColumns=True)
@@ -289,7 +290,7 @@ def roll_back(buildings: DataFrame, audit: DataFrame, batch: str) -> DataFrame:
     An address cannot go back to nothing and is left; a building the batch
     created therefore stays, without a name.
     """
-    first = audit.filter(F.col("batch_id") == batch).groupBy("building_id", "field_name").agg(F.min_by(F.struct("old_value"), "id").alias("o"))
+    first = audit.filter(F.col("batch_id") == batch).groupBy("building_id", "field_name").agg(F.min_by(F.struct("old_value"), "seq").alias("o"))
     values = first.select(
         F.col("building_id").alias("id"), "field_name", F.col("o.old_value").alias("value"), F.lit(0).cast("long").alias("seq")
     )

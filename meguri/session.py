@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,12 @@ def local_session(cores: str = "8", partitions: int = 8, name: str = "meguri") -
     )
 
 
+def allow_shift_jis(spark: SparkSession) -> None:
+    """Spark 4 reads Shift_JIS only with its older list of charsets.  This is a
+    setting of the whole session; the readers of such files call it."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
@@ -30,14 +38,16 @@ def is_local(spark: SparkSession) -> bool:
 def work_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own; on a
-    cluster a machine-local folder would be lost with its machine.
+    Only a local session without the setting gets a folder of its own, which goes
+    when the process ends; on a cluster a machine-local folder would be lost with
+    its machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         folder = tempfile.mkdtemp(prefix="meguri-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -54,11 +64,6 @@ def settled(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, limit_rows: int = 100_000) -> bool:
-    """True when ``df`` is shown to have at most ``limit_rows`` rows."""
-    return df.limit(limit_rows + 1).count() <= limit_rows
-
-
 def only_where(df: DataFrame, condition: Column) -> DataFrame:
     """Filter on computed columns without computing them again in the filter.
 

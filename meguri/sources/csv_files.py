@@ -13,69 +13,77 @@ from meguri.functions.address import address_parts, prefecture_of_city
 from meguri.functions.text import blank_to_null, trim_space
 from meguri.operators.dedup import first_wins
 from meguri.operators.quality import COMPLETION_COLUMNS, RESEARCH_REQUIRED, check_completion_rows, check_research_rows, missing_columns
+from meguri.session import allow_shift_jis, settled
 
 LINE = "line"
 _BOM = "﻿"
 
 
-def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """S3: (path, encoding) of each file: a BOM or valid UTF-8 says UTF-8, else Shift_JIS.
+def _file_heads(spark: SparkSession, path: str) -> DataFrame:
+    """(path, encoding, head) of each file: ``head`` is its first line as it
+    stands, as hex.  Files are read by line, so they are split like any text."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    return lines.groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("_utf8"),
+        F.min_by(F.col("value").cast("binary"), F.struct("_block", "_at")).alias("_first"),
+    ).select(
+        "path", F.when(F.col("_utf8"), "utf-8").otherwise("shift_jis").alias("encoding"), F.hex("_first").alias("head"),
+    )
 
-    Executors read the files; only paths and encodings come out.
-    """
-    files = spark.read.format("binaryFile").load(path)
-    bom = F.substring("content", 1, 3) == F.lit(bytes([0xEF, 0xBB, 0xBF]))
-    valid = F.is_valid_utf8(F.col("content").cast("string"))
-    kind = F.when(bom, "utf-8-bom").when(valid, "utf-8").otherwise("shift_jis")
-    return files.select("path", kind.alias("encoding"))
+
+def file_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """S3: (path, encoding) of each file: valid UTF-8, with a BOM or without, says
+    utf-8, else shift_jis.  (Spark's line reader takes a BOM away.)"""
+    return _file_heads(spark, path).select("path", "encoding")
 
 
 def _reader(spark: SparkSession, encoding: str):
-    reader = spark.read.option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE")
+    reader = spark.read.option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").option("header", True)
     if encoding == "shift_jis":
-        # Spark reads this charset only with its older charset list.
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        allow_shift_jis(spark)
         return reader.option("encoding", "Shift_JIS")
     return reader.option("encoding", "UTF-8")
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """Text columns of a CSV with a header, plus ``line`` and ``file``.
+    """Text columns of CSV files with headers, plus ``line`` and ``file``.
 
     Quotes, doubled quotes, line breaks inside quotes, BOM and CRLF are read;
-    rows whose cells are all blank are dropped.  A quoted cell may span lines,
-    so a file is one task: large lists belong in many files.  ``line`` orders
-    the rows as they stand; within one file it counts 1, 2, 3, ...
+    rows whose cells are all blank are dropped.  Files of one folder may differ in
+    encoding and in their columns or the order of them: files with the same first
+    line are read together, by its columns, and the parts are put together by name, absent columns
+    NULL.  A quoted cell may span lines, so a file is one task: large lists
+    belong in many files.  ``line`` orders the rows as they stand; within one file
+    it counts 1, 2, 3, ...  ``encoding`` says that all files have it.
     """
-    if encoding is None:
-        found = {r["encoding"] for r in file_encodings(spark, path).select("encoding").distinct().collect()}  # at most three
-        kinds = {"shift_jis" if e == "shift_jis" else "utf-8" for e in found} or {"utf-8"}
-        if len(kinds) > 1:
-            return _read_mixed(spark, path)
-        encoding = kinds.pop()
-    df = _reader(spark, encoding).option("header", True).csv(path)
-    return _numbered(df)
-
-
-def _read_mixed(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of both encodings: one read per encoding, by file list."""
-    listed = file_encodings(spark, path).withColumn("kind", F.when(F.col("encoding") == "shift_jis", "shift_jis").otherwise("utf-8"))
+    heads = settled(_file_heads(spark, path), "heads")
+    kind = F.when(F.col("encoding") == "shift_jis", "shift_jis").otherwise("utf-8") if encoding is None else F.lit(encoding.lower().replace("-", "_") if "shift" in encoding.lower() else "utf-8")
+    layouts = heads.select(kind.alias("kind"), "head").distinct().collect()  # one row a layout
     parts = []
-    for kind in ("utf-8", "shift_jis"):
-        paths = [r["path"] for r in listed.filter(F.col("kind") == kind).select("path").collect()]  # file names only
-        if paths:
-            parts.append(_numbered(_reader(spark, kind).option("header", True).csv(paths)))
+    for layout in sorted(layouts, key=lambda r: (r["kind"] != "utf-8", r["head"])):
+        mine = heads.filter((kind == layout["kind"]) & (F.col("head") == layout["head"])).select(F.col("path").alias("file"))
+        example = mine.agg(F.min("file")).first()[0]
+        names = _reader(spark, layout["kind"]).csv(example).schema
+        # by position under these names: a reader takes one list of columns for all it reads
+        rows = _reader(spark, layout["kind"]).schema(names).option("enforceSchema", True).csv(path)
+        parts.append(_numbered(rows, mine if len(layouts) > 1 else None))
+    if not parts:
+        return _numbered(_reader(spark, "utf-8").csv(path), None)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 
-def _numbered(df: DataFrame) -> DataFrame:
+def _numbered(df: DataFrame, files: DataFrame | None) -> DataFrame:
+    """Cleaned rows with file and line; of ``files`` (file) only, if given."""
     cells = [F.coalesce(trim_space(F.col(f"`{c}`")), F.lit("")) for c in df.columns]
     clean = [F.col(f"`{c}`").alias(c.replace(_BOM, "").strip()) for c in df.columns]
     placed = df.select(*clean, F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_at"),
                        F.concat(*cells).alias("_all"))
+    if files is not None:
+        placed = placed.join(files, "file", "left_semi")
     kept = placed.filter("_all <> ''").drop("_all")
     # Blank rows leave gaps; the rank within the file, read by one task, closes them.
     rank = F.row_number().over(Window.partitionBy("file").orderBy("_at"))

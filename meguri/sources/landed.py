@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meguri import schemas
 from meguri.functions import parse, vocab
 from meguri.functions.text import blank_to_null, trim_space
+from meguri.session import allow_shift_jis
 
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +28,7 @@ def read_block_points(spark: SparkSession, path: str, encoding: str = "Shift_JIS
     dropped; write the result partitioned by city to read one city later.
     """
     if encoding.lower() == "shift_jis":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        allow_shift_jis(spark)
     raw = spark.read.option("header", True).option("encoding", encoding).option("quote", '"').csv(path)
     return block_points(raw)
 

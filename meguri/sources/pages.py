@@ -69,13 +69,23 @@ class _Node:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.parts, self.children = [], []
 
+    # Pages may nest thousands of tags: both walk with a stack.
     def text(self) -> str:
-        return "".join(p if isinstance(p, str) else p.text() for p in self.parts)
+        out, left = [], [self]
+        while left:
+            part = left.pop()
+            if isinstance(part, str):
+                out.append(part)
+            else:
+                left.extend(reversed(part.parts))
+        return "".join(out)
 
     def walk(self):
-        for child in self.children:
-            yield child
-            yield from child.walk()
+        left = self.children[::-1]
+        while left:
+            node = left.pop()
+            yield node
+            left.extend(reversed(node.children))
 
 
 class _Tree(HTMLParser):
@@ -161,8 +171,8 @@ def extract_items(pages: DataFrame, item_selector: str, fields: dict[str, dict],
     """One row per item of each page: (page_id, url, pos, <fields>, next_page_url, item_count).
 
     ``fields``: name -> {selector, attribute?, pattern?}; a missing value is
-    NULL.  Pages are parsed in Arrow batches where they lie; the rules are a
-    small dictionary that travels with the job.
+    NULL.  Pages are parsed one by one where they lie, and their rows go out in
+    small batches; the rules are a small dictionary that travels with the job.
     """
     names = list(fields)
     columns = ["page_id", "url", "pos", *names, "next_page_url", "item_count"]
@@ -179,6 +189,9 @@ def extract_items(pages: DataFrame, item_selector: str, fields: dict[str, dict],
                 following = urljoin(url, href) if href else None
                 for pos, item in enumerate(items):
                     out.append((page_id, url, pos, *[_read_field(item, fields[n]) for n in names], following, len(items)))
+                if len(out) >= 1000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
             yield pd.DataFrame(out, columns=columns)
 
     schema = "page_id bigint, url string, pos int, " + "".join(f"`{n}` string, " for n in names) + "next_page_url string, item_count int"

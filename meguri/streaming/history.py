@@ -6,46 +6,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from meguri.operators.aggregates import history_rollup
+KEY = ["building_id", "distributed_date"]
 
 
-def write_epoch(rollup: DataFrame, epoch: int, path: str) -> None:
+def write_epoch(changed: DataFrame, epoch: int, path: str) -> None:
     """Store the rows an epoch changed; an epoch run again replaces itself."""
-    rollup.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    changed.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
-def start_rollup(inserts: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keep count and last date per building from a stream of history inserts.
+def start_rollup(changes: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keep count and last date per building from a stream of history changes.
 
-    ``inserts``: building_id, distributed_date.  The state holds one count and
-    one date per building; update mode hands on only the buildings an epoch
-    touched.  ``path`` and ``checkpoint`` lie in shared storage.
+    ``changes``: building_id, distributed_date, and op (``insert`` or
+    ``delete``; absent means insert).  An update is a delete of the old row and
+    an insert of the new one.  A maximum cannot be taken back, so the state is the
+    number of rows per building and date, which deletes lower like any other
+    change; update mode hands on only what an epoch touched.  ``path`` and
+    ``checkpoint`` lie in shared storage.
     """
-    rolled = history_rollup(inserts)
-    writer = rolled.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(
+    sign = F.when(F.col("op") == "delete", -1).otherwise(1) if "op" in changes.columns else F.lit(1)
+    counted = changes.groupBy(*KEY).agg(F.sum(sign).alias("n"))
+    writer = counted.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(
         lambda batch, epoch: write_epoch(batch, epoch, path)
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def current_rollup(spark: SparkSession, path: str) -> DataFrame:
-    """The latest stored count and date of every building."""
+def _latest(spark: SparkSession, path: str) -> DataFrame:
+    """The last stored number of each building and date, with its epoch."""
     rows = spark.read.option("basePath", path).parquet(f"{path}/epoch=*")
-    state = F.struct("distribution_count", "last_distributed_date")
-    latest = rows.groupBy("building_id").agg(F.max_by(state, "epoch").alias("s"))
-    return latest.select("building_id", "s.*").filter("distribution_count > 0")
-
+    return rows.groupBy(*KEY).agg(F.max_by("n", "epoch").alias("n"), F.max("epoch").alias("epoch"))
 
-def recompute_changed(changes: DataFrame, history: DataFrame) -> DataFrame:
-    """Rollup of the buildings whose history was changed other than by inserts.
 
-    A maximum cannot be taken back, so deletes and updates (``op`` other than
-    ``insert``) recount those buildings from the history as it now is; one left
-    without history comes out with count 0.  Store it with :func:`write_epoch`
-    under the next epoch.
-    """
-    touched = changes.filter(F.col("op") != "insert").select("building_id").distinct()
-    rolled = history_rollup(history.join(touched, "building_id", "left_semi"))
-    return touched.join(rolled, "building_id", "left").select(
-        "building_id", F.coalesce("distribution_count", F.lit(0)).cast("long").alias("distribution_count"), "last_distributed_date"
-    )
+def current_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """Count and last date of every building that has history."""
+    rows = _latest(spark, path).filter("n > 0")
+    return rows.groupBy("building_id").agg(
+        F.sum("n").alias("distribution_count"), F.max("distributed_date").alias("last_distributed_date"))
+
+
+def compact(spark: SparkSession, path: str, new_path: str) -> None:
+    """Store the state as one epoch, the last there is, under ``new_path``; the
+    stream goes on there with the same checkpoint, and ``path`` can go."""
+    rows = _latest(spark, path)
+    last = rows.agg(F.max("epoch").alias("e")).first()["e"]
+    write_epoch(rows.filter("n <> 0").drop("epoch"), last, new_path)

@@ -14,7 +14,7 @@ from meguri.operators import matching as M
 SCHEMA = "id string, building_name string, address string, latitude double, longitude double"
 
 
-def _brute_force(t, e, top):
+def _brute_force(t, e, top, divergent=0.85):
     """The rule over every pair, with none of the keys."""
     side = lambda df, p: with_name(with_address(df)).select(
         F.col("id").alias(p), F.struct("addr", "name", "latitude", "longitude").alias(p + "r"))
@@ -23,7 +23,7 @@ def _brute_force(t, e, top):
         "a": address_similarity(F.col("tr.addr"), F.col("er.addr")), "n": name_similarity(F.col("tr.name"), F.col("er.name")),
         "m": geo.distance_m(F.col("tr.latitude"), F.col("tr.longitude"), F.col("er.latitude"), F.col("er.longitude")),
     }).select("t", "e", "a.*", F.col("n.score").alias("name"), "m").collect()
-    need = {"equal": 0.0, "prefix": 0.45, "divergent": 0.85, "unknown": 0.60}
+    need = {"equal": 0.0, "prefix": 0.45, "divergent": divergent, "unknown": 0.60}
     found = {}
     for r in pairs:
         local = r["locality_match"] and r["name"] >= need[r["relation"]]
@@ -62,6 +62,35 @@ def test_keys_lose_no_pair(spark, monkeypatch, top, seed, crowd):
     assert got == _brute_force(targets, existing, top)
 
 
+def test_names_of_common_words(spark, monkeypatch):
+    """Names without a canonical form keep their pairs in crowded keys, and differ from each other."""
+    names = ["マンション", "アパート", "ビルディング", "マンション", "荒川マンション"]
+    existing = spark.createDataFrame([(f"e{i:03d}", names[i % 5], f"荒川区町屋{i % 4 + 1}-{i}-1", None, None) for i in range(250)], SCHEMA)
+    targets = spark.createDataFrame([(f"t{i}", n, "荒川区町屋9-99-9", None, None) for i, n in enumerate(names)], SCHEMA)
+    got = {}
+    for crowd in (3, 200):
+        monkeypatch.setattr(M, "CROWD", crowd)
+        for r in M.match_candidates(targets, existing, None).collect():
+            got.setdefault((crowd, r["target_id"]), set()).add(r["existing_id"])
+    want = {t: set(e) for t, e in _brute_force(targets, existing, None).items()}
+    assert min(len(e) for e in want.values()) >= 50
+    for crowd in (3, 200):
+        assert {t: got[c, t] for c, t in got if c == crowd} == want
+
+
+@pytest.mark.parametrize("score", [0.5, 0.75, 0.9])
+def test_keys_hold_for_other_thresholds(spark, monkeypatch, score):
+    monkeypatch.setattr(M, "CROWD", 3)
+    rng = random.Random(8)
+    existing = spark.createDataFrame(_random_rows("e", 50, rng), SCHEMA)
+    targets = spark.createDataFrame(_random_rows("t", 40, rng), SCHEMA)
+    found = M.match_candidates(targets, existing, None, M.Thresholds(divergent_name=score)).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["target_id"], set()).add(r["existing_id"])
+    assert got == {t: set(e) for t, e in _brute_force(targets, existing, None, score).items()}
+
+
 def test_stated_cases(spark):
     t = [
         ("1", "GRAND MAISON NIPPORI", "荒川区東日暮里1-5-3", None, None), ("2", "GRAND COURT NIPPORI", "北区東日暮里3-12-5", None, None),

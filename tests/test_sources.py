@@ -18,7 +18,7 @@ CSV = """建物名,住所,総戸数,種別,緯度,経度
 """
 
 
-@pytest.mark.parametrize("encoding, kind", [("utf-8", "utf-8"), ("utf-8-sig", "utf-8-bom"), ("shift_jis", "shift_jis")])
+@pytest.mark.parametrize("encoding, kind", [("utf-8", "utf-8"), ("utf-8-sig", "utf-8"), ("shift_jis", "shift_jis")])
 def test_building_list(spark, tmp_path, encoding, kind):
     path = tmp_path / "list.csv"
     path.write_bytes(CSV.replace("\n", "\r\n").encode(encoding))
@@ -32,6 +32,20 @@ def test_building_list(spark, tmp_path, encoding, kind):
     assert [(r["row"], r["reason"]) for r in done.rejects.collect()] == [(5, "住所が空です")]
 
 
+def test_folder_of_several_layouts(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("建物名,住所\n甲荘,荒川区町屋1-1\n".encode())
+    (tmp_path / "b.csv").write_bytes("住所,建物名,総戸数\n荒川区町屋1-2,乙荘,5\n".encode())
+    (tmp_path / "c.csv").write_bytes("\ufeff建物名,住所\r\n\r\n丙荘,荒川区町屋1-3\r\n".encode())
+    (tmp_path / "d.csv").write_bytes("住所,建物名\n荒川区町屋1-4,丁荘\n".encode("shift_jis"))
+    got = sorted((r["建物名"], r["住所"], r["総戸数"], r["line"]) for r in C.read_csv(spark, str(tmp_path)).collect())
+    assert got == sorted([("甲荘", "荒川区町屋1-1", None, 1), ("乙荘", "荒川区町屋1-2", "5", 1), ("丙荘", "荒川区町屋1-3", None, 1), ("丁荘", "荒川区町屋1-4", None, 1)])
+
+
+def test_deeply_nested_page(spark):
+    pages = spark.createDataFrame([(1, "u", "<div>" * 50_000 + "<p class='x'>deep" + "<b>" * 3000)], "page_id long, url string, html string")
+    assert [r["t"] for r in P.extract_items(pages, "p.x", {"t": {"selector": ""}}).collect()] == ["deep"]
+
+
 def test_header_mapping():
     assert C.map_headers(["物件名", "住所", "備考"])["building_name"] == "物件名"
     assert C.map_headers(["用途", "総戸数"])["building_use"] == "用途"
@@ -109,17 +123,19 @@ def test_area_and_units(spark):
 
 def test_streamed_rollup_in_epochs_and_after_a_delete(spark, tmp_path):
     source, out, check = (str(tmp_path / d) for d in ("in", "out", "check"))
-    schema = "id long, building_id string, distributed_date date"
+    schema = "id long, building_id string, distributed_date date, op string"
 
-    def land(rows):
-        spark.createDataFrame(rows, "id long, building_id string, d string").selectExpr("id", "building_id", "cast(d as date) distributed_date").coalesce(1).write.mode("append").parquet(source)
+    def land(rows, op="insert"):
+        rows = [(*r, op) for r in rows]
+        spark.createDataFrame(rows, "id long, building_id string, d string, op string").selectExpr("id", "building_id", "cast(d as date) distributed_date", "op").coalesce(1).write.mode("append").parquet(source)
         X.start_rollup(spark.readStream.schema(schema).parquet(source), out, check).awaitTermination()
         return {r["building_id"]: (r["distribution_count"], str(r["last_distributed_date"])) for r in X.current_rollup(spark, out).collect()}
 
     assert land([(1, "a", "2026-01-01"), (2, "a", "2026-02-01"), (3, "b", "2026-01-05")]) == {"a": (2, "2026-02-01"), "b": (1, "2026-01-05")}
     assert land([(4, "b", "2026-03-01")]) == {"a": (2, "2026-02-01"), "b": (2, "2026-03-01")}
-    history = spark.read.schema(schema).parquet(source).filter("id not in (2, 3, 4)")
-    changes = spark.createDataFrame([("delete", "a"), ("delete", "b"), ("insert", "c")], "op string, building_id string")
-    X.write_epoch(X.recompute_changed(changes, history), 99, out)
-    got = {r["building_id"]: (r["distribution_count"], str(r["last_distributed_date"])) for r in X.current_rollup(spark, out).collect()}
-    assert got == {"a": (1, "2026-01-01")}
+    assert land([(2, "a", "2026-02-01"), (3, "b", "2026-01-05"), (4, "b", "2026-03-01")], "delete") == {"a": (1, "2026-01-01")}
+    assert land([(5, "c", "2026-04-01")]) == {"a": (1, "2026-01-01"), "c": (1, "2026-04-01")}  # a is not in this epoch
+    moved = str(tmp_path / "moved")
+    X.compact(spark, out, moved)
+    out = moved
+    assert land([(6, "a", "2026-05-01"), (7, "a", "2026-05-01")]) == {"a": (3, "2026-05-01"), "c": (1, "2026-04-01")}
