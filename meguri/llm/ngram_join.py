@@ -10,11 +10,15 @@ similarity therefore share a signature whenever one of them has more than k that
 non-empty.
 
 A set may leave out signatures as long as more than k remain. Those in crowded
-buckets are left out where the set can afford it; sets that cannot (nearly all
-their partitions are crowded, as in a large group of near copies) are compared
-with the ends of their buckets first, and then only across components. So no link
-is lost, and no bucket is compared in all its pairs unless its members stay
-unlinked. Candidates are verified on their whole sets.
+buckets are left out where the set can afford it. Sets that cannot, as in a large
+group of near copies, are hard; only pairs of two hard sets need more. Such a
+pair either shares a shingle that is rare among hard sets, and is found by it, or
+differs in all its rare shingles and at least in the difference of its numbers of
+common ones. That bound rules out most pairs by counts alone; the rest are joined up by
+comparing each bucket with its member of fewest rare shingles, and then members
+of different components that the bound still allows. So no link between components
+is lost, and no bucket is compared in all its pairs. Candidates are verified on
+their whole sets.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meguri.llm.common import batches, mixed, step, table, texts_of, word_codes
-from meguri.llm.components import bucket_links, components, shared_only
+from meguri.llm.components import components, shared_only
 from meguri.llm.registry import query
 
 WIDTH = 5
@@ -233,10 +237,65 @@ def _band(bucket: str) -> Column:
     return F.col(bucket).bitwiseAND(F.lit(255))
 
 
+def _could_link(a: str, b: str, shared: Column) -> Column:
+    """The bound for two hard sets that share ``shared`` rare shingles: a link
+    differs in at most (q - p) / (q + p) of both sizes."""
+    p, q = SHARE
+    rare, common = F.col(f"rare_{a}") + F.col(f"rare_{b}"), F.abs(F.col(f"common_{a}") - F.col(f"common_{b}"))
+    size = rare + F.col(f"common_{a}") + F.col(f"common_{b}")
+    return (q + p) * (rare - 2 * shared + common) <= (q - p) * size
+
+
+def hard_links(hard: DataFrame, items: DataFrame) -> DataFrame:
+    """Links between hard sets, as many as join up every component; ``hard`` has
+    their crowded (bucket, id), ``items`` the sets."""
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(frames):
+            values = [np.frombuffer(x.as_py(), dtype=np.int64) for x in batch.column(1)]
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(v) for v in values])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(values))], names=["id", "item"])
+
+    mine = items.join(hard.select("id").distinct(), "id", "left_semi").select("id", "items").mapInArrow(run, "id long, item long")
+    held = step(mine, "items")
+    seen = held.groupBy("item").agg(F.count("*").alias("n"))
+    rare = held.join(seen.filter(F.col("n") <= CROWD), "item")
+    sizes = held.groupBy("id").agg(F.count("*").alias("size")).join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left")
+    info = step(sizes.select("id", F.coalesce("rare", F.lit(0)).alias("rare"), (F.col("size") - F.coalesce("rare", F.lit(0))).alias("common")), "info")
+    about = lambda side, name=None: info.select(F.col("id").alias(name or side), F.col("rare").alias(f"rare_{side}"), F.col("common").alias(f"common_{side}"))
+
+    by_item = rare.filter("n > 1").groupBy("item").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most CROWD
+    pairs = F.transform("ids", lambda x, k: F.transform(F.slice("ids", k + 2, F.lit(CROWD)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    met = by_item.select(F.explode(F.flatten(pairs)).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("met"))
+    rare_pairs = met.join(about("a"), "a").join(about("b"), "b").filter(_could_link("a", "b", F.col("met"))).select("a", "b")
+
+    # the rest share no rare shingle
+    members = hard.join(info, "id")
+    heads = members.groupBy("bucket").agg(F.min(F.struct("rare", "id"))["id"].alias("head"))
+    stars = members.join(heads, "bucket").filter("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    stars = stars.join(about("a"), "a").join(about("b"), "b").filter(_could_link("a", "b", F.lit(0))).select("a", "b")
+    found = step(similar(step(rare_pairs.union(stars).distinct(), "pairs"), items), "links")
+
+    roots = components(found)
+    now = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    part = now.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min(F.col("rare") + F.col("common")).alias("least"))
+    state = part.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts"), F.min("least").alias("least"))
+    now = step(now.join(state.filter("parts > 1"), "bucket"), "open")
+    # of those outside a bucket's largest component, the ones that the bound allows any partner
+    p, q = SHARE
+    size = F.col("rare") + F.col("common")
+    partner = F.greatest(q * F.col("least"), p * size) / q
+    allowed = (q + p) * (partner - (F.col("common") - F.col("rare"))) <= (q - p) * (partner + size)
+    outside = now.filter((F.col("root") != F.col("main")) & allowed).select("bucket", F.col("id").alias("x"), F.col("root").alias("root_x"), F.col("rare").alias("rare_x"), F.col("common").alias("common_x"))
+    inside = now.select("bucket", F.col("id").alias("y"), F.col("root").alias("root_y"), F.col("rare").alias("rare_y"), F.col("common").alias("common_y"))
+    left = outside.join(inside, "bucket").filter((F.col("root_x") != F.col("root_y")) & _could_link("x", "y", F.lit(0)))
+    more = left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return found.union(similar(step(more, "pairs"), items))
+
+
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between keys of different sets: all of them outside crowded
-    buckets, and within these as many as join up every component. ``sets`` has a
-    row for each key, see ``join``."""
+    """Links (a, b) between keys of different sets: all of them where one set is
+    not hard, and of two hard sets as many as join up every component. ``sets``
+    has a row for each key, see ``join``."""
     shared = step(shared_only(with_signatures(docs)), "shared").withColumn("band", _band("bucket"))
     counts = shared.groupBy("bucket").agg(F.count("*").alias("n"))
     crowded = step(shared.join(counts.filter(F.col("n") > CROWD).select("bucket"), "bucket"), "crowded")
@@ -257,7 +316,7 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     wanted = plain.select(F.explode(F.array("a", "b")).alias("id")).union(hard.select("id")).distinct()
     items = step(sets_of(docs, step(wanted.join(sets.select(F.col("key").alias("id"), "row"), "id"), "wanted")), "sets")
-    return similar(plain, items).union(bucket_links(hard, lambda pairs: similar(pairs, items), 2, True))
+    return similar(plain, items).union(hard_links(hard, items))
 
 
 def join(docs: DataFrame) -> DataFrame:
