@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,12 @@ def step(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def only_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on computed columns without computing them again in the filter:
+    Spark would move the filter below them as a copy, but not past this."""
+    return df.withColumn("_here", F.spark_partition_id()).filter(condition & (F.col("_here") >= 0)).drop("_here")
+
+
 def no_rows(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 

@@ -65,36 +65,24 @@ def star_pairs(members: DataFrame) -> DataFrame:
     )
 
 
-def bucket_links(members: DataFrame, linked: Callable[[DataFrame], DataFrame], rounds: int, exhaust: bool) -> DataFrame:
+def bucket_links(members: DataFrame, linked: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
     """Links (a, b) that join up the linked members of each bucket.
 
     ``linked`` returns those of the pairs (a, b) it is given that are links. A
     bucket is first compared with its smallest and largest member, so a bucket of
-    m ids costs 2 m pairs and not m^2. Members that are in one component by then need no
-    further comparison; the others make up the buckets of the next round. After
-    the rounds, ``exhaust`` compares, in each bucket, every member outside its
-    largest component with all members of other components: then no two
-    members that are a link remain in different components.
+    m ids costs 2 m pairs and not m^2. In each further round, one member for each component
+    within a bucket is compared with two others of these; a bucket within one component
+    is done. Members that meet none of their neighbours as a centre stay apart.
     """
     links = step(linked(step(star_pairs(members), "pairs")), "links")
-    for k in range(rounds + exhaust):
+    for k in range(rounds):
         roots = components(links)
         now = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         state = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
         now = step(now.join(state, "bucket"), "open")
         if no_rows(now):
             break
-        if k < rounds:
-            # one member for each component of each bucket, hence other centres than before
-            heads = now.groupBy("bucket", "root").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("o"), "id")).alias("m"))
-            pairs = star_pairs(heads.select("bucket", F.col("m.id").alias("id")))
-        else:
-            part = now.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-            main = part.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m")).select("bucket", F.col("m.root").alias("main"))
-            outside = now.join(main, "bucket").filter("root <> main").select("bucket", F.col("id").alias("x"), F.col("root").alias("rx"))
-            pairs = (
-                outside.join(now, "bucket").filter("root <> rx")
-                .select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-            )
+        heads = now.groupBy("bucket", "root").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("o"), "id")).alias("m"))
+        pairs = star_pairs(heads.select("bucket", F.col("m.id").alias("id")))
         links = step(links.union(linked(step(pairs, "pairs"))).distinct(), "links")
     return links
