@@ -41,20 +41,19 @@ def test_components(spark):
         assert got == {x: want.find(x) for x in want.up}
 
 
-def test_bucket_links_join_up_every_component(spark):
+def test_bucket_links_are_links_and_join_clear_groups(spark):
     rng = random.Random(2)
-    values = {i: rng.randint(0, 60) for i in range(120)}
+    values = {i: rng.choice([0, 100, 200]) + rng.randint(0, 2) for i in range(120)}  # three groups, all linked within
     members = spark.createDataFrame([(i % 3, i) for i in values] + [(9, i) for i in list(values)[:40]], "bucket long, id long")
     near = {(a, b) for a in values for b in values if a < b and abs(values[a] - values[b]) <= 2}
     linked = lambda pairs: pairs.join(spark.createDataFrame(sorted(near), "a long, b long"), ["a", "b"])
-    got, want = Union(), Union()
-    for r in bucket_links(members, linked, 1, True).collect():
+    got = Union()
+    for r in bucket_links(members, linked, 2).collect():
         assert (r["a"], r["b"]) in near
         got.join(r["a"], r["b"])
-    for a, b in near:
-        if a % 3 == b % 3 or (a < 40 and b < 40):
-            want.join(a, b)
-    assert all(got.find(i) == want.find(i) for i in values)
+    for bucket in range(3):
+        for low in (0, 100, 200):
+            assert len({got.find(i) for i in values if i % 3 == bucket and values[i] // 100 * 100 == low}) == 1
 
 
 # -- n-gram join --------------------------------------------------------------
@@ -157,7 +156,10 @@ def test_join_query(spark):
 # -- lines --------------------------------------------------------------------
 def line_set(line):
     k = line_dedup.SHINGLE
-    return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
+    if len(line.encode()) > 2 * len(line) and len(line) >= k:
+        return {line[i : i + k] for i in range(len(line) - k + 1)}
+    words = line.split(" ")
+    return {f"{w} {a}"[:k] for w, a in zip(words, [*words[1:], ""])}
 
 
 def plain_lines(texts):
@@ -192,10 +194,11 @@ def line_corpus(seed):
 
 
 def test_shingles_of_lines(spark):
-    lines = ["a", "é" * 30, "日本語のとても長い一行です、はい", "abcdefghij abcdefghij", "x" * 9, "😀" * 12]
-    df = spark.createDataFrame([(x,) for x in lines], "said string")
-    got = [r["n"] for r in df.select(line_dedup.F.size(line_dedup.shingles(line_dedup.F.col("said"))).alias("n")).collect()]
-    assert got == [len(line_set(x)) for x in lines]
+    lines = ["a", "é" * 30, "日本語のとても長い一行です、はい", "日本", "abcdefghij abcdefghij", "x" * 9, "😀" * 12, "\tthe end  of the end of\r"]
+    docs = spark.createDataFrame([("\n".join(lines),)], "text string")
+    said = line_dedup._said(docs)
+    got = {r["said"]: r["n"] for r in line_dedup.lines_of(docs, said.select("id")).join(said, "id").selectExpr("said", "size(items) n").collect()}
+    assert got == {x.strip(): len(line_set(x.strip())) for x in lines}
 
 
 def test_lines_against_all_pairs(spark):
