@@ -50,12 +50,12 @@ def p2(t: Tables):
 @query("p3_prefecture_backfill", """
 SELECT b.building_id, b.city, CASE WHEN b.building_id % 2 = 0 THEN b.prefecture ELSE one.prefecture END AS prefecture
 FROM buildings b LEFT JOIN (SELECT city, min(prefecture) AS prefecture FROM
- (SELECT city, CASE WHEN town = 'BUILDING' THEN 'X県' ELSE prefecture END AS prefecture, building_id FROM buildings) WHERE building_id % 20 = 0
+ (SELECT city, CASE WHEN building_id % 1000 = 0 THEN 'X県' ELSE prefecture END AS prefecture FROM buildings)
  GROUP BY city HAVING count(DISTINCT prefecture) = 1) one ON b.city = one.city""")
 def p3(t: Tables):
     """The area master is read off the data; a city under two prefectures fills nothing."""
-    owner = F.when(F.col("town") == "BUILDING", "X県").otherwise(F.col("prefecture"))
-    rows = t.buildings.filter(F.col("building_id") % 20 == 0).select(owner.alias("p"), "city")
+    owner = F.when(F.col("building_id") % 1000 == 0, "X県").otherwise(F.col("prefecture"))
+    rows = t.buildings.select(owner.alias("p"), "city")
     master = {r["p"]: sorted(r["cs"]) for r in  # one row per prefecture
               rows.groupBy("p").agg(F.collect_set("city").alias("cs")).collect()}
     known = F.when(F.col("building_id") % 2 == 0, F.col("prefecture"))

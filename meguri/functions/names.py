@@ -13,36 +13,26 @@ from meguri.functions.text import literal_map, nfkc, noise_class, trim_space
 _VOWELS = "aiueo"
 
 
-def kana_table() -> dict[str, str]:
-    """Katakana unit (one or two characters) -> Hepburn-style romaji, by rule."""
-    rows = {
-        "": "アイウエオ", "k": "カキクケコ", "g": "ガギグゲゴ", "s": "サシスセソ", "z": "ザジズゼゾ",
-        "t": "タチツテト", "d": "ダヂヅデド", "n": "ナニヌネノ", "h": "ハヒフヘホ", "b": "バビブベボ",
-        "p": "パピプペポ", "m": "マミムメモ", "r": "ラリルレロ",
-    }
-    table = {ch: cons + v for cons, row in rows.items() for ch, v in zip(row, _VOWELS)}
-    # Irregular single characters (fixed values).
-    table.update(
-        シ="shi", チ="chi", ツ="tsu", ジ="ji", ヂ="ji", ヅ="zu", フ="fu",
-        ヤ="ya", ユ="yu", ヨ="yo", ワ="wa", ヰ="i", ヱ="e", ヲ="o", ン="n",
-    )
-    table.update(zip("ァィゥェォャュョヮ", ["a", "i", "u", "e", "o", "ya", "yu", "yo", "wa"]))
-    # An i-row sound and a small y-sound glide together.
-    for ch in "キギニヒビピミリ":
-        table.update({ch + small: table[ch][0] + "y" + v for small, v in zip("ャュョ", "auo")})
-    for ch, cons in zip("シジチ", ["sh", "j", "ch"]):
-        table.update({ch + small: cons + v for small, v in zip("ャュョェ", "auoe")})
-    for ch, cons in zip("フツク", ["f", "ts", "kw"]):
-        table.update({ch + small: cons + v for small, v in zip("ァィェォ", "aieo")})
-    table.update({"ウ" + small: "w" + v for small, v in zip("ィェォ", "ieo")})
-    for ch, cons in zip("テデ", "td"):
-        table.update({ch + "ィ": cons + "i", ch + "ュ": cons + "yu"})
-    # Irregular pairs (fixed values).
-    table.update({"キェ": "kye", "ギェ": "gye", "フュ": "fyu", "グァ": "gwa", "トゥ": "tu", "ドゥ": "du"})
-    return table
-
-
-_KANA = kana_table()
+# Katakana unit (one or two characters) -> romaji (fixed values).
+_KANA = {
+    "ア": "a", "イ": "i", "ウ": "u", "エ": "e", "オ": "o", "カ": "ka", "キ": "ki", "ク": "ku", "ケ": "ke", "コ": "ko",
+    "ガ": "ga", "ギ": "gi", "グ": "gu", "ゲ": "ge", "ゴ": "go", "サ": "sa", "シ": "shi", "ス": "su", "セ": "se",
+    "ソ": "so", "ザ": "za", "ジ": "ji", "ズ": "zu", "ゼ": "ze", "ゾ": "zo", "タ": "ta", "チ": "chi", "ツ": "tsu",
+    "テ": "te", "ト": "to", "ダ": "da", "ヂ": "ji", "ヅ": "zu", "デ": "de", "ド": "do", "ナ": "na", "ニ": "ni",
+    "ヌ": "nu", "ネ": "ne", "ノ": "no", "ハ": "ha", "ヒ": "hi", "フ": "fu", "ヘ": "he", "ホ": "ho", "バ": "ba",
+    "ビ": "bi", "ブ": "bu", "ベ": "be", "ボ": "bo", "パ": "pa", "ピ": "pi", "プ": "pu", "ペ": "pe", "ポ": "po",
+    "マ": "ma", "ミ": "mi", "ム": "mu", "メ": "me", "モ": "mo", "ラ": "ra", "リ": "ri", "ル": "ru", "レ": "re",
+    "ロ": "ro", "ヤ": "ya", "ユ": "yu", "ヨ": "yo", "ワ": "wa", "ヰ": "i", "ヱ": "e", "ヲ": "o", "ン": "n", "ァ": "a",
+    "ィ": "i", "ゥ": "u", "ェ": "e", "ォ": "o", "ャ": "ya", "ュ": "yu", "ョ": "yo", "ヮ": "wa", "キャ": "kya",
+    "キュ": "kyu", "キョ": "kyo", "ギャ": "gya", "ギュ": "gyu", "ギョ": "gyo", "ニャ": "nya", "ニュ": "nyu", "ニョ": "nyo",
+    "ヒャ": "hya", "ヒュ": "hyu", "ヒョ": "hyo", "ビャ": "bya", "ビュ": "byu", "ビョ": "byo", "ピャ": "pya", "ピュ": "pyu",
+    "ピョ": "pyo", "ミャ": "mya", "ミュ": "myu", "ミョ": "myo", "リャ": "rya", "リュ": "ryu", "リョ": "ryo", "シャ": "sha",
+    "シュ": "shu", "ショ": "sho", "シェ": "she", "ジャ": "ja", "ジュ": "ju", "ジョ": "jo", "ジェ": "je", "チャ": "cha",
+    "チュ": "chu", "チョ": "cho", "チェ": "che", "ファ": "fa", "フィ": "fi", "フェ": "fe", "フォ": "fo", "ツァ": "tsa",
+    "ツィ": "tsi", "ツェ": "tse", "ツォ": "tso", "クァ": "kwa", "クィ": "kwi", "クェ": "kwe", "クォ": "kwo", "ウィ": "wi",
+    "ウェ": "we", "ウォ": "wo", "ティ": "ti", "テュ": "tyu", "ディ": "di", "デュ": "dyu", "キェ": "kye", "ギェ": "gye",
+    "フュ": "fyu", "グァ": "gwa", "トゥ": "tu", "ドゥ": "du",
+}
 _PAIRS = "|".join(k for k in _KANA if len(k) == 2)
 _UNIT = f"(ッ?(?:{_PAIRS})|ッ?[{''.join(k for k in _KANA if len(k) == 1)}]|[\\s\\S])"
 

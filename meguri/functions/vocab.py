@@ -41,125 +41,152 @@ LOOSE_PREFECTURE_PATTERN = "^(東京都|北海道|京都府|大阪府|.{2,3}県)
 UNIT_SUFFIX_PATTERN = r"([0-9]+号室|[0-9]+号棟|[a-z]?[0-9]+棟|[0-9]+f|b[0-9]+f)$"
 
 # --- name lexicon (fixed values): canonical token, then its spellings ------
-LEXICON_TEXT = """
-grand: グランド グラン grand gran gurando guran
-maison: メゾン メイゾン maison mezon meison maisons
-court: コート コウト court kohto koto courts
-heights: ハイツ heights height haitsu
-heim: ハイム heim haimu
-haus: ハウス ハオス house haus hausu
-palace: パレス パラス palace paresu palais
-residence: レジデンス レジデンシャル residence residencia rejidensu residential
-tower: タワー tower tawa
-park: パーク park paku parc
-garden: ガーデン ガーデンズ garden gardens gaden
-hills: ヒルズ ヒル hills hill hiruzu
-plaza: プラザ ぷらざ plaza puraza
-corpo: コーポ コーポラス corpo kopo corpolus
-villa: ヴィラ ビラ ヴィレッジ villa vila bira village
-city: シティ シティー city shiti
-stage: ステージ stage suteji
-square: スクエア スクウェア square sukuea
-terrace: テラス terrace terasu
-flat: フラット flat furatto
-front: フロント front furonto
-avenue: アベニュー avenue abenyu
-street: ストリート street sutorito
-side: サイド side saido
-view: ビュー ヴュー view byu
-forest: フォレスト forest foresuto
-green: グリーン green gurin
-blue: ブルー blue buru
-white: ホワイト white howaito
-royal: ロイヤル ロイアル royal roiyaru
-premium: プレミアム premium puremiamu
-central: セントラル central sentoraru
-station: ステーション station suteshon
-sunrise: サンライズ sunrise sanraizu
-sunshine: サンシャイン sunshine sanshain
-sun: サン sun san
-casa: カーサ casa kasa
-belle: ベル ベール belle bell beru
-ville: ヴィル ビル ville biru
-courtyard: コートヤード courtyard kotoyado
-mansion: マンション mansion manshon
-apartment: アパート アパートメント apartment apart apato
-building: ビルディング building bldg birudingu
-annex: アネックス annex anekkusu
-so: 荘 ソウ sou
-kaikan: 会館 kaikan
-kan: 館 カン
-daiichi: 第一 ダイイチ daiichi daiiti
-daini: 第二 ダイニ daini
-daisan: 第三 ダイサン daisan
-higashi: 東 ヒガシ higashi east
-nishi: 西 ニシ nishi west
-minami: 南 ミナミ minami south
-kita: 北 キタ kita north
-chuo: 中央 チュウオウ chuo chuou
-shin: 新 シン shin
-hon: 本 ホン hon
-nippori: 日暮里 ニッポリ nippori nipori
-arakawa: 荒川 アラカワ arakawa
-minowa: 三ノ輪 三の輪 ミノワ minowa
-machiya: 町屋 マチヤ machiya
-ogu: 尾久 オグ ogu
-senju: 千住 センジュ senju
-ueno: 上野 ウエノ ueno
-asakusa: 浅草 アサクサ asakusa
-ikebukuro: 池袋 イケブクロ ikebukuro
-shinjuku: 新宿 シンジュク shinjuku
-shibuya: 渋谷 シブヤ shibuya
-tokyo: 東京 トウキョウ tokyo toukyou
-akihabara: 秋葉原 アキハバラ akihabara
-kanda: 神田 カンダ kanda
-sugamo: 巣鴨 スガモ sugamo
-oji: 王子 オウジ oji ouji
-tabata: 田端 タバタ tabata
-komagome: 駒込 コマゴメ komagome
-yanaka: 谷中 ヤナカ yanaka
-kitasenju: 北千住 キタセンジュ kitasenju
-"""
+LEXICON = [
+    ("grand", ["グランド", "グラン", "grand", "gran", "gurando", "guran"]),
+    ("maison", ["メゾン", "メイゾン", "maison", "mezon", "meison", "maisons"]),
+    ("court", ["コート", "コウト", "court", "kohto", "koto", "courts"]),
+    ("heights", ["ハイツ", "heights", "height", "haitsu"]),
+    ("heim", ["ハイム", "heim", "haimu"]),
+    ("haus", ["ハウス", "ハオス", "house", "haus", "hausu"]),
+    ("palace", ["パレス", "パラス", "palace", "paresu", "palais"]),
+    ("residence", ["レジデンス", "レジデンシャル", "residence", "residencia", "rejidensu", "residential"]),
+    ("tower", ["タワー", "tower", "tawa"]),
+    ("park", ["パーク", "park", "paku", "parc"]),
+    ("garden", ["ガーデン", "ガーデンズ", "garden", "gardens", "gaden"]),
+    ("hills", ["ヒルズ", "ヒル", "hills", "hill", "hiruzu"]),
+    ("plaza", ["プラザ", "ぷらざ", "plaza", "puraza"]),
+    ("corpo", ["コーポ", "コーポラス", "corpo", "kopo", "corpolus"]),
+    ("villa", ["ヴィラ", "ビラ", "ヴィレッジ", "villa", "vila", "bira", "village"]),
+    ("city", ["シティ", "シティー", "city", "shiti"]),
+    ("stage", ["ステージ", "stage", "suteji"]),
+    ("square", ["スクエア", "スクウェア", "square", "sukuea"]),
+    ("terrace", ["テラス", "terrace", "terasu"]),
+    ("flat", ["フラット", "flat", "furatto"]),
+    ("front", ["フロント", "front", "furonto"]),
+    ("avenue", ["アベニュー", "avenue", "abenyu"]),
+    ("street", ["ストリート", "street", "sutorito"]),
+    ("side", ["サイド", "side", "saido"]),
+    ("view", ["ビュー", "ヴュー", "view", "byu"]),
+    ("forest", ["フォレスト", "forest", "foresuto"]),
+    ("green", ["グリーン", "green", "gurin"]),
+    ("blue", ["ブルー", "blue", "buru"]),
+    ("white", ["ホワイト", "white", "howaito"]),
+    ("royal", ["ロイヤル", "ロイアル", "royal", "roiyaru"]),
+    ("premium", ["プレミアム", "premium", "puremiamu"]),
+    ("central", ["セントラル", "central", "sentoraru"]),
+    ("station", ["ステーション", "station", "suteshon"]),
+    ("sunrise", ["サンライズ", "sunrise", "sanraizu"]),
+    ("sunshine", ["サンシャイン", "sunshine", "sanshain"]),
+    ("sun", ["サン", "sun", "san"]),
+    ("casa", ["カーサ", "casa", "kasa"]),
+    ("belle", ["ベル", "ベール", "belle", "bell", "beru"]),
+    ("ville", ["ヴィル", "ビル", "ville", "biru"]),
+    ("courtyard", ["コートヤード", "courtyard", "kotoyado"]),
+    ("mansion", ["マンション", "mansion", "manshon"]),
+    ("apartment", ["アパート", "アパートメント", "apartment", "apart", "apato"]),
+    ("building", ["ビルディング", "building", "bldg", "birudingu"]),
+    ("annex", ["アネックス", "annex", "anekkusu"]),
+    ("so", ["荘", "ソウ", "sou"]),
+    ("kaikan", ["会館", "kaikan"]),
+    ("kan", ["館", "カン"]),
+    ("daiichi", ["第一", "ダイイチ", "daiichi", "daiiti"]),
+    ("daini", ["第二", "ダイニ", "daini"]),
+    ("daisan", ["第三", "ダイサン", "daisan"]),
+    ("higashi", ["東", "ヒガシ", "higashi", "east"]),
+    ("nishi", ["西", "ニシ", "nishi", "west"]),
+    ("minami", ["南", "ミナミ", "minami", "south"]),
+    ("kita", ["北", "キタ", "kita", "north"]),
+    ("chuo", ["中央", "チュウオウ", "chuo", "chuou"]),
+    ("shin", ["新", "シン", "shin"]),
+    ("hon", ["本", "ホン", "hon"]),
+    ("nippori", ["日暮里", "ニッポリ", "nippori", "nipori"]),
+    ("arakawa", ["荒川", "アラカワ", "arakawa"]),
+    ("minowa", ["三ノ輪", "三の輪", "ミノワ", "minowa"]),
+    ("machiya", ["町屋", "マチヤ", "machiya"]),
+    ("ogu", ["尾久", "オグ", "ogu"]),
+    ("senju", ["千住", "センジュ", "senju"]),
+    ("ueno", ["上野", "ウエノ", "ueno"]),
+    ("asakusa", ["浅草", "アサクサ", "asakusa"]),
+    ("ikebukuro", ["池袋", "イケブクロ", "ikebukuro"]),
+    ("shinjuku", ["新宿", "シンジュク", "shinjuku"]),
+    ("shibuya", ["渋谷", "シブヤ", "shibuya"]),
+    ("tokyo", ["東京", "トウキョウ", "tokyo", "toukyou"]),
+    ("akihabara", ["秋葉原", "アキハバラ", "akihabara"]),
+    ("kanda", ["神田", "カンダ", "kanda"]),
+    ("sugamo", ["巣鴨", "スガモ", "sugamo"]),
+    ("oji", ["王子", "オウジ", "oji", "ouji"]),
+    ("tabata", ["田端", "タバタ", "tabata"]),
+    ("komagome", ["駒込", "コマゴメ", "komagome"]),
+    ("yanaka", ["谷中", "ヤナカ", "yanaka"]),
+    ("kitasenju", ["北千住", "キタセンジュ", "kitasenju"]),
+]
 NOISE_TOKENS = ["mansion", "apartment", "building"]
 
 # --- building use: map tag values by category (fixed values) ---------------
-USE_TAGS_TEXT = """
-residential_multi: apartments housing
-other_residential: dormitory barracks nursing_home retirement_home
-single_dwelling: house detached semidetached_house terrace bungalow cabin hut static_caravan houseboat stilt_house ger tent farm
-commercial: commercial retail shop supermarket kiosk marketplace hotel motel restaurant
-office: office government civic
-industrial: industrial warehouse factory manufacture hangar silo storage_tank digester barn cowshed farm_auxiliary greenhouse stable sty slurry_tank
-institutional: school university college kindergarten hospital clinic public fire_station police prison museum library church chapel cathedral mosque temple shrine synagogue monastery religious presbytery sports_hall sports_centre stadium grandstand pavilion riding_hall train_station transportation military bunker
-ancillary: garage garages carport parking shed roof service transformer_tower water_tower container toilets kitchen conservatory construction ruins tower boathouse
-ambiguous: residential yes building unclassified
-"""
-USE_LABELS_TEXT = """
-residential_multi: 集合住宅
-other_residential: 寮・社宅
-single_dwelling: 戸建て・長屋
-commercial: 店舗・商業施設
-office: オフィス・事務所
-industrial: 工場・倉庫
-institutional: 学校・病院等の施設
-ancillary: ガレージ・駐車場等
-ambiguous: 用途を特定できない建物
-"""
+USE_TAG_CATEGORY = {
+    "apartments": "residential_multi", "housing": "residential_multi",
+    "dormitory": "other_residential", "barracks": "other_residential", "nursing_home": "other_residential",
+    "retirement_home": "other_residential",
+    "house": "single_dwelling", "detached": "single_dwelling", "semidetached_house": "single_dwelling",
+    "terrace": "single_dwelling", "bungalow": "single_dwelling", "cabin": "single_dwelling",
+    "hut": "single_dwelling", "static_caravan": "single_dwelling", "houseboat": "single_dwelling",
+    "stilt_house": "single_dwelling", "ger": "single_dwelling", "tent": "single_dwelling", "farm": "single_dwelling",
+    "commercial": "commercial", "retail": "commercial", "shop": "commercial", "supermarket": "commercial",
+    "kiosk": "commercial", "marketplace": "commercial", "hotel": "commercial", "motel": "commercial",
+    "restaurant": "commercial",
+    "office": "office", "government": "office", "civic": "office",
+    "industrial": "industrial", "warehouse": "industrial", "factory": "industrial", "manufacture": "industrial",
+    "hangar": "industrial", "silo": "industrial", "storage_tank": "industrial", "digester": "industrial",
+    "barn": "industrial", "cowshed": "industrial", "farm_auxiliary": "industrial", "greenhouse": "industrial",
+    "stable": "industrial", "sty": "industrial", "slurry_tank": "industrial",
+    "school": "institutional", "university": "institutional", "college": "institutional",
+    "kindergarten": "institutional", "hospital": "institutional", "clinic": "institutional",
+    "public": "institutional", "fire_station": "institutional", "police": "institutional", "prison": "institutional",
+    "museum": "institutional", "library": "institutional", "church": "institutional", "chapel": "institutional",
+    "cathedral": "institutional", "mosque": "institutional", "temple": "institutional", "shrine": "institutional",
+    "synagogue": "institutional", "monastery": "institutional", "religious": "institutional",
+    "presbytery": "institutional", "sports_hall": "institutional", "sports_centre": "institutional",
+    "stadium": "institutional", "grandstand": "institutional", "pavilion": "institutional",
+    "riding_hall": "institutional", "train_station": "institutional", "transportation": "institutional",
+    "military": "institutional", "bunker": "institutional",
+    "garage": "ancillary", "garages": "ancillary", "carport": "ancillary", "parking": "ancillary",
+    "shed": "ancillary", "roof": "ancillary", "service": "ancillary", "transformer_tower": "ancillary",
+    "water_tower": "ancillary", "container": "ancillary", "toilets": "ancillary", "kitchen": "ancillary",
+    "conservatory": "ancillary", "construction": "ancillary", "ruins": "ancillary", "tower": "ancillary",
+    "boathouse": "ancillary",
+    "residential": "ambiguous", "yes": "ambiguous", "building": "ambiguous", "unclassified": "ambiguous",
+}
+USE_LABELS = {
+    "residential_multi": "集合住宅",
+    "other_residential": "寮・社宅",
+    "single_dwelling": "戸建て・長屋",
+    "commercial": "店舗・商業施設",
+    "office": "オフィス・事務所",
+    "industrial": "工場・倉庫",
+    "institutional": "学校・病院等の施設",
+    "ancillary": "ガレージ・駐車場等",
+    "ambiguous": "用途を特定できない建物",
+}
 # Excluding terms are tried in this order, before the residential terms.
-EXCLUDING_TERMS_TEXT = """
-commercial: 店舗付き 店舗併用
-single_dwelling: 戸建 一戸建 一軒家 長屋 テラスハウス タウンハウス
-other_residential: 寮 社宅 官舎 老人ホーム
-commercial: 店舗 商業施設 商業ビル ショッピング スーパー ホテル 旅館 飲食
-office: 事務所 オフィス
-industrial: 工場 倉庫 作業所
-institutional: 学校 大学 高校 中学 小学 幼稚園 保育園 病院 診療所 クリニック 神社 寺院 教会
-ancillary: ガレージ 駐車場 車庫 物置
-"""
-RESIDENTIAL_TERMS = (
-    "マンション アパート 集合住宅 共同住宅 コーポ ハイツ メゾン レジデンス 団地 "
-    "公営住宅 都営住宅 県営住宅 市営住宅 区営住宅"
-).split()
+EXCLUDING_TERMS = [
+    ("店舗付き", "commercial"), ("店舗併用", "commercial"),
+    ("戸建", "single_dwelling"), ("一戸建", "single_dwelling"), ("一軒家", "single_dwelling"),
+    ("長屋", "single_dwelling"), ("テラスハウス", "single_dwelling"), ("タウンハウス", "single_dwelling"),
+    ("寮", "other_residential"), ("社宅", "other_residential"), ("官舎", "other_residential"),
+    ("老人ホーム", "other_residential"),
+    ("店舗", "commercial"), ("商業施設", "commercial"), ("商業ビル", "commercial"), ("ショッピング", "commercial"),
+    ("スーパー", "commercial"), ("ホテル", "commercial"), ("旅館", "commercial"), ("飲食", "commercial"),
+    ("事務所", "office"), ("オフィス", "office"),
+    ("工場", "industrial"), ("倉庫", "industrial"), ("作業所", "industrial"),
+    ("学校", "institutional"), ("大学", "institutional"), ("高校", "institutional"), ("中学", "institutional"),
+    ("小学", "institutional"), ("幼稚園", "institutional"), ("保育園", "institutional"), ("病院", "institutional"),
+    ("診療所", "institutional"), ("クリニック", "institutional"), ("神社", "institutional"), ("寺院", "institutional"),
+    ("教会", "institutional"),
+    ("ガレージ", "ancillary"), ("駐車場", "ancillary"), ("車庫", "ancillary"), ("物置", "ancillary"),
+]
+RESIDENTIAL_TERMS = [
+    "マンション", "アパート", "集合住宅", "共同住宅", "コーポ", "ハイツ", "メゾン", "レジデンス", "団地", "公営住宅", "都営住宅", "県営住宅", "市営住宅", "区営住宅",
+]
 
 # --- map element tags (fixed values) ---------------------------------------
 NAME_TAGS = ["name:ja", "name", "official_name", "name:ja-Hira", "name:en"]
@@ -170,54 +197,41 @@ NON_APARTMENT_RESIDENTIAL = [
 UNIT_TAGS = ["building:flats", "flats", "building:units"]
 
 # --- column headers (fixed values) -----------------------------------------
-LIST_HEADERS_TEXT = """
-building_name: 建物名 物件名 マンション名 建物 名称 物件 name
-address: 住所 所在地 所在 address
-total_units: 総戸数 総世帯数 戸数 世帯数 部屋数 units
-property_type: 種別 物件種別 賃貸分譲 type
-latitude: 緯度 lat latitude
-longitude: 経度 lng lon longitude
-prefecture: 都道府県 県名 prefecture
-city: 市区町村 市区郡 区 市 city
-town: 町名 町丁目 大字 town
-building_use: 用途 建物用途 building use 構造
-"""
-IMPORT_HINTS_TEXT = """
-building_name: 建物名 物件名 マンション名 建物 名称 物件 name building
-address: 住所 所在地 所在 address location
-total_units: 総世帯数 世帯数 戸数 総戸数 部屋数 units households
-property_type: 種別 物件種別 賃貸分譲 type
-distributed_date: 配布日 実施日 配布年月日 日付 date
-distributed_by: 担当者 担当 配布者 スタッフ staff by
-notes: 備考 メモ コメント note memo remarks
-latitude: 緯度 lat latitude
-longitude: 経度 lng lon longitude
-"""
+LIST_HEADERS = [
+    ("building_name", ["建物名", "物件名", "マンション名", "建物", "名称", "物件", "name"]),
+    ("address", ["住所", "所在地", "所在", "address"]),
+    ("total_units", ["総戸数", "総世帯数", "戸数", "世帯数", "部屋数", "units"]),
+    ("property_type", ["種別", "物件種別", "賃貸分譲", "type"]),
+    ("latitude", ["緯度", "lat", "latitude"]),
+    ("longitude", ["経度", "lng", "lon", "longitude"]),
+    ("prefecture", ["都道府県", "県名", "prefecture"]),
+    ("city", ["市区町村", "市区郡", "区", "市", "city"]),
+    ("town", ["町名", "町丁目", "大字", "town"]),
+    ("building_use", ["用途", "建物用途", "building", "use", "構造"]),
+]
+IMPORT_HINTS = [
+    ("building_name", ["建物名", "物件名", "マンション名", "建物", "名称", "物件", "name", "building"]),
+    ("address", ["住所", "所在地", "所在", "address", "location"]),
+    ("total_units", ["総世帯数", "世帯数", "戸数", "総戸数", "部屋数", "units", "households"]),
+    ("property_type", ["種別", "物件種別", "賃貸分譲", "type"]),
+    ("distributed_date", ["配布日", "実施日", "配布年月日", "日付", "date"]),
+    ("distributed_by", ["担当者", "担当", "配布者", "スタッフ", "staff", "by"]),
+    ("notes", ["備考", "メモ", "コメント", "note", "memo", "remarks"]),
+    ("latitude", ["緯度", "lat", "latitude"]),
+    ("longitude", ["経度", "lng", "lon", "longitude"]),
+]
 
 # --- hosts whose terms forbid automated reading (fixed values) -------------
-BLOCKED_HOSTS = (
-    "suumo.jp homes.co.jp lifull.com athome.co.jp realestate.yahoo.co.jp yahoo.co.jp "
-    "chintai.net apamanshop.com minimini.jp able.co.jp homemate.co.jp rakumachi.jp"
-).split()
+BLOCKED_HOSTS = [
+    "suumo.jp", "homes.co.jp", "lifull.com", "athome.co.jp", "realestate.yahoo.co.jp", "yahoo.co.jp",
+    "chintai.net", "apamanshop.com", "minimini.jp", "able.co.jp", "homemate.co.jp", "rakumachi.jp",
+]
 
 # --- area master (fixed values): prefecture -> wards -----------------------
 AREA_MASTER = {
-    "東京都": (
-        "千代田区 中央区 港区 新宿区 文京区 台東区 墨田区 江東区 品川区 目黒区 大田区 世田谷区 "
-        "渋谷区 中野区 杉並区 豊島区 北区 荒川区 板橋区 練馬区 足立区 葛飾区 江戸川区"
-    ).split(),
+    "東京都": [
+        "千代田区", "中央区", "港区", "新宿区", "文京区", "台東区", "墨田区", "江東区", "品川区", "目黒区", "大田区", "世田谷区", "渋谷区", "中野区", "杉並区",
+        "豊島区", "北区", "荒川区", "板橋区", "練馬区", "足立区", "葛飾区", "江戸川区",
+    ],
 }
 
-
-def parse_lines(text: str) -> list[tuple[str, list[str]]]:
-    """``"key: a b"`` lines -> ordered ``[(key, [a, b])]`` (keys may repeat)."""
-    pairs = (line.split(":", 1) for line in text.strip().splitlines())
-    return [(key.strip(), values.split()) for key, values in pairs]
-
-
-LEXICON = parse_lines(LEXICON_TEXT)
-USE_TAG_CATEGORY = {tag: cat for cat, tags in parse_lines(USE_TAGS_TEXT) for tag in tags}
-USE_LABELS = {cat: labels[0] for cat, labels in parse_lines(USE_LABELS_TEXT)}
-EXCLUDING_TERMS = [(term, cat) for cat, terms in parse_lines(EXCLUDING_TERMS_TEXT) for term in terms]
-LIST_HEADERS = parse_lines(LIST_HEADERS_TEXT)
-IMPORT_HINTS = parse_lines(IMPORT_HINTS_TEXT)

@@ -61,9 +61,13 @@ def unique_key_violations(buildings: DataFrame, order: list[str] | None = None)
     )
 
 
-def expand_coverage(coverage: DataFrame, master: dict | None = None) -> DataFrame:
+def expand_coverage(coverage: DataFrame, master: dict | DataFrame | None = None) -> DataFrame:
     """(prefecture, city?) declarations -> one row per city; a declaration
-    without a city covers every city of its prefecture in the area master."""
+    without a city covers every city of its prefecture in the area master, a
+    small dict or a table (prefecture, city)."""
+    if isinstance(master, DataFrame):
+        wide = coverage.filter("city is null").select("prefecture").distinct().join(master.select("prefecture", "city"), "prefecture")
+        return coverage.filter("city is not null").select("prefecture", "city").union(wide.select("prefecture", "city")).distinct()
     master = vocab.AREA_MASTER if master is None else master
     pairs = [F.lit(x) for p, cs in master.items() for x in (p, F.array(*[F.lit(c) for c in cs]))]
     cities = F.try_element_at(F.create_map(*pairs), F.col("prefecture"))
