@@ -62,7 +62,7 @@ def telling(text: np.ndarray, column: np.ndarray, n: int, yes: np.ndarray, least
     rows, positive = len(yes), yes.sum()
     total = np.zeros(n)
     for got, row, col in ((a, d, positive), (d - a, d, rows - positive), (positive - a, rows - d, positive), (rows - positive - d + a, rows - d, rows - positive)):
-        expected = row * col / rows
+        expected = row * col / max(rows, 1)
         total += np.where(got > 0, got * np.log(np.maximum(got, 1e-9) / np.maximum(expected, 1e-9)), 0)
     return (d >= least_texts) & (2 * total >= least)
 
