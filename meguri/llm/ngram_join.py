@@ -13,8 +13,8 @@ A set may leave out signatures as long as more than k remain. Those in crowded
 buckets are left out where the set can afford it. Sets that cannot, as in a large
 group of near copies, are hard; only pairs of two hard sets need more. Such a
 pair either shares a shingle that is rare among hard sets, and is found by it, or
-differs in all its rare shingles and at least in the difference of its numbers of
-common ones. That bound rules out most pairs by counts alone; the rest are joined up by
+differs in all its rare shingles and, in each of 32 groups of the common ones, at least
+in the difference of its numbers. That bound rules out most pairs by counts alone; the rest are joined up by
 comparing each bucket with its member of fewest rare shingles, and then members
 of different components that the bound still allows. So no link between components
 is lost, and no bucket is compared in all its pairs. Candidates are verified on
@@ -37,6 +37,7 @@ from meguri.llm.registry import query
 
 WIDTH = 5
 SHARE = (80, 100)  # the least similarity, as a fraction
+GROUPS = 32  # of common shingles, by hash
 CROWD = 32  # ids in a bucket above which it is crowded
 SENT = 2_000_000  # hashes that may be sent to every task; more are joined
 
@@ -241,9 +242,11 @@ def _could_link(a: str, b: str, shared: Column) -> Column:
     """The bound for two hard sets that share ``shared`` rare shingles: a link
     differs in at most (q - p) / (q + p) of both sizes."""
     p, q = SHARE
-    rare, common = F.col(f"rare_{a}") + F.col(f"rare_{b}"), F.abs(F.col(f"common_{a}") - F.col(f"common_{b}"))
-    size = rare + F.col(f"common_{a}") + F.col(f"common_{b}")
-    return (q + p) * (rare - 2 * shared + common) <= (q - p) * size
+    most = (q - p) * (F.col(f"size_{a}") + F.col(f"size_{b}"))
+    rare = F.col(f"rare_{a}") + F.col(f"rare_{b}") - 2 * shared
+    whole = F.abs(F.col(f"size_{a}") - F.col(f"rare_{a}") - F.col(f"size_{b}") + F.col(f"rare_{b}"))
+    apart = F.aggregate(F.zip_with(f"parts_{a}", f"parts_{b}", lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda n, x: n + x)
+    return ((q + p) * (rare + whole) <= most) & ((q + p) * (rare + apart) <= most)  # the first is cheap and weaker
 
 
 def hard_links(hard: DataFrame, items: DataFrame) -> DataFrame:
@@ -258,10 +261,14 @@ def hard_links(hard: DataFrame, items: DataFrame) -> DataFrame:
     mine = items.join(hard.select("id").distinct(), "id", "left_semi").select("id", "items").mapInArrow(run, "id long, item long")
     held = step(mine, "items")
     seen = held.groupBy("item").agg(F.count("*").alias("n"))
-    rare = held.join(seen.filter(F.col("n") <= CROWD), "item")
-    sizes = held.groupBy("id").agg(F.count("*").alias("size")).join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left")
-    info = step(sizes.select("id", F.coalesce("rare", F.lit(0)).alias("rare"), (F.col("size") - F.coalesce("rare", F.lit(0))).alias("common")), "info")
-    about = lambda side, name=None: info.select(F.col("id").alias(name or side), F.col("rare").alias(f"rare_{side}"), F.col("common").alias(f"common_{side}"))
+    counted = held.join(seen, "item")
+    rare, group = counted.filter(F.col("n") <= CROWD), F.pmod(F.xxhash64("item"), F.lit(GROUPS))
+    common = [F.count(F.when((F.col("n") > CROWD) & (group == k), 1)) for k in range(GROUPS)]
+    info = step(counted.groupBy("id").agg(
+        F.count("*").alias("size"), F.count(F.when(F.col("n") <= CROWD, 1)).alias("rare"), F.array(*common).alias("parts")), "info")
+
+    def about(side: str, name: str | None = None) -> DataFrame:
+        return info.select(F.col("id").alias(name or side), *[F.col(c).alias(f"{c}_{side}") for c in ("size", "rare", "parts")])
 
     by_item = rare.filter("n > 1").groupBy("item").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most CROWD
     pairs = F.transform("ids", lambda x, k: F.transform(F.slice("ids", k + 2, F.lit(CROWD)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
@@ -277,16 +284,15 @@ def hard_links(hard: DataFrame, items: DataFrame) -> DataFrame:
 
     roots = components(found)
     now = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    part = now.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min(F.col("rare") + F.col("common")).alias("least"))
-    state = part.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts"), F.min("least").alias("least"))
-    now = step(now.join(state.filter("parts > 1"), "bucket"), "open")
+    part = now.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("size").alias("least"))
+    state = part.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("n_roots"), F.min("least").alias("least"))
+    now = step(now.join(state.filter("n_roots > 1"), "bucket"), "open")
     # of those outside a bucket's largest component, the ones that the bound allows any partner
     p, q = SHARE
-    size = F.col("rare") + F.col("common")
-    partner = F.greatest(q * F.col("least"), p * size) / q
-    allowed = (q + p) * (partner - (F.col("common") - F.col("rare"))) <= (q - p) * (partner + size)
-    outside = now.filter((F.col("root") != F.col("main")) & allowed).select("bucket", F.col("id").alias("x"), F.col("root").alias("root_x"), F.col("rare").alias("rare_x"), F.col("common").alias("common_x"))
-    inside = now.select("bucket", F.col("id").alias("y"), F.col("root").alias("root_y"), F.col("rare").alias("rare_y"), F.col("common").alias("common_y"))
+    partner = F.greatest(q * F.col("least"), p * F.col("size")) / q
+    allowed = (q + p) * (partner - F.col("size") + 2 * F.col("rare")) <= (q - p) * (partner + F.col("size"))
+    side = lambda df, k: df.select("bucket", F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("root", "size", "rare", "parts")])
+    outside, inside = side(now.filter((F.col("root") != F.col("main")) & allowed), "x"), side(now, "y")
     left = outside.join(inside, "bucket").filter((F.col("root_x") != F.col("root_y")) & _could_link("x", "y", F.lit(0)))
     more = left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return found.union(similar(step(more, "pairs"), items))
