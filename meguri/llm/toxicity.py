@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meguri.llm.common import batches, sampled, table, texts_of, word_codes
+from meguri.llm.common import batches, sampled, step, table, texts_of, word_codes
 from meguri.llm.decontaminate import words
 from meguri.llm.registry import query
 
@@ -55,16 +55,23 @@ def sparse(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarr
     return both // DIMENSIONS, both % DIMENSIONS, np.log1p(count), sizes
 
 
-def telling(text: np.ndarray, column: np.ndarray, n: int, yes: np.ndarray, least_texts: int, least: float) -> np.ndarray:
-    """Which columns tell the labels apart: in enough texts, and with a
-    likelihood ratio (twice the log) of ``least`` or more against chance."""
-    a, d = np.bincount(column, yes[text], n), np.bincount(column, minlength=n).astype(float)
-    rows, positive = len(yes), yes.sum()
-    total = np.zeros(n)
-    for got, row, col in ((a, d, positive), (d - a, d, rows - positive), (positive - a, rows - d, positive), (rows - positive - d + a, rows - d, rows - positive)):
+def likelihood_ratio(texts: np.ndarray, yes: np.ndarray, rows: int, positive: int) -> np.ndarray:
+    """Twice the log of how much likelier the labels are with a feature than by
+    chance, for features of ``texts`` texts, ``yes`` of them labelled yes."""
+    total = np.zeros(len(texts))
+    for got, row, col in (
+        (yes, texts, positive), (texts - yes, texts, rows - positive), (positive - yes, rows - texts, positive),
+        (rows - positive - texts + yes, rows - texts, rows - positive),
+    ):
         expected = row * col / max(rows, 1)
         total += np.where(got > 0, got * np.log(np.maximum(got, 1e-9) / np.maximum(expected, 1e-9)), 0)
-    return (d >= least_texts) & (2 * total >= least)
+    return 2 * total
+
+
+def telling(text: np.ndarray, column: np.ndarray, n: int, yes: np.ndarray, least_texts: int, least: float) -> np.ndarray:
+    """Which columns tell the labels apart: in enough texts, and likely enough."""
+    texts, both = np.bincount(column, minlength=n).astype(float), np.bincount(column, yes[text], n)
+    return (texts >= least_texts) & (likelihood_ratio(texts, both, len(yes), int(yes.sum())) >= least)
 
 
 class Ordinal:
@@ -157,27 +164,41 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int
         for batch in batches(frames):
             text, word, value, sizes = sparse(texts_of(batch.column("text")))
             ends = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            ids = batch.column("doc_id").cast(pa.string())
+            held = [xxhash.xxh64_intdigest(i) % 5 == 0 for i in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").cast(pa.string()), batch.column("toxic").cast(pa.int64()), pa.array(sizes),
+                ids, batch.column("toxic").cast(pa.int64()), pa.array(sizes), pa.array(held, pa.bool_()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(word, pa.int32())),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value, pa.float32())),
-            ], names=["id", "toxic", "size", "word", "value"])
-
-    got = rows.mapInArrow(run, "id string, toxic long, size long, word array<int>, value array<float>").toArrow()
+            ], names=["id", "toxic", "size", "held", "word", "value"])
+
+    # the sample stays with Spark; the driver gets counts of features, then only those that tell
+    read = step(rows.mapInArrow(run, "id string, toxic long, size long, held boolean, word array<int>, value array<float>"), "labelled")
+    fitted = read.filter(~F.col("held"))
+    seen = fitted.select("toxic", F.explode("word").alias("word")).groupBy("word").agg(
+        F.count("*").alias("texts"), F.count(F.when(F.col("toxic") > 0, 1)).alias("yes")).filter(F.col("texts") >= Ordinal(3).least_texts).toArrow()
+    total = fitted.agg(F.count("*").alias("n"), F.count(F.when(F.col("toxic") > 0, 1)).alias("yes")).first()
     model = Ordinal(3)
+    texts, yes = (seen.column(c).to_numpy().astype(float) for c in ("texts", "yes"))
+    wanted = np.zeros(DIMENSIONS, dtype=bool)
+    wanted[seen.column("word").to_numpy()[likelihood_ratio(texts, yes, total["n"], total["yes"]) >= model.least_ratio]] = True
+
+    def telling_only(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            keep = [(w, wanted[w]) for w in (np.array(x, dtype=np.int64) for x in batch.column("word").to_pylist())]
+            word = pa.array([w[k] for w, k in keep], pa.list_(pa.int32()))
+            value = pa.array([np.array(v, dtype=np.float32)[k] for v, (_, k) in zip(batch.column("value").to_pylist(), keep)], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "toxic", "size", "held")), word, value], names=["id", "toxic", "size", "held", "word", "value"])
+
+    got = read.mapInArrow(telling_only, read.schema).toArrow()
     if not got.num_rows:
         return model
     got = got.sort_by([("id", "ascending"), ("size", "ascending")])
-    toxic, sizes = got.column("toxic").to_numpy(), got.column("size").to_numpy()
-    held = np.array([xxhash.xxh64_intdigest(i) % 5 == 0 for i in got.column("id").to_pylist()])
-    lists, value = got.column("word").combine_chunks(), got.column("value").combine_chunks().flatten().to_numpy()
-    del got
+    toxic, sizes, held = (got.column(c).to_numpy() for c in ("toxic", "size", "held"))
+    lists, value = got.column("word").combine_chunks(), got.column("value").combine_chunks().flatten().to_numpy().astype(np.float64)
     counts = np.diff(lists.offsets.to_numpy())
-    text, word = np.repeat(np.arange(len(counts), dtype=np.int32), counts), lists.flatten().to_numpy()
+    text, word = np.repeat(np.arange(len(counts)), counts), lists.flatten().to_numpy().astype(np.int64)
     number, train = np.cumsum(~held) - 1, ~held[text]
-    # from here on only features that tell the labels of the fitted rows apart
-    some = telling(number[text[train]], word[train], DIMENSIONS, toxic[~held] > 0, model.least_texts, model.least_ratio)[word]
-    text, word, value, train = text[some], word[some].astype(np.int64), value[some].astype(np.float64), train[some]
     grade = graded(text, word, value, sizes, toxic)
     model.fit(number[text[train]], word[train], value[train], grade[~held])
     if held.any():
