@@ -86,3 +86,40 @@ def bucket_links(members: DataFrame, linked: Callable[[DataFrame], DataFrame], r
         pairs = star_pairs(heads.select("bucket", F.col("m.id").alias("id")))
         links = step(links.union(linked(step(pairs, "pairs"))).distinct(), "links")
     return links
+
+
+def rare_first(members: DataFrame, held: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """``members`` (bucket, id, ...) with item and size: a row for each of the
+    rarest shingles of each set, ``held`` (id, item), as many as cannot all be missing
+    from a linked set. Two linked members of a bucket share at least one of them."""
+    p, q = share
+    held = step(held.join(members.select("id").distinct(), "id", "left_semi"), "held")
+    seen = held.groupBy("item").agg(F.count("*").alias("n"))
+    placed = held.join(seen, "item").withColumn("size", F.count("*").over(Window.partitionBy("id"))).withColumn(
+        "place", F.row_number().over(Window.partitionBy("id").orderBy("n", "item")))
+    least = F.floor((p * F.col("size") + (q - 1)) / q)  # of the set, in both
+    keys = placed.filter((F.col("place") <= F.col("size") - least + 1) & (F.col("n") > 1)).select("id", "item", "size")
+    return members.join(keys, "id")
+
+
+def all_bucket_links(members: DataFrame, held: DataFrame, linked: Callable[[DataFrame], DataFrame], share: tuple[int, int], rounds: int = 2) -> DataFrame:
+    """Links (a, b) that join up every two linked members of each bucket.
+
+    What ``bucket_links`` leaves apart is compared in all pairs of a bucket that lie in
+    different components, share one of their rarest shingles and are of sizes that
+    allow a link. ``held`` has the (id, item) of the members' sets; ``share`` is the
+    least similarity, as a fraction.
+    """
+    p, q = share
+    found = step(bucket_links(members, linked, rounds), "found")
+    roots = components(found)
+    now = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    state = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    now = step(now.join(state, "bucket"), "open")
+    if no_rows(now):
+        return found
+    keys = step(rare_first(now, held, share), "keys")
+    a, b = (keys.select("bucket", "item", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "size")]) for k in "ab")
+    fits = q * F.least("size_a", "size_b") >= p * F.greatest("size_a", "size_b")
+    left = a.join(b, ["bucket", "item"]).filter((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & fits)
+    return found.union(linked(step(left.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "left")))

@@ -6,6 +6,7 @@ import pytest
 import test_groups
 from meguri.llm import line_dedup
 from meguri.llm.common import step
+from meguri.llm.components import all_bucket_links
 
 
 def whole_set(line):
@@ -39,3 +40,52 @@ def test_lines_without_blanks_stay_apart(spark):
 def test_lines_against_whole_sets(spark, monkeypatch, test):
     monkeypatch.setattr(test_groups, "line_set", whole_set)
     getattr(test_groups, test)(spark)
+
+
+def test_many_groups_in_one_bucket(spark):
+    rng, sets = random.Random(9), {}
+    for g in range(40):  # forty groups of four, none of them joined with another
+        base = [1000 * g + k for k in range(20)]
+        for _ in range(4):
+            sets[len(sets)] = {*base, *range(-5, 0), rng.randrange(10**6, 10**9)}
+    order = list(sets)
+    rng.shuffle(order)
+    sets = {i: sets[k] for i, k in enumerate(order)}
+    near = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    members = spark.createDataFrame([(7, i) for i in sets], "bucket long, id long")
+    held = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "id long, item long")
+    linked = lambda pairs: pairs.join(spark.createDataFrame(sorted(near), "a long, b long"), ["a", "b"])
+    got, want = test_groups.Union(), test_groups.Union()
+    for a, b in near:
+        want.join(a, b)
+    for r in all_bucket_links(members, held, linked, (80, 100)).collect():
+        assert (r["a"], r["b"]) in near
+        got.join(r["a"], r["b"])
+    assert all(got.find(i) == want.find(i) for i in sets) and len(near) == 240
+
+
+def test_crowded_template_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BANDS", 1)  # lines meet in one bucket or nowhere
+    monkeypatch.setattr(line_dedup, "ROWS", 1)
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    head, lines = text(200), []
+    for _ in range(60):
+        own = text(40)
+        lines += [f"{head}{own}{text(3)}" for _ in range(3)]
+    rng.shuffle(lines)
+    docs = step(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").coalesce(1))
+    names = {r["said"]: r["id"] for r in line_dedup._said(docs).collect()}
+    by = {}
+    for r in line_dedup.signatures(docs).collect():
+        by.setdefault(r["bands"][0], set()).add(r["id"])
+    got = test_groups.Union()
+    for r in line_dedup.links(docs).collect():
+        got.join(r["a"], r["b"])
+    assert max(map(len, by.values())) > 32
+    for bucket in by.values():
+        mine = [x for x in lines if names[x] in bucket]
+        for x in mine:
+            for y in mine:
+                if 100 * len(whole_set(x) & whole_set(y)) >= 80 * len(whole_set(x) | whole_set(y)):
+                    assert got.find(names[x]) == got.find(names[y])
