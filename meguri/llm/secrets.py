@@ -4,7 +4,7 @@ Base spans follow fixed patterns over the text as it stands. A worklist then
 unwraps layers: URL escapes, Unicode escapes and character references, base64,
 and gzip, zlib or bzip2 within it. Every new layer is scanned and unwrapped in
 turn until nothing new comes out; content that was seen before is not entered
-again, so cycles end. Each character of a layer knows the stretch of the
+again, so cycles end. Base64 may be wrapped over lines. Each character of a layer knows the stretch of the
 original text that it came from, and so does each span found there.
 """
 
@@ -61,6 +61,8 @@ class Layer:
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9a-fA-F]{4})|\\U([0-9a-fA-F]{8})|\\x([0-9a-fA-F]{2})|&#x([0-9a-fA-F]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++={0,2}[\x20\t]*(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+={0,2}[\x20\t]*(?=[\r\n]|\Z))+")
+_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 _TEXT = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
 
@@ -130,6 +132,29 @@ def _unpacked(text: str) -> bytes | None:
         return None
 
 
+def _encoded(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, characters) of what may be base64: unbroken runs, and runs over
+    several lines. Wrapped lines are of one length, but for the first, which may
+    stand behind a word, and the last; either may also be no part of it."""
+    for m in _BASE64.finditer(text):
+        yield m.start(), m.end(), m.group()
+    if "\n" not in text:
+        return
+    for m in _LINES.finditer(text):
+        lines = [(x.start(), x.end(), x.group()) for x in _LINE.finditer(text, m.start(), m.end())]
+        first = 0
+        while first < len(lines):
+            last, width = first, len(lines[first][2])
+            while last + 1 < len(lines) and len(lines[last + 1][2]) == width and not lines[last][2].endswith("="):
+                last += 1
+            if width >= 16:
+                for a in {max(0, first - 1), first}:
+                    for b in {last, min(last + 1, len(lines) - 1)}:
+                        if a < b:
+                            yield lines[a][0], lines[b][1], "".join(x[2] for x in lines[a : b + 1])
+            first = last + 1
+
+
 def spans_of(text: str, limit: int = 1 << 24) -> tuple[list[dict], int]:
     """All spans of a text, and how many layers were cut at ``limit`` bytes
     (against compressed data that swells without end)."""
@@ -158,8 +183,8 @@ def spans_of(text: str, limit: int = 1 << 24) -> tuple[list[dict], int]:
             push(_spliced(layer, _URL, _url, "url"))
         if "\\" in layer.text or "&#" in layer.text:
             push(_spliced(layer, _UNICODE, _unicode, "unicode"))
-        for m in _BASE64.finditer(layer.text):
-            data, way = _unpacked(m.group()), f"{layer.way}base64/"
+        for first, last, encoded in _encoded(layer.text):
+            data, way = _unpacked(encoded), f"{layer.way}base64/"
             passed: set[bytes] = set()
             while data and (inner := _inflated(data, limit)) and (mark := hashlib.sha1(data).digest()) not in passed:
                 passed.add(mark)  # data that unpacks to itself ends here
@@ -172,7 +197,7 @@ def spans_of(text: str, limit: int = 1 << 24) -> tuple[list[dict], int]:
             except UnicodeDecodeError:
                 continue
             if not _TEXT.search(plain):
-                start, end = layer.origin(m.start(), m.end())
+                start, end = layer.origin(first, last)
                 push(Layer(plain, [start], [end], way))
     return sorted(out, key=lambda s: (s["start"], KINDS.index(s["kind"]), s["end"])), cut
 

@@ -1,10 +1,13 @@
 """Whole sets and every linked pair in line dedup and the n-gram join, whole payloads in secrets."""
 
+import base64
+import gzip
 import random
+import textwrap
 
 import pytest
 import test_groups
-from meguri.llm import line_dedup
+from meguri.llm import line_dedup, secrets
 from meguri.llm.common import step
 from meguri.llm.components import all_bucket_links
 
@@ -89,3 +92,17 @@ def test_crowded_template_lines(spark, monkeypatch):
             for y in mine:
                 if 100 * len(whole_set(x) & whole_set(y)) >= 80 * len(whole_set(x) | whole_set(y)):
                     assert got.find(names[x]) == got.find(names[y])
+
+
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("frame", ["{}", "-----BEGIN X-----\n{}\n-----END X-----", "see\n\n{}\n\nthere", "data: {}\nword\nmore words"])
+@pytest.mark.parametrize("packed, brk", [(False, "\n"), (False, "\r\n"), (False, "\n    "), (True, "\n")])
+def test_wrapped_base64(width, frame, packed, brk):
+    rng = random.Random(width)
+    for n in range(40, 58):  # the secret lies over the break, and last lines are of any length
+        said = f"{'é' * 5}{'x' * (n - 10)} api_key = abcdefGHIJKL0123 {rng.getrandbits(400):x}"
+        data = gzip.compress(said.encode()) if packed else said.encode()
+        text = frame.format(brk.join(textwrap.wrap(base64.b64encode(data).decode(), width)))
+        spans, cut = secrets.spans_of(text)
+        mine = [s for s in spans if s["kind"] == "assign" and not s["base"]]
+        assert cut == 0 and any("\n" in text[s["start"] : s["end"]] and s["way"] == ("base64/compressed/" if packed else "base64/") for s in mine)
