@@ -7,7 +7,8 @@ sets; the domain of shingles is cut into n > k partitions, so at least n - k
 partitions have no difference. Each non-empty partition of a set gives one
 signature: band, partition and the shingles in it. Two sets with such a
 similarity therefore share a signature whenever one of them has more than k that are
-non-empty.
+non-empty. Small sets may have no more than k; these scant sets also meet one another on
+their single shingles.
 
 A set may leave out signatures as long as more than k remain. Those in crowded
 buckets are left out where the set can afford it. Sets that cannot, as in a large
@@ -31,8 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meguri.llm.common import batches, mixed, step, table, texts_of, word_codes
-from meguri.llm.components import components, shared_only
+from meguri.llm.common import batches, mixed, no_rows, step, table, texts_of, word_codes
+from meguri.llm.components import all_bucket_links, components, shared_only
 from meguri.llm.registry import query
 
 WIDTH = 5
@@ -249,17 +250,28 @@ def _could_link(a: str, b: str, shared: Column) -> Column:
     return ((q + p) * (rare + whole) <= most) & ((q + p) * (rare + apart) <= most)  # the first is cheap and weaker
 
 
-def hard_links(hard: DataFrame, items: DataFrame) -> DataFrame:
-    """Links between hard sets, as many as join up every component; ``hard`` has
-    their crowded (bucket, id), ``items`` the sets."""
+def _single(items: DataFrame) -> DataFrame:
+    """(id, item): the shingles of sets (id, items) one by one."""
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
             values = [np.frombuffer(x.as_py(), dtype=np.int64) for x in batch.column(1)]
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(v) for v in values])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(values))], names=["id", "item"])
 
-    mine = items.join(hard.select("id").distinct(), "id", "left_semi").select("id", "items").mapInArrow(run, "id long, item long")
-    held = step(mine, "items")
+    return items.select("id", "items").mapInArrow(run, "id long, item long")
+
+
+def scant_links(scant: DataFrame, items: DataFrame) -> DataFrame:
+    """Links that join up every two linked sets of ``scant`` (id)."""
+    held = step(_single(items.join(scant, "id", "left_semi")), "held")
+    members = step(shared_only(held.select(F.col("item").alias("bucket"), "id")), "members")
+    return all_bucket_links(members, held, lambda pairs: similar(pairs, items), SHARE)
+
+
+def hard_links(hard: DataFrame, items: DataFrame) -> DataFrame:
+    """Links between hard sets, as many as join up every component; ``hard`` has
+    their crowded (bucket, id), ``items`` the sets."""
+    held = step(_single(items.join(hard.select("id").distinct(), "id", "left_semi")), "items")
     seen = held.groupBy("item").agg(F.count("*").alias("n"))
     counted = held.join(seen, "item")
     rare, group = counted.filter(F.col("n") <= CROWD), F.pmod(F.xxhash64("item"), F.lit(GROUPS))
@@ -301,7 +313,8 @@ def hard_links(hard: DataFrame, items: DataFrame) -> DataFrame:
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between keys of different sets: all of them where one set is
     not hard, and of two hard sets as many as join up every component. ``sets``
-    has a row for each key, see ``join``."""
+    has a row for each key, see ``join``. Of two scant sets, too, as many as join up
+    every component."""
     shared = step(shared_only(with_signatures(docs)), "shared").withColumn("band", _band("bucket"))
     counts = shared.groupBy("bucket").agg(F.count("*").alias("n"))
     crowded = step(shared.join(counts.filter(F.col("n") > CROWD).select("bucket"), "bucket"), "crowded")
@@ -320,9 +333,11 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
             F.col("met") >= spare + 1 - F.coalesce("lost", F.lit(0))).select("a", "b", "band", "met")
     plain = step(met.select("a", "b").distinct(), "pairs")
 
-    wanted = plain.select(F.explode(F.array("a", "b")).alias("id")).union(hard.select("id")).distinct()
+    scant = step(known.filter((F.col("spare") < 0) | ((F.col("below") < 0) & (F.col("own") > 0))).select("id"), "scant")
+    wanted = plain.select(F.explode(F.array("a", "b")).alias("id")).union(hard.select("id")).union(scant).distinct()
     items = step(sets_of(docs, step(wanted.join(sets.select(F.col("key").alias("id"), "row"), "id"), "wanted")), "sets")
-    return similar(plain, items).union(hard_links(hard, items))
+    found = similar(plain, items).union(hard_links(hard, items))
+    return found if no_rows(scant) else found.union(scant_links(scant, items))
 
 
 def join(docs: DataFrame) -> DataFrame:

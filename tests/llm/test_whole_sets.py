@@ -5,9 +5,10 @@ import gzip
 import random
 import textwrap
 
+import numpy as np
 import pytest
 import test_groups
-from meguri.llm import line_dedup, secrets
+from meguri.llm import line_dedup, ngram_join, secrets
 from meguri.llm.common import step
 from meguri.llm.components import all_bucket_links
 
@@ -106,3 +107,18 @@ def test_wrapped_base64(width, frame, packed, brk):
         spans, cut = secrets.spans_of(text)
         mine = [s for s in spans if s["kind"] == "assign" and not s["base"]]
         assert cut == 0 and any("\n" in text[s["start"] : s["end"]] and s["way"] == ("base64/compressed/" if packed else "base64/") for s in mine)
+
+
+def test_small_sets_without_a_shared_signature(spark):
+    rng = random.Random(21)
+    shorter = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(8)) for _ in range(6000)]
+    texts = [t for x in shorter for t in (x, f"{x} more")]
+    of, sigs = ngram_join.signatures(*ngram_join.shingle_sets(texts), ngram_join.Bands())
+    order = np.argsort(of, kind="stable")
+    by = [set(s.tolist()) for s in np.split(sigs[order], np.cumsum(np.bincount(of, minlength=len(texts)))[:-1])]
+    apart = [i for i in range(0, len(texts), 2) if not by[i] & by[i + 1]]
+    assert apart
+    rows = {j: texts[j] for i in [*apart, *range(0, 40, 2)] for j in (i, i + 1)}
+    docs = step(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs).collect()}
+    assert got == test_groups.plain_join(rows)
