@@ -88,38 +88,46 @@ def bucket_links(members: DataFrame, linked: Callable[[DataFrame], DataFrame], r
     return links
 
 
-def rare_first(members: DataFrame, held: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """``members`` (bucket, id, ...) with item and size: a row for each of the
-    rarest shingles of each set, ``held`` (id, item), as many as cannot all be missing
-    from a linked set. Two linked members of a bucket share at least one of them."""
+def prefix_pairs(members: DataFrame, held: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Distinct pairs (a, b) among which is every two linked ``members`` (id, root) of different roots.
+
+    ``held`` has the (id, item) of their sets. The items of a set are placed from the rarest on,
+    as counted among the members. Linked sets share at least p / (p + q) of both sizes, so
+    the larger has a shared item among so many first places as may be missing from the other, and
+    the smaller has it among fewer still; behind the first that they share, enough
+    places must be left in both. Items of one root alone meet nothing, but keep their places.
+    """
     p, q = share
-    held = step(held.join(members.select("id").distinct(), "id", "left_semi"), "held")
-    seen = held.groupBy("item").agg(F.count("*").alias("n"))
-    placed = held.join(seen, "item").withColumn("size", F.count("*").over(Window.partitionBy("id"))).withColumn(
-        "place", F.row_number().over(Window.partitionBy("id").orderBy("n", "item")))
-    least = F.floor((p * F.col("size") + (q - 1)) / q)  # of the set, in both
-    keys = placed.filter((F.col("place") <= F.col("size") - least + 1) & (F.col("n") > 1)).select("id", "item", "size")
-    return members.join(keys, "id")
-
-
-def all_bucket_links(members: DataFrame, held: DataFrame, linked: Callable[[DataFrame], DataFrame], share: tuple[int, int], rounds: int = 2) -> DataFrame:
+    held = held.join(members, "id")
+    seen = held.groupBy("item").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    w = Window.partitionBy("id")
+    placed = held.join(seen, "item").withColumn("size", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("n", "item")))
+    long_part = F.col("size") - F.floor((p * F.col("size") + (q - 1)) / q) + 1
+    short_part = F.col("size") - F.floor((2 * p * F.col("size") + (p + q - 1)) / (p + q)) + 1
+    keys = step(placed.filter("low < high").filter(F.col("place") <= long_part).select(
+        "id", "root", "item", "size", "place", (F.col("place") <= short_part).alias("short")), "keys")
+    a, b = (keys.select("item", "short", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "size", "place")]) for k in "ab")
+    order = (F.col("size_b") < F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("id_b") < F.col("id_a")))
+    fits = q * F.col("size_b") >= p * F.col("size_a")
+    left = 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    enough = (p + q) * left >= p * (F.col("size_a") + F.col("size_b"))
+    met = a.drop("short").join(b.filter("short").drop("short"), "item").filter(order & fits & enough & (F.col("root_a") != F.col("root_b")))
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def all_bucket_links(members: DataFrame, held: Callable[[DataFrame], DataFrame], linked: Callable[[DataFrame], DataFrame], share: tuple[int, int], rounds: int = 2) -> DataFrame:
     """Links (a, b) that join up every two linked members of each bucket.
 
-    What ``bucket_links`` leaves apart is compared in all pairs of a bucket that lie in
-    different components, share one of their rarest shingles and are of sizes that
-    allow a link. ``held`` has the (id, item) of the members' sets; ``share`` is the
-    least similarity, as a fraction.
+    What ``bucket_links`` leaves apart meets by ``prefix_pairs``, whatever the buckets: members of
+    one group by their rare items only, and what two groups have in common not at all. ``held`` gives
+    the (id, item) of the sets of some (id); ``share`` is the least similarity, as a fraction.
     """
-    p, q = share
     found = step(bucket_links(members, linked, rounds), "found")
     roots = components(found)
     now = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     state = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    now = step(now.join(state, "bucket"), "open")
-    if no_rows(now):
+    apart = step(now.join(state, "bucket").select("id", "root").distinct(), "apart")
+    if no_rows(apart):
         return found
-    keys = step(rare_first(now, held, share), "keys")
-    a, b = (keys.select("bucket", "item", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "size")]) for k in "ab")
-    fits = q * F.least("size_a", "size_b") >= p * F.greatest("size_a", "size_b")
-    left = a.join(b, ["bucket", "item"]).filter((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & fits)
-    return found.union(linked(step(left.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "left")))
+    left = prefix_pairs(apart, step(held(apart.select("id")), "held"), share)
+    return found.union(linked(step(left, "left")))

@@ -265,7 +265,8 @@ def scant_links(scant: DataFrame, items: DataFrame) -> DataFrame:
     """Links that join up every two linked sets of ``scant`` (id)."""
     held = step(_single(items.join(scant, "id", "left_semi")), "held")
     members = step(shared_only(held.select(F.col("item").alias("bucket"), "id")), "members")
-    return all_bucket_links(members, held, lambda pairs: similar(pairs, items), SHARE)
+    of = lambda ids: held.join(ids, "id", "left_semi")
+    return all_bucket_links(members, of, lambda pairs: similar(pairs, items), SHARE)
 
 
 def hard_links(hard: DataFrame, items: DataFrame) -> DataFrame:
@@ -364,10 +365,10 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with only the first row of each component, columns as they were."""
-    gone = join(docs).filter(~F.col("first")).select(F.col("row").alias("_row"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    """``docs`` with only the first row of each component; columns, whatever their names, as they were."""
+    gone = join(docs).filter(~F.col("first")).select("row")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 @query("op7_partenum_join")

@@ -13,11 +13,6 @@ from meguri.llm.common import step
 from meguri.llm.components import all_bucket_links
 
 
-def whole_set(line):
-    k = line_dedup.SHINGLE
-    return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
-
-
 def test_lines_hold_all_their_shingles(spark):
     rng = random.Random(4)
     lines = ["a", "é" * 30, "日本語のとても長い一行です、はい", "日本", "abcdefghij abcdefghij", "x" * 9, "😀" * 12, "a\rb" * 40]
@@ -25,7 +20,7 @@ def test_lines_hold_all_their_shingles(spark):
     docs = spark.createDataFrame([("\n".join(lines),)], "text string")
     said = line_dedup._said(docs)
     got = {r["said"]: r["n"] for r in line_dedup.lines_of(docs, said.select("id")).join(said, "id").selectExpr("said", "size(items) n").collect()}
-    assert got == {x: len(whole_set(x)) for x in lines}
+    assert got == {x: len(test_groups.line_set(x)) for x in lines}
 
 
 def test_lines_without_blanks_stay_apart(spark):
@@ -40,12 +35,6 @@ def test_lines_without_blanks_stay_apart(spark):
     assert goes == {len(lines) - 1}
 
 
-@pytest.mark.parametrize("test", ["test_shingles_of_lines", "test_lines_against_all_pairs", "test_line_query"])
-def test_lines_against_whole_sets(spark, monkeypatch, test):
-    monkeypatch.setattr(test_groups, "line_set", whole_set)
-    getattr(test_groups, test)(spark)
-
-
 def test_many_groups_in_one_bucket(spark):
     rng, sets = random.Random(9), {}
     for g in range(40):  # forty groups of four, none of them joined with another
@@ -62,7 +51,7 @@ def test_many_groups_in_one_bucket(spark):
     got, want = test_groups.Union(), test_groups.Union()
     for a, b in near:
         want.join(a, b)
-    for r in all_bucket_links(members, held, linked, (80, 100)).collect():
+    for r in all_bucket_links(members, lambda ids: held.join(ids, "id"), linked, (80, 100)).collect():
         assert (r["a"], r["b"]) in near
         got.join(r["a"], r["b"])
     assert all(got.find(i) == want.find(i) for i in sets) and len(near) == 240
@@ -91,7 +80,7 @@ def test_crowded_template_lines(spark, monkeypatch):
         mine = [x for x in lines if names[x] in bucket]
         for x in mine:
             for y in mine:
-                if 100 * len(whole_set(x) & whole_set(y)) >= 80 * len(whole_set(x) | whole_set(y)):
+                if 100 * len(test_groups.line_set(x) & test_groups.line_set(y)) >= 80 * len(test_groups.line_set(x) | test_groups.line_set(y)):
                     assert got.find(names[x]) == got.find(names[y])
 
 
