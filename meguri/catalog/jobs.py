@@ -23,6 +23,7 @@ from meguri.plans import names as N
 from meguri.plans import research as R
 from meguri.plans import review as V
 from meguri.session import new_path, settled
+from meguri.sources import store
 from meguri.streaming import history as X
 
 _SERVED = "(SELECT min(id) FROM master s WHERE s.distribution_count > 0 AND s.normalized_address = n.na)"
@@ -527,3 +528,33 @@ def x1_deletes(t: Tables):
     return X.current_rollup(t.spark, smaller)
 
 
+
+
+@query("x1_streamed_master", """
+WITH h AS (SELECT user_id AS b, count(*) AS n, max(CAST(ts AS DATE)) AS d FROM events WHERE event_id % 3 <> 0 GROUP BY user_id)
+SELECT CAST(building_id AS VARCHAR) AS id, coalesce(n, 0) AS distribution_count, d AS last_distributed_date,
+ CASE WHEN n > 0 THEN 'CONFIRMED_DISTRIBUTED' ELSE 'NOT_DISTRIBUTED' END AS status FROM buildings LEFT JOIN h ON b = building_id""")
+def x1_master(t: Tables):
+    """Two epochs into the stored master: all events, then a third of them deleted; the second is run again."""
+    folder, counts, master, checkpoint = (new_path(t.spark, label) for label in ("changes", "counts", "master", "stream"))
+    store.write(t.unserved_master, master, 0, "id")
+    events = t.table("events").select("event_id", F.col("user_id").cast("string").alias("building_id"), F.to_date("ts").alias("distributed_date"))
+    for rows, op in ((events, "insert"), (events.filter("event_id % 3 = 0"), "delete")):
+        rows.withColumn("op", F.lit(op)).write.mode("append").parquet(folder)
+        stream = t.spark.readStream.schema(rows.withColumn("op", F.lit(op)).schema).parquet(folder)
+        X.start_master(stream, counts, master, checkpoint).awaitTermination()
+    return store.read(t.spark, master).select("id", "distribution_count", "last_distributed_date", "status")
+
+
+@query("t4_stored_changes", """
+SELECT CAST(building_id AS VARCHAR) AS id, city, CASE WHEN city LIKE 'A%' AND building_id % 10 = 0 THEN 99 ELSE total_units END AS total_units
+FROM buildings WHERE city LIKE 'A%' OR city LIKE 'J%'""")
+def t4_stored(t: Tables):
+    """The master stored by city; a job changes every tenth row of some cities, then an area is read: only its parts are."""
+    path = new_path(t.spark, "master")
+    store.write(t.unserved_master, path, 0, "city")
+    cities = t.unserved_master.select("city").distinct()
+    some = store.read_where(t.spark, path, "city", cities.filter("city LIKE 'A%'"))
+    store.merge(settled(some.filter("CAST(id AS LONG) % 10 = 0").withColumn("total_units", F.lit(99)), "changed"), path, 1, "city", ["id"])
+    area = store.read_where(t.spark, path, "city", cities.filter("city LIKE 'A%' OR city LIKE 'J%'"))
+    return area.select("id", "city", "total_units")

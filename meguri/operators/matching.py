@@ -323,6 +323,11 @@ def match_candidates(targets: DataFrame, existing: DataFrame, top: int | None =
     exact = exact_matches(t, e)
     open_t = t.withColumn("_id", F.col("t.id")).join(exact.select(F.col("t.id").alias("_id")), "_id", "left_anti").drop("_id")
 
+    if top is not None:
+        # Rows alike in all that is compared score alike: of each such class the first
+        # ``top``, and one more for a target that is among them itself, are all that can be ranked.
+        alike = ["e.addr", "e.name", "e.latitude", "e.longitude"]
+        e = settled(top_per_key(e, alike, ["e.order"], top + 1, "_n").drop("_n"), "few")
     localities = _agreeing_localities(open_t, e)
     placed = settled(
         open_t.withColumn("t_loc", F.col("t.addr.locality")).join(localities, "t_loc").drop("t_loc"), "placed"

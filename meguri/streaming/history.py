@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from meguri.functions import vocab
+from meguri.operators.aggregates import derived_status
+from meguri.session import settled
+from meguri.sources import store
+
 KEY = ["building_id", "distributed_date"]
 
 
@@ -24,9 +29,7 @@ def start_rollup(changes: DataFrame, path: str, checkpoint: str, available_now:
     change; update mode hands on only what an epoch touched.  ``path`` and
     ``checkpoint`` lie in shared storage.
     """
-    sign = F.when(F.col("op") == "delete", -1).otherwise(1) if "op" in changes.columns else F.lit(1)
-    counted = changes.groupBy(*KEY).agg(F.sum(sign).alias("n"))
-    writer = counted.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(
+    writer = _counted(changes).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(
         lambda batch, epoch: write_epoch(batch, epoch, path)
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -51,3 +54,49 @@ def compact(spark: SparkSession, path: str, new_path: str) -> None:
     rows = _latest(spark, path)
     last = rows.agg(F.max("epoch").alias("e")).first()["e"]
     write_epoch(rows.filter("n <> 0").drop("epoch"), last, new_path)
+
+
+def _counted(changes: DataFrame) -> DataFrame:
+    sign = F.when(F.col("op") == "delete", -1).otherwise(1) if "op" in changes.columns else F.lit(1)
+    return changes.groupBy(*KEY).agg(F.sum(sign).alias("n"))
+
+
+def merge_epoch(changed: DataFrame, epoch: int, counts: str, master: str) -> None:
+    """Bring the master up to date with an epoch: ``changed`` has the number of rows of
+    each building and date that it touched.
+
+    Reads and writes only the parts these buildings lie in. The numbers are whole ones, not
+    differences, and versions are numbered by epoch, so an epoch run again gives the same.
+    """
+    spark = changed.sparkSession
+    rows = settled(changed.filter(F.col("building_id").isNotNull()), "epoch")
+    store.merge(rows, counts, epoch + 1, "building_id", KEY)
+    touched = rows.select("building_id").distinct()
+    mine = store.read_where(spark, counts, "building_id", touched)
+    if mine is None:
+        return
+    there = F.col("n") > 0
+    rolled = mine.groupBy("building_id").agg(
+        F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("_count"), F.max(F.when(there, F.col("distributed_date"))).alias("_last"))
+    stored = store.read_where(spark, master, "id", touched.select(F.col("building_id").alias("id")))
+    if stored is None:
+        return
+    found = stored.join(rolled, stored["id"] == rolled["building_id"]).drop("building_id", "part")
+    new = found.withColumns({
+        "distribution_count": F.col("_count").cast("long"), "last_distributed_date": F.col("_last"),
+        "status": derived_status(F.col("_count"), F.col("status") == vocab.POSSIBLE)}).drop("_count", "_last")
+    store.merge(settled(new, "buildings"), master, epoch + 1, "id", ["id"])
+
+
+def start_master(changes: DataFrame, counts: str, master: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """X1 into the master: a stream of history changes keeps count, last date and status
+    of the stored buildings.
+
+    ``changes`` as for ``start_rollup``. ``master`` is a store of buildings by ``id``
+    (``store.write(buildings, master, 0, "id")``); ``counts`` one that the stream makes.
+    Buildings that the master lacks wait in ``counts``; null ids and dates without a building are left out. A
+    building whose last row goes falls back to waiting (if it was) or not distributed. Without changes nothing is written.
+    """
+    writer = _counted(changes).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, epoch: merge_epoch(batch, epoch, counts, master))
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
