@@ -53,10 +53,11 @@ SELECT building_id AS row_no, building_name,
  CAST('2026-01-01' AS DATE) AS distributed_date
 FROM buildings WHERE building_id % 7 = 0
 """,
+    # All orders, on every second hundred of buildings, so that the others wait.
     "history": """
-SELECT o_orderkey AS history_id, o_custkey AS building_id,
+SELECT o_orderkey AS history_id, o_custkey - 100 * (CAST(floor(o_custkey / 100) AS BIGINT) % 2) AS building_id,
  CAST(o_orderdate AS DATE) AS distributed_date
-FROM {orders} WHERE o_orderkey % 20 = 0
+FROM {orders}
 """,
     "points": """
 SELECT p_partkey AS point_id,
@@ -65,14 +66,14 @@ SELECT p_partkey AS point_id,
  concat(p_brand,'丁目') AS town, CAST(p_size AS STRING) AS block
 FROM {part}
 """,
-    # A judged or waiting pair for every ninth building, with its predecessor.
+    # A judged or waiting pair for every building, with its predecessor.
     "pairs": """
 SELECT CAST(building_id AS STRING) AS id, CAST(building_id AS STRING) AS new_building_id,
  CAST(building_id - 1 AS STRING) AS possible_existing_building_id,
  CAST(CAST(building_id % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS DECIMAL(5,4)) AS address_similarity_score,
  CASE building_id % 4 WHEN 0 THEN 'same' WHEN 1 THEN 'different' ELSE 'pending' END AS status,
  CASE WHEN building_id % 4 < 2 THEN CAST('2026-02-01' AS DATE) ELSE NULL END AS resolved_on
-FROM buildings WHERE building_id % 9 = 0 AND building_id > 0
+FROM buildings WHERE building_id > 0
 """,
     # Names in two scripts, built from two common words and a number.
     "names": """

@@ -547,14 +547,30 @@ def x1_master(t: Tables):
 
 
 @query("t4_stored_changes", """
-SELECT CAST(building_id AS VARCHAR) AS id, city, CASE WHEN city LIKE 'A%' AND building_id % 10 = 0 THEN 99 ELSE total_units END AS total_units
-FROM buildings WHERE city LIKE 'A%' OR city LIKE 'J%'""")
+SELECT CAST(building_id AS VARCHAR) AS id, city, CASE WHEN city LIKE '%A区' AND building_id % 3 = 0 THEN 99 ELSE total_units END AS total_units
+FROM buildings WHERE city LIKE '%A区' OR city LIKE '%J区'""")
 def t4_stored(t: Tables):
-    """The master stored by city; a job changes every tenth row of some cities, then an area is read: only its parts are."""
+    """The master stored by city; a job changes every third row of some cities, then an area is read: only its parts are."""
     path = new_path(t.spark, "master")
     store.write(t.unserved_master, path, 0, "city")
     cities = t.unserved_master.select("city").distinct()
-    some = store.read_where(t.spark, path, "city", cities.filter("city LIKE 'A%'"))
-    store.merge(settled(some.filter("CAST(id AS LONG) % 10 = 0").withColumn("total_units", F.lit(99)), "changed"), path, 1, "city", ["id"])
-    area = store.read_where(t.spark, path, "city", cities.filter("city LIKE 'A%' OR city LIKE 'J%'"))
+    some = store.read_where(t.spark, path, "city", cities.filter("city LIKE '%A区'"))
+    store.merge(settled(some.filter("CAST(id AS LONG) % 3 = 0").withColumn("total_units", F.lit(99)), "changed"), path, 1, "city", ["id"])
+    area = store.read_where(t.spark, path, "city", cities.filter("city LIKE '%A区' OR city LIKE '%J区'"))
     return area.select("id", "city", "total_units")
+
+
+@query("q2_files_without_columns", """
+WITH f AS (SELECT CAST(building_id AS VARCHAR) AS file, building_id % 4 AS k FROM buildings)
+SELECT file, CASE k WHEN 1 THEN 'current_name' WHEN 2 THEN 'building_id' ELSE 'building_id,current_name' END AS missing FROM f WHERE k > 0""")
+def q2(t: Tables):
+    """A header for every building, with one column, the other or both left out."""
+    k = F.col("building_id") % 4
+    columns = F.when(k == 0, F.array(F.lit("\ufeffBuilding_ID "), F.lit("current_name"))).when(k == 1, F.array(F.lit("building_id"), F.lit("x"))).when(k == 2, F.array(F.lit(" CURRENT_NAME")))
+    headers = t.buildings.select(F.col("building_id").cast("string").alias("file"), columns.alias("columns"))
+    return Q.file_errors(headers, ["building_id", "current_name"]).select("file", F.array_join("missing", ",").alias("missing"))
+
+
+@query("q4_batches_over_limit", "SELECT city, count(*) AS n FROM buildings GROUP BY city HAVING count(*) > (SELECT count(*) / 25 FROM buildings)")
+def q4(t: Tables):
+    return Q.batches_over(t.buildings, "city", t.buildings.count() // 25)

@@ -333,13 +333,13 @@ def j15(t: Tables):
 
 
 @query("j17_unjudged_pairs", """
-SELECT CAST(b.building_id AS VARCHAR) AS new_building_id, CAST(b.building_id - 1 AS VARCHAR) AS possible_existing_building_id FROM buildings b
-WHERE b.building_id > 0 AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.new_building_id = CAST(b.building_id AS VARCHAR)
- AND p.possible_existing_building_id = CAST(b.building_id - 1 AS VARCHAR))""")
+SELECT CAST(b.building_id AS VARCHAR) AS new_building_id, CAST(b.building_id - k AS VARCHAR) AS possible_existing_building_id FROM buildings b, (VALUES (1), (2)) v(k)
+WHERE b.building_id >= k AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.new_building_id = CAST(b.building_id AS VARCHAR)
+ AND p.possible_existing_building_id = CAST(b.building_id - k AS VARCHAR))""")
 def j17(t: Tables):
-    found = t.buildings.filter("building_id > 0").select(
+    found = t.buildings.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).filter("building_id >= k").select(
         F.col("building_id").cast("string").alias("new_building_id"),
-        (F.col("building_id") - 1).cast("string").alias("possible_existing_building_id"))
+        (F.col("building_id") - F.col("k")).cast("string").alias("possible_existing_building_id"))
     return J.unjudged_pairs(found, t.candidates)
 
 

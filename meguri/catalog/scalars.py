@@ -55,12 +55,9 @@ FROM buildings b LEFT JOIN (SELECT city, min(prefecture) AS prefecture FROM
 def p3(t: Tables):
     """The area master is read off the data; a city under two prefectures fills nothing."""
     owner = F.when(F.col("building_id") % 1000 == 0, "X県").otherwise(F.col("prefecture"))
-    rows = t.buildings.select(owner.alias("p"), "city")
-    master = {r["p"]: sorted(r["cs"]) for r in  # one row per prefecture
-              rows.groupBy("p").agg(F.collect_set("city").alias("cs")).collect()}
+    areas = t.buildings.select(owner.alias("prefecture"), "city")
     known = F.when(F.col("building_id") % 2 == 0, F.col("prefecture"))
-    return P.with_prefecture_backfill(t.buildings.withColumn("prefecture", known), master=master).select(
-        "building_id", "city", "prefecture")
+    return P.with_prefecture_from(t.buildings.withColumn("prefecture", known), areas).select("building_id", "city", "prefecture")
 
 
 @query("p4_block_key", f"""

@@ -189,6 +189,17 @@ def with_prefecture_backfill(
     return df.withColumn(prefecture, F.coalesce(F.col(prefecture), prefecture_of_city(F.col(city), master)))
 
 
+def with_prefecture_from(df: DataFrame, areas: DataFrame, city: str = "city", prefecture: str = "prefecture") -> DataFrame:
+    """P3 from an area table (``prefecture``, ``city``; rows may repeat), by a join with the cities of one prefecture.
+
+    Null cities and cities that the table lacks or has under two prefectures fill nothing.
+    """
+    one = areas.groupBy(F.col("city").alias("_city")).agg(F.min("prefecture").alias("_one"), F.max("prefecture").alias("_other"))
+    one = one.filter(F.col("_one") == F.col("_other")).select("_city", "_one")
+    filled = df.join(one, df[city] == F.col("_city"), "left").withColumn(prefecture, F.coalesce(F.col(prefecture), F.col("_one")))
+    return filled.drop("_city", "_one")
+
+
 def prefecture_of_city(city: Column, master: dict | None = None) -> Column:
     owners: dict[str, set[str]] = {}
     for name, cities in (master or vocab.AREA_MASTER).items():
@@ -208,5 +219,5 @@ def prefecture_of_city(city: Column, master: dict | None = None) -> Column:
 
 __all__ = [
     "address_parts", "block_key", "block_key_text", "canonical_address", "char_class", "city_of",
-    "normalize_address", "prefecture_of_city", "with_address", "with_prefecture_backfill",
+    "normalize_address", "prefecture_of_city", "with_address", "with_prefecture_backfill", "with_prefecture_from",
 ]

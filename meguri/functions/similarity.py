@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _both_empty(a: Column, b: Column) -> Column:
@@ -62,41 +64,40 @@ def is_token_prefix(a: Column, b: Column) -> Column:
     return (F.size(a) > 0) & (F.size(a) <= F.size(b)) & (F.slice(b, 1, F.greatest(F.size(a), F.lit(1))) == a)
 
 
-_TAKEN = "\uffff"  # no character: stands for a letter that has been matched
-
-
-def jaro_winkler(a: Column, b: Column) -> Column:
-    """Jaro-Winkler (prefix 4, weight 0.1); Spark has no built-in for it.
-
-    The letters of ``a`` take theirs in ``b`` one after the other: the fold carries
-    ``b`` with its matched letters struck out, the matched places and letters.
-    """
-    of = lambda name, *columns: F.call_function(name, *columns)
-    la, lb = F.length(a), F.length(b)
-    reach = F.greatest(F.lit(0), F.floor(F.greatest(la, lb) / 2).cast("int") - 1)
-    start = F.struct(b.alias("free"), F.array().cast("array<int>").alias("hits"), F.lit("").alias("said"))
-
-    def take(state: Column, i: Column) -> Column:
-        letter = a.substr(i, F.lit(1))
-        at = of("locate", letter, state["free"], F.greatest(F.lit(1), i - reach))
-        found = (at > 0) & (at <= i + reach)
-        return F.when(found, F.struct(
-            F.overlay(state["free"], F.lit(_TAKEN), at, F.lit(1)).alias("free"), F.array_append(state["hits"], at).alias("hits"),
-            F.concat(state["said"], letter).alias("said"),
-        )).otherwise(state)
-
-    def rated(state: Column) -> Column:
-        m = F.size(state["hits"])
-        order = F.array_sort(state["hits"])
-        moved = F.size(F.filter(F.sequence(F.lit(1), m), lambda k: state["said"].substr(k, F.lit(1)) != b.substr(F.get(order, k - 1), F.lit(1)))) / 2
-        return F.when(m > 0, (m / la + m / lb + (m - moved) / m) / 3).otherwise(0.0)
-
-    jaro = F.aggregate(F.sequence(F.lit(1), la), start, take, rated)
-    lead = F.lit(0)
-    for n in (1, 2, 3, 4):
-        lead = F.when((F.left(a, F.lit(n)) == F.left(b, F.lit(n))) & (F.least(la, lb) >= n), F.lit(n)).otherwise(lead)
-    score = F.transform(F.array(jaro), lambda j: j + lead * 0.1 * (1 - j))[0]  # the fold once
-    return F.when(a.isNull() | b.isNull(), None).when(a == b, 1.0).when(_one_empty(a, b), 0.0).otherwise(score)
+def _jaro_winkler_pair(a: str, b: str) -> float:
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
+    free = list(b)
+    hits = []  # (position in b) of each matched character of a, in a's order
+    matched = []
+    for i, ch in enumerate(a):
+        for j in range(max(0, i - reach), min(i + reach + 1, len(b))):
+            if free[j] == ch:
+                free[j] = None
+                hits.append(j)
+                matched.append(ch)
+                break
+    m = len(hits)
+    if m == 0:
+        return 0.0
+    swapped = sum(x != b[j] for x, j in zip(matched, sorted(hits))) / 2
+    jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
+    lead = 0
+    while lead < min(4, len(a), len(b)) and a[lead] == b[lead]:
+        lead += 1
+    return jaro + lead * 0.1 * (1 - jaro)
+
+
+@F.pandas_udf(DoubleType())
+def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Jaro-Winkler (prefix 4, weight 0.1); Spark has no built-in for it."""
+    return pd.Series(
+        [None if x is None or y is None else _jaro_winkler_pair(x, y) for x, y in zip(a, b)],
+        dtype="float64",
+    )
 
 
 SCORE_CAP = 0.98  # below the "same name" threshold of 0.99 unless equal
@@ -119,7 +120,7 @@ def name_similarity(a: Column, b: Column) -> Column:
     name made of common words only has no canonical form; it and what it is
     compared with count by their surface forms.
 
-    Jaro-Winkler gets NULL for pairs already decided without it.
+    The Jaro-Winkler UDF gets NULL for pairs already decided without it.
     """
     x, y = compared_names(a, b)
     usable = (F.length(a["normalized"]) > 0) & (F.length(b["normalized"]) > 0)

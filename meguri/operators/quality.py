@@ -27,6 +27,20 @@ def missing_columns(columns: list[str], required: list[str]) -> list[str]:
     return [c for c in required if c not in present]
 
 
+def file_errors(headers: DataFrame, required: list[str]) -> DataFrame:
+    """Q2 for many files: file and missing (required columns that it lacks, in their order) of each
+    file that lacks any. ``headers`` has file and columns (array); a null header lacks them all."""
+    clean = F.transform(F.coalesce("columns", F.array().cast("array<string>")), lambda c: F.lower(trim_space(F.regexp_replace(c, "\ufeff", ""))))
+    missing = F.filter(F.array(*map(F.lit, required)), lambda r: ~F.array_contains(clean, r))
+    return headers.select("file", missing.alias("missing")).filter(F.size("missing") > 0)
+
+
+def batches_over(rows: DataFrame, batch: str, limit: int | None) -> DataFrame:
+    """Q4 for many batches: batch and n of those with more rows than the limit; none without a limit."""
+    counted = rows.groupBy(batch).agg(F.count("*").alias("n"))
+    return counted.filter(F.lit(False) if limit is None else F.col("n") > limit)
+
+
 def over_limit(df: DataFrame, limit: int | None) -> bool:
     """Q4: true when a batch holds more rows than an optional limit."""
     return limit is not None and df.limit(limit + 1).count() > limit
