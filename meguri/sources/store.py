@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PARTS = 256
+PARTS = 32  # of a small table; a large one is given more, the same wherever it is read and written
 _PLACE = re.compile(r"/version=(\d+)/part=(\d+)/")
 
 
@@ -41,30 +41,30 @@ def read(spark: SparkSession, path: str, parts: list[int] | None = None, below:
     return spark.read.parquet(*places) if places else None
 
 
-def read_where(spark: SparkSession, path: str, by: str, values: DataFrame) -> DataFrame | None:
+def read_where(spark: SparkSession, path: str, by: str, values: DataFrame, parts: int = PARTS) -> DataFrame | None:
     """The stored rows whose ``by``, the column that makes the parts, is among ``values`` (one column)."""
     wanted = values.select(values[values.columns[0]].alias(by)).distinct()
-    parts = [r[0] for r in wanted.select(part_of(F.col(by))).distinct().collect()]  # at most PARTS
-    found = read(spark, path, parts)
+    places = [r[0] for r in wanted.select(part_of(F.col(by), parts)).distinct().collect()]  # at most ``parts``
+    found = read(spark, path, places)
     return None if found is None else found.join(wanted, by, "left_semi")
 
 
-def write(rows: DataFrame, path: str, version: int, by: str) -> None:
+def write(rows: DataFrame, path: str, version: int, by: str, parts: int = PARTS) -> None:
     """Store whole parts as a version; rows of a value of ``by`` lie together in their files."""
-    placed = rows.withColumn("part", part_of(F.col(by)))
+    placed = rows.withColumn("part", part_of(F.col(by), parts))
     placed.repartition(F.col("part")).sortWithinPartitions("part", by).write.mode("overwrite").partitionBy("part").parquet(f"{path}/version={version}")
 
 
-def merge(changed: DataFrame, path: str, version: int, by: str, key: list[str]) -> None:
+def merge(changed: DataFrame, path: str, version: int, by: str, key: list[str], parts: int = PARTS) -> None:
     """Put ``changed`` in place of the stored rows of the same ``key``, and store the parts it lies in.
 
     ``changed`` has one row a key, is read twice and is best written before; a row whose ``by`` changes must come
     with a deletion of the old one elsewhere. No rows: nothing is stored.
     """
     spark = changed.sparkSession
-    parts = [r[0] for r in changed.select(part_of(F.col(by))).distinct().collect()]  # at most PARTS
-    if not parts:
+    places = [r[0] for r in changed.select(part_of(F.col(by), parts)).distinct().collect()]  # at most ``parts``
+    if not places:
         return
-    old = read(spark, path, parts, version)
+    old = read(spark, path, places, version)
     kept = changed if old is None else old.join(changed.select(*key), key, "left_anti").unionByName(changed, allowMissingColumns=True)
-    write(kept, path, version, by)
+    write(kept, path, version, by, parts)

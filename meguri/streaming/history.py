@@ -61,7 +61,7 @@ def _counted(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*KEY).agg(F.sum(sign).alias("n"))
 
 
-def merge_epoch(changed: DataFrame, epoch: int, counts: str, master: str) -> None:
+def merge_epoch(changed: DataFrame, epoch: int, counts: str, master: str, parts: int = store.PARTS) -> None:
     """Bring the master up to date with an epoch: ``changed`` has the number of rows of
     each building and date that it touched.
 
@@ -70,25 +70,25 @@ def merge_epoch(changed: DataFrame, epoch: int, counts: str, master: str) -> Non
     """
     spark = changed.sparkSession
     rows = settled(changed.filter(F.col("building_id").isNotNull()), "epoch")
-    store.merge(rows, counts, epoch + 1, "building_id", KEY)
+    store.merge(rows, counts, epoch + 1, "building_id", KEY, parts)
     touched = rows.select("building_id").distinct()
-    mine = store.read_where(spark, counts, "building_id", touched)
+    mine = store.read_where(spark, counts, "building_id", touched, parts)
     if mine is None:
         return
     there = F.col("n") > 0
     rolled = mine.groupBy("building_id").agg(
         F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("_count"), F.max(F.when(there, F.col("distributed_date"))).alias("_last"))
-    stored = store.read_where(spark, master, "id", touched.select(F.col("building_id").alias("id")))
+    stored = store.read_where(spark, master, "id", touched.select(F.col("building_id").alias("id")), parts)
     if stored is None:
         return
     found = stored.join(rolled, stored["id"] == rolled["building_id"]).drop("building_id", "part")
     new = found.withColumns({
         "distribution_count": F.col("_count").cast("long"), "last_distributed_date": F.col("_last"),
         "status": derived_status(F.col("_count"), F.col("status") == vocab.POSSIBLE)}).drop("_count", "_last")
-    store.merge(settled(new, "buildings"), master, epoch + 1, "id", ["id"])
+    store.merge(settled(new, "buildings"), master, epoch + 1, "id", ["id"], parts)
 
 
-def start_master(changes: DataFrame, counts: str, master: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def start_master(changes: DataFrame, counts: str, master: str, checkpoint: str, available_now: bool = True, parts: int = store.PARTS) -> StreamingQuery:
     """X1 into the master: a stream of history changes keeps count, last date and status
     of the stored buildings.
 
@@ -98,5 +98,5 @@ def start_master(changes: DataFrame, counts: str, master: str, checkpoint: str,
     building whose last row goes falls back to waiting (if it was) or not distributed. Without changes nothing is written.
     """
     writer = _counted(changes).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, epoch: merge_epoch(batch, epoch, counts, master))
+        lambda batch, epoch: merge_epoch(batch, epoch, counts, master, parts))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
