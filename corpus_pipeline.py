@@ -13,14 +13,22 @@ from meguri.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
 from meguri.llm.common import step, table
 
 
-def _others(docs: DataFrame) -> tuple[str, ...]:
-    return tuple(c for c in docs.columns if c != "doc_id")
+def _plain(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """(docs, its columns but doc_id), where all but doc_id and text have names that no operator uses."""
+    names = [c if c in ("doc_id", "text") else f"_column_{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), tuple(n for n in names if n != "doc_id")
+
+
+def _named(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, from what ``_plain`` made of them."""
+    return kept.select(*_plain(docs)[0].columns).toDF(*docs.columns)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on what ``labels`` has of them, does not reject."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, _others(docs)).filter(~F.col("rejected")).select(*docs.columns)
+    rows, others = _plain(docs)
+    model = toxicity.fit(rows, table(spark, sf_dir, "labels"))
+    return _named(toxicity.score(rows, model, others).filter(~F.col("rejected")), docs)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +43,9 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated."""
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), carry=_others(docs))
-    return decontaminate.with_verdict(found).filter(~F.col("contaminated")).select(*docs.columns)
+    rows, others = _plain(docs)
+    found = decontaminate.find(rows, table(spark, sf_dir, "benchmark"), carry=others)
+    return _named(decontaminate.with_verdict(found).filter(~F.col("contaminated")), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
