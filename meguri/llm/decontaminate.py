@@ -207,9 +207,9 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: in
     out = docs.select(F.col("doc_id"), *carry, F.col("text").alias("_text"))
     for k in range(n):
         rows = test.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        items = spark.sparkContext.broadcast([(r["item_id"] or "", r["text"]) for r in rows])
+        items = spark.sparkContext.broadcast([("" if r["item_id"] is None else f"={r['item_id']}", r["text"]) for r in rows])
         out = _pass(out, uuid.uuid4().hex, items, width, k == n - 1, shard_words)
-    return out.withColumn("items", F.filter("items", lambda i: i != ""))
+    return out.withColumn("items", F.transform(F.filter("items", lambda i: i != ""), lambda i: F.substring(i, 2, 1 << 30)))
 
 
 def with_verdict(found: DataFrame) -> DataFrame:

@@ -105,20 +105,26 @@ def _spliced(layer: Layer, pattern: re.Pattern, decode, way: str) -> Layer | Non
     return Layer("".join(parts), starts, ends, f"{layer.way}{way}/")
 
 
+def _member(data: bytes):
+    """A decompressor for what ``data`` begins with; None if it isn't compressed."""
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    return None
+
+
 def _inflated(data: bytes, limit: int) -> tuple[bytes, bool] | None:
-    """(content, whole) of compressed data; None if it isn't any."""
-    try:
-        if data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            out = d.decompress(data, limit)
-        elif data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] * 256 + data[1]) % 31 == 0):
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, limit)
-        else:
-            return None
-    except (OSError, EOFError, ValueError, zlib.error):
-        return None
-    return (out, d.eof or len(out) < limit) if out else None
+    """(content of all members, whole) of compressed data; None if it isn't any."""
+    out, whole, rest = b"", True, data
+    while rest and whole and (d := _member(rest)) is not None:
+        try:
+            new = d.decompress(rest, max(1, limit - len(out)))
+        except (OSError, EOFError, ValueError, zlib.error):
+            break  # what follows the members that were read
+        out += new
+        whole, rest = d.eof or len(out) < limit, d.unused_data
+    return (out, whole) if out else None
 
 
 def _unpacked(text: str) -> bytes | None:
