@@ -41,6 +41,20 @@ def only_where(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("_here", F.spark_partition_id()).filter(condition & (F.col("_here") >= 0)).drop("_here")
 
 
+def maybe(rows: DataFrame, wanted: DataFrame, words: int = 1 << 20) -> DataFrame:
+    """Those of ``rows`` whose id, a hash, may be in ``wanted`` (id): all that are, and some others.
+
+    A table of ``words`` * 64 bits, 16 MB whatever the number of ids, is sent to every task, so
+    that most other rows are not shuffled; beyond its size it only spares less.
+    """
+    word = lambda c: c.bitwiseAND(F.lit(words - 1))
+    bit = lambda c: F.shiftright(c, 20).bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("id")))
+    bits = wanted.groupBy(word(F.col("id")).alias("_word")).agg(F.bit_or(one).alias("_bits"))
+    marked = rows.withColumn("_word", word(F.col("id"))).join(F.broadcast(bits), "_word")
+    return marked.filter(F.col("_bits").bitwiseAND(one) != 0).select(*rows.columns)
+
+
 def no_rows(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 

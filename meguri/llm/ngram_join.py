@@ -29,17 +29,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meguri.llm.common import batches, mixed, no_rows, step, table, texts_of, word_codes
-from meguri.llm.components import all_bucket_links, components, shared_only
+from meguri.llm.common import batches, maybe, mixed, no_rows, step, table, texts_of, word_codes
+from meguri.llm.components import all_bucket_links, bits_apart, components, shared_only
 from meguri.llm.registry import query
 
 WIDTH = 5
 SHARE = (80, 100)  # the least similarity, as a fraction
 GROUPS = 32  # of common shingles, by hash
 CROWD = 32  # ids in a bucket above which it is crowded
+PARITY = 16  # words of 64 bits for each set: the parities of its shingles by hash
 SENT = 2_000_000  # hashes that may be sent to every task; more are joined
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -89,6 +90,14 @@ def set_keys(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parities(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """PARITY numbers a set: for each of their bits, whether an odd number of its shingles is hashed to it."""
+    sizes, places = np.diff(starts), np.uint64(64 * PARITY)
+    at = np.repeat(np.arange(len(sizes)), sizes) * int(places) + (mixed(values ^ np.uint64(0xC2B2AE3D27D4EB4F)) % places).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(sizes) * int(places)) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(len(sizes), PARITY)
+
+
 # -- signatures ---------------------------------------------------------------
 class Bands:
     """Size bands, and for each the greatest difference and the partitions."""
@@ -198,7 +207,7 @@ def with_signatures(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, items) for ``wanted`` (id, row): the hashes of each row's set as bytes.
+    """(id, items, size, bits) for ``wanted`` (id, row): the hashes of each row's set as bytes, and their parities.
 
     Only the texts of those rows are read into sets. Their numbers are sent to
     every task if there are at most SENT of them; else the rows are joined.
@@ -211,14 +220,26 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches(frames):
             starts, values = shingle_sets(texts_of(batch.column(1)))
             items = [values[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["id", "items"])
+            bits = pa.ListArray.from_arrays(np.arange(len(items) + 1, dtype=np.int32) * PARITY, parities(starts, values).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary()), pa.array(np.diff(starts)), bits], names=["id", "items", "size", "bits"])
 
-    return picked.select("id", "text").mapInArrow(run, "id long, items binary")
+    return picked.select("id", "text").mapInArrow(run, "id long, items binary, size long, bits array<long>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
-    """Those pairs (a, b) whose sets reach the similarity, by whole intersection."""
+    """Those pairs (a, b) whose sets reach the similarity, by whole intersection.
+
+    Sets differ in at least as many shingles as in parities, and linked ones in at most
+    (q - p) / (q + p) of both sizes, so only the sets of pairs that this allows are shuffled.
+    """
     p, q = share
+    for k in "ab":
+        pairs = pairs.join(sets.select(F.col("id").alias(k), F.col("size").alias(f"size_{k}"), F.col("bits").alias(f"bits_{k}")), k)
+    allowed = (q + p) * bits_apart("bits_a", "bits_b", PARITY) <= (q - p) * (F.col("size_a") + F.col("size_b"))
+    pairs = step(pairs.filter(allowed).select("a", "b"), "allowed")
+    if no_rows(pairs):
+        return pairs
+    sets = maybe(sets.select("id", "items"), pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
 
@@ -269,8 +290,8 @@ def scant_links(scant: DataFrame, items: DataFrame) -> DataFrame:
     return all_bucket_links(members, of, lambda pairs: similar(pairs, items), SHARE)
 
 
-def hard_links(hard: DataFrame, items: DataFrame) -> DataFrame:
-    """Links between hard sets, as many as join up every component; ``hard`` has
+def hard_links(hard: DataFrame, items: DataFrame, plain: DataFrame) -> DataFrame:
+    """Links between hard sets, as many as join up every component, and those of the pairs ``plain``; ``hard`` has
     their crowded (bucket, id), ``items`` the sets."""
     held = step(_single(items.join(hard.select("id").distinct(), "id", "left_semi")), "items")
     seen = held.groupBy("item").agg(F.count("*").alias("n"))
@@ -293,7 +314,7 @@ def hard_links(hard: DataFrame, items: DataFrame) -> DataFrame:
     heads = members.groupBy("bucket").agg(F.min(F.struct("rare", "id"))["id"].alias("head"))
     stars = members.join(heads, "bucket").filter("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     stars = stars.join(about("a"), "a").join(about("b"), "b").filter(_could_link("a", "b", F.lit(0))).select("a", "b")
-    found = step(similar(step(rare_pairs.union(stars).distinct(), "pairs"), items), "links")
+    found = step(similar(step(plain.union(rare_pairs).union(stars).distinct(), "pairs"), items), "links")
 
     roots = components(found)
     now = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -308,7 +329,18 @@ def hard_links(hard: DataFrame, items: DataFrame) -> DataFrame:
     outside, inside = side(now.filter((F.col("root") != F.col("main")) & allowed), "x"), side(now, "y")
     left = outside.join(inside, "bucket").filter((F.col("root_x") != F.col("root_y")) & _could_link("x", "y", F.lit(0)))
     more = left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return found.union(similar(step(more, "pairs"), items))
+    return found.union(similar(more, items))
+
+
+def _counted(members: DataFrame) -> DataFrame:
+    """(bucket, own, ids) of the buckets with at least two different ids: ``ids`` is the whole
+    bucket and ``own`` null up to CROWD of them; a crowded bucket has a row for each id, ``own``.
+
+    All of it is done where one shuffle by bucket has brought the members.
+    """
+    counted = shared_only(members).withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
+    own = F.when(F.col("n") > CROWD, F.col("id")).alias("own")
+    return counted.groupBy("bucket", own).agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -316,16 +348,15 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     not hard, and of two hard sets as many as join up every component. ``sets``
     has a row for each key, see ``join``. Of two scant sets, too, as many as join up
     every component."""
-    shared = step(shared_only(with_signatures(docs)), "shared").withColumn("band", _band("bucket"))
-    counts = shared.groupBy("bucket").agg(F.count("*").alias("n"))
-    crowded = step(shared.join(counts.filter(F.col("n") > CROWD).select("bucket"), "bucket"), "crowded")
+    shared = step(_counted(with_signatures(docs)), "shared").withColumn("band", _band("bucket"))
+    crowded = shared.filter(F.col("own").isNotNull()).select("bucket", "band", F.col("own").alias("id"))
     lost = crowded.groupBy("id", "band").agg(F.count("*").alias("lost"))
     spare = F.when(F.col("band") == F.col("own"), F.col("spare")).otherwise(F.col("below"))
     known = sets.select(F.col("key").alias("id"), "own", "spare", "below")
     short = lost.join(known, "id").filter(F.col("lost") > spare).select("id", "band")
     hard = step(crowded.join(short, ["id", "band"]).select("bucket", "id"), "hard")
 
-    few = shared.join(counts.filter(F.col("n") <= CROWD), "bucket").groupBy("bucket", "band").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    few = shared.filter(F.col("own").isNull())
     pairs = F.transform("ids", lambda x, k: F.transform(F.slice("ids", k + 2, F.lit(CROWD)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
     met = step(few.select("band", F.explode(F.flatten(pairs)).alias("p")).groupBy("p.a", "p.b", "band").agg(F.count("*").alias("met")), "met")
     # linked sets agree in all but k of the signatures of either one, less those in crowded buckets
@@ -337,7 +368,7 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     scant = step(known.filter((F.col("spare") < 0) | ((F.col("below") < 0) & (F.col("own") > 0))).select("id"), "scant")
     wanted = plain.select(F.explode(F.array("a", "b")).alias("id")).union(hard.select("id")).union(scant).distinct()
     items = step(sets_of(docs, step(wanted.join(sets.select(F.col("key").alias("id"), "row"), "id"), "wanted")), "sets")
-    found = similar(plain, items).union(hard_links(hard, items))
+    found = similar(plain, items) if no_rows(hard) else hard_links(hard, items, plain)
     return found if no_rows(scant) else found.union(scant_links(scant, items))
 
 
