@@ -114,17 +114,17 @@ SECRET = 'api_key = "abcdefGHIJKL0123"'
 ])
 def test_layers(wrapped, way):
     text = f"é intro {wrapped} outro"
-    found, cut = secrets.spans_of(text)
+    found = secrets.spans_of(text)
     mine = [s for s in found if not s["base"] and s["kind"] == "assign"]
-    assert cut == 0 and [s["way"] for s in mine] == [way]
+    assert [s["way"] for s in mine] == [way]
     inside = text[mine[0]["start"] : mine[0]["end"]]
     assert inside in wrapped and len(inside) >= len(wrapped) - 9
 
 
 def test_layers_end():
-    spans, cut = secrets.spans_of(base64.b64encode(zlib.compress(b"token=" + b"z" * 50_000_000)).decode())
-    assert cut == 1 and len(spans) == 1
-    assert secrets.spans_of("%25" * 2000)[1] == 0  # each round takes one sign off
+    spans = secrets.spans_of(base64.b64encode(zlib.compress(b"token=" + b"z" * 50_000_000)).decode())
+    assert [s["kind"] for s in spans] == ["assign"]
+    assert secrets.spans_of("%25" * 2000) == []  # each round takes one sign off
 
 
 def test_redacted():

@@ -94,9 +94,9 @@ def test_wrapped_base64(width, frame, packed, brk):
         said = f"{'é' * 5}{'x' * (n - 10)} api_key = abcdefGHIJKL0123 {rng.getrandbits(400):x}"
         data = gzip.compress(said.encode()) if packed else said.encode()
         text = frame.format(brk.join(textwrap.wrap(base64.b64encode(data).decode(), width)))
-        spans, cut = secrets.spans_of(text)
+        spans = secrets.spans_of(text)
         mine = [s for s in spans if s["kind"] == "assign" and not s["base"]]
-        assert cut == 0 and any("\n" in text[s["start"] : s["end"]] and s["way"] == ("base64/compressed/" if packed else "base64/") for s in mine)
+        assert any("\n" in text[s["start"] : s["end"]] and s["way"] == ("base64/compressed/" if packed else "base64/") for s in mine)
 
 
 def test_small_sets_without_a_shared_signature(spark):
