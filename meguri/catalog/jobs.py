@@ -486,7 +486,7 @@ def t20_assign(t: Tables):
 _IMPORTED = f"""{PAST_MATCH_SQL},
 af AS (SELECT b.* REPLACE (b.distribution_count + coalesce(p.n, 0) AS distribution_count, CASE WHEN p.n > 0 THEN 'CONFIRMED_DISTRIBUTED' ELSE b.status END AS status)
  FROM master b LEFT JOIN (SELECT coalesce(both_id, addr_id, name_id) AS id, count(*) AS n FROM m GROUP BY 1) p ON p.id = b.id),
-listed AS (SELECT * FROM af WHERE city IN (SELECT city FROM buildings WHERE building_id % 7 = 0 AND building_id % 3 = 0)),
+listed AS (SELECT * FROM af WHERE city IN (SELECT city FROM buildings WHERE building_id % 3 = 0)),
 {_sql_reconciled("SELECT * FROM listed WHERE distribution_count = 0 AND status <> 'CONFIRMED_DISTRIBUTED'", "SELECT * FROM listed WHERE distribution_count > 0")}"""
 
 

@@ -232,10 +232,10 @@ def j16(t: Tables):
     return J.unseen_blocks(keyed, done.unionByName(keyed.select("block_key", F.lit("b").alias("source"))), "a")
 
 
-# -- name verdicts: one candidate for two buildings in three, near its owner ------
+# -- name verdicts: a candidate for every building, up to 22 m from its owner ------
 _CANDS = """
 SELECT concat(city,'/',town) AS block_key, concat('棟',CAST(building_id - building_id % 2 AS STRING)) AS name, address, 'archive' AS source,
- latitude + CAST(0.0001 AS DOUBLE) * CAST(building_id % 3 AS DOUBLE) AS latitude, longitude FROM buildings WHERE building_id % 3 < 2
+ latitude + CAST(0.0001 AS DOUBLE) * CAST(building_id % 3 AS DOUBLE) AS latitude, longitude FROM buildings
 """
 _VERDICT_SQL = f"""
 c AS (SELECT DISTINCT block_key, name, address, source, latitude, longitude FROM ({_CANDS})),
