@@ -228,15 +228,18 @@ def j21(t: Tables):
     return J.lookup_points(rows, t.buildings.filter("building_id % 8 <> 0")).select("building_id", "latitude", "longitude")
 
 
-@query("t10_complete_names", """
+@query("t10_complete_names", f"""
 WITH b AS (SELECT *, concat_ws('/',city,town,CAST(chome AS VARCHAR),CAST(block AS VARCHAR)) AS bk FROM buildings),
-one AS (SELECT bk, min(building_id) AS id, count(*) AS n FROM b GROUP BY bk),
-addr AS (SELECT address, count(*) AS n FROM b GROUP BY address)
-SELECT CAST(b.building_id AS VARCHAR) AS id, CASE WHEN b.building_id % 2 = 0 AND b.building_id % 10 <> 4 AND one.n = 1 THEN concat('名称',CAST(b.building_id AS VARCHAR))
- WHEN b.building_id % 2 = 0 THEN '（建物名不明）' ELSE b.building_name END AS building_name FROM b JOIN one USING (bk) WHERE one.n = 1""")
+g AS (SELECT address, min(latitude) AS la, arg_min(longitude, latitude * 1000 + longitude / 1000) AS lo FROM buildings GROUP BY address),
+c AS (SELECT b.bk, concat('名称',CAST(b.building_id AS VARCHAR)) AS name, b.address, g.la, g.lo FROM b JOIN g ON g.address = b.address),
+p AS (SELECT t.building_id, t.bk, c.name, c.address, {sql_metres('t.latitude', 't.longitude', 'c.la', 'c.lo', 6371000.0)} AS m
+ FROM b t JOIN c ON c.bk = t.bk WHERE t.building_id % 2 = 0 AND t.building_id % 10 <> 4),
+r AS (SELECT *, row_number() OVER w AS rn, lead(m) OVER w AS m2 FROM p WINDOW w AS (PARTITION BY building_id ORDER BY round(m, 6), address, name)),
+v AS (SELECT *, count(*) FILTER (m <= 40) OVER (PARTITION BY bk, address, name) AS claims FROM r WHERE rn = 1)
+SELECT CAST(b.building_id AS VARCHAR) AS id, CASE WHEN v.m <= 40 AND v.claims = 1 AND NOT coalesce(v.m2 < v.m * 2.5, false) THEN v.name
+ WHEN b.building_id % 2 = 0 THEN '（建物名不明）' ELSE b.building_name END AS building_name FROM b LEFT JOIN v ON v.building_id = b.building_id""")
 def t10(t: Tables):
-    """Every second building lost its name; a landed candidate stands at each
-    building's address.  Shown for the blocks that have one building."""
+    """Every second building lost its name; a landed candidate stands at each building's address."""
     k = F.col("id").cast("long")
     source = F.when(k % 10 == 4, "manual")
     stored = t.snapshot.buildings.withColumns({"building_name": F.when(k % 2 == 0, vocab.UNKNOWN_NAME).otherwise(F.col("building_name")), "name_source": source})
@@ -244,11 +247,7 @@ def t10(t: Tables):
     spark = t.spark
     lookups = spark.createDataFrame([], "block_key string, source string, candidate_count bigint")
     found = spark.createDataFrame([], "block_key string, name string, address string, source string")
-    done = N.complete_names(stored, landed, lookups, found, t.buildings, "archive")
-    from meguri.functions.address import block_key_text
-    alone = t.buildings.select(F.col("building_id").cast("string").alias("id"), block_key_text(F.col("address")).alias("bk"))
-    single = alone.groupBy("bk").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").select("id")
-    return done.buildings.join(single, "id", "left_semi").select("id", "building_name")
+    return N.complete_names(stored, landed, lookups, found, t.buildings, "archive").buildings.select("id", "building_name")
 
 
 @query("t17_backfill_manual", """
