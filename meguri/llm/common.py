@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -155,3 +155,15 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFr
     return placed.join(F.broadcast(known), (F.col("_task") == F.col("_t")) & F.col(group).eqNullSafe(F.col("_g")), "left").select(
         *rows.columns, (F.col("_place") + F.coalesce("_ahead", F.lit(0))).alias(name)
     )
+
+
+def carried(docs: DataFrame, carry: Sequence[str], own: Sequence[str]) -> tuple[list[Column], list[str]]:
+    """(the ``carry`` columns under names that no operator uses, their names in its
+    result). A name that is among ``own``, in any case, gets ``doc_`` before it until it's free."""
+    taken, names = {o.lower() for o in own}, []
+    for name in carry:
+        while name.lower() in taken:
+            name = f"doc_{name}"
+        taken.add(name.lower())
+        names.append(name)
+    return [F.col("`{}`".format(c.replace("`", "``"))).alias(f"_carried_{k}") for k, c in enumerate(carry)], names

@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meguri.llm.common import batches, table, texts_of
+from meguri.llm.common import batches, carried, table, texts_of
 from meguri.llm.fmindex import FMIndex
 from meguri.llm.registry import query
 
@@ -198,18 +198,23 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: in
     Test items are sent to tasks in blocks of about ``block_bytes`` of text, one
     pass a block, so the bound on a broadcast holds for any number of items. Null
     or empty text has no words and no spans; null or empty items have no windows;
-    an item without an id still marks words but names nothing. No items: no spans.
+    an item without an id still marks words but names nothing. No items: no spans;
+    no documents: no rows. Very long texts are read whole. Rows are judged one by
+    one, so repeated rows and null ids change nothing. A ``carry`` column named like
+    a column of the result comes back with ``doc_`` before its name.
     """
     spark = docs.sparkSession
     test = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = test.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(1, -(-total // block_bytes))
-    out = docs.select(F.col("doc_id"), *carry, F.col("text").alias("_text"))
+    extra, names = carried(docs, carry, ("doc_id", "n_words", "spans", "items", "n_hit", "contaminated"))
+    out = docs.select(F.col("doc_id"), *extra, F.col("text").alias("_text"))
     for k in range(n):
         rows = test.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         items = spark.sparkContext.broadcast([("" if r["item_id"] is None else f"={r['item_id']}", r["text"]) for r in rows])
         out = _pass(out, uuid.uuid4().hex, items, width, k == n - 1, shard_words)
-    return out.withColumn("items", F.transform(F.filter("items", lambda i: i != ""), lambda i: F.substring(i, 2, 1 << 30)))
+    out = out.withColumn("items", F.transform(F.filter("items", lambda i: i != ""), lambda i: F.substring(i, 2, 1 << 30)))
+    return out.toDF("doc_id", *names, "n_words", "spans", "items")
 
 
 def with_verdict(found: DataFrame) -> DataFrame:

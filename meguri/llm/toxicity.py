@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meguri.llm.common import batches, sampled, step, table, texts_of, word_codes
+from meguri.llm.common import batches, carried, sampled, step, table, texts_of, word_codes
 from meguri.llm.decontaminate import words
 from meguri.llm.registry import query
 
@@ -218,6 +218,8 @@ def score(docs: DataFrame, model: Ordinal, carry: tuple[str, ...] = ()) -> DataF
 
     Null or empty text: judged by the thresholds alone, like a text without any telling word.
     Rows are judged one by one; repeated rows, null ids and order change nothing.
+    No rows: no rows. Very long texts are read whole. A ``carry`` column named like a
+    column of the result comes back with ``doc_`` before its name.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # DIMENSIONS floats
@@ -232,9 +234,12 @@ def score(docs: DataFrame, model: Ordinal, carry: tuple[str, ...] = ()) -> DataF
             kept = batch.drop_columns(["_text"])
             yield pa.RecordBatch.from_arrays([*kept.columns, *new], names=[*kept.schema.names, "severity", *names, "grade", "rejected"])
 
-    rows = docs.select("doc_id", *carry, F.col("text").alias("_text"))
+    new_names = ("severity", *names, "grade", "rejected")
+    extra, kept_names = carried(docs, carry, ("doc_id", *new_names))
+    rows = docs.select("doc_id", *extra, F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(run, f"{schema}, severity double, {', '.join(f'{n} double' for n in names)}, grade long, rejected boolean")
+    scored = rows.mapInArrow(run, f"{schema}, severity double, {', '.join(f'{n} double' for n in names)}, grade long, rejected boolean")
+    return scored.toDF("doc_id", *kept_names, *new_names)
 
 
 @query("op10_ordinal_toxicity")
