@@ -110,6 +110,27 @@ def f8(t: Tables):
     return L.robots_decision(urls, groups, "survey-reader/1.0").select("url", "allowed", "denied_by")
 
 
+_ROBOTS_TEXT = """concat('# robots', chr(10), 'Disallow: /lost', chr(13), chr(10),
+ 'User-Agent: ', CASE WHEN building_id % 5 = 0 THEN 'someone-else' ELSE 'Survey-Reader' END, '  # first', chr(10),
+ CASE WHEN building_id % 3 = 0 THEN concat(chr(10), 'USER-AGENT : Other', chr(10)) ELSE '' END,
+ 'Disallow: /a', CAST(building_id % 10 AS STRING), chr(10), 'no separator', chr(10),
+ CASE building_id % 4 WHEN 0 THEN concat('Crawl-delay: 1.5', chr(10)) WHEN 1 THEN concat('crawl-delay: soon', chr(10)) ELSE '' END,
+ 'User-agent: *', chr(10), 'Disallow:', chr(10), 'Allow: /x', chr(10), 'Disallow: /', chr(10), 'Crawl-delay: 2', chr(10))"""
+
+
+@query("f8_robots_text", """
+SELECT concat('https://h',CAST(building_id AS VARCHAR),'.example/a',CAST(building_id % 7 AS VARCHAR),'/p') AS url,
+ building_id % 5 <> 0 AND building_id % 10 <> building_id % 7 AS allowed,
+ CASE WHEN building_id % 5 = 0 THEN '/' WHEN building_id % 10 = building_id % 7 THEN concat('/a',CAST(building_id % 10 AS VARCHAR)) END AS denied_by,
+ CAST(CASE WHEN building_id % 5 = 0 THEN 2000 WHEN building_id % 4 = 0 THEN 1500 END AS BIGINT) AS crawl_delay_ms FROM buildings""")
+def f8_text(t: Tables):
+    """From landed robots texts to the decision on a url of each host."""
+    host = F.concat(F.lit("h"), F.col("building_id").cast("string"), F.lit(".example"))
+    texts = t.buildings.select(host.alias("host"), F.expr(_ROBOTS_TEXT).alias("body"))
+    urls = t.buildings.select(F.concat(F.lit("https://"), host, F.lit("/a"), (F.col("building_id") % 7).cast("string"), F.lit("/p")).alias("url"))
+    return L.robots_decision(urls, L.robots_groups(texts), "survey-reader/1.0").select("url", "allowed", "denied_by", "crawl_delay_ms")
+
+
 @query("f9_blocked_hosts", """
 SELECT page_id, regexp_extract(url,'^[a-z]+://([^/?#:]*)',1) AS host FROM pages
 WHERE NOT regexp_matches(regexp_extract(url,'^[a-z]+://([^/?#:]*)',1),'(^|\\.)example\\.net$')""")

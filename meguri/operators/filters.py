@@ -242,6 +242,36 @@ def path_pattern(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")), F.when(anchored, "$").otherwise(""))
 
 
+def robots_groups(texts: DataFrame) -> DataFrame:
+    """Rule groups (host, group_no, user_agents, rules, crawl_delay_ms) of landed robots texts.
+
+    ``texts`` has host and body, one text a host.  Successive user-agent lines open one
+    group; lines before the first group, without a colon or of other fields say
+    nothing.  A rule without a path is none; the last readable delay of a group counts.
+    """
+    edges = "^\\s+|\\s+$"
+    raw = texts.select("host", F.posexplode(F.split("body", "\r?\n")).alias("at", "raw"))
+    line = raw.withColumn("raw", F.regexp_replace("raw", "#.*$", "")).filter(F.instr("raw", ":") > 0)
+    said = line.select(
+        "host", "at", F.lower(F.regexp_replace(F.substring_index("raw", ":", 1), edges, "")).alias("field"),
+        F.regexp_replace(F.expr("substr(raw, instr(raw, ':') + 1)"), edges, "").alias("value"),
+    )
+    in_host = Window.partitionBy("host").orderBy("at")
+    agent = F.col("field") == "user-agent"
+    opens = (agent & ~F.lag(agent, 1, False).over(in_host)).cast("int")
+    numbered = said.withColumn("_opens", opens).withColumn("group_no", F.sum("_opens").over(in_host)).filter("group_no > 0")
+    number = F.col("value").rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    seconds = F.when(F.col("value") == "", 0.0).when(number, F.col("value").try_cast("double"))
+    delay = F.when((F.col("field") == "crawl-delay") & (seconds >= 0), F.floor(seconds * 1000 + 0.5))
+    rule = F.col("field").isin("allow", "disallow") & (F.col("value") != "")
+    ordered = lambda when, *what: F.array_sort(F.collect_list(F.when(when, F.struct("at", *what))))
+    return numbered.groupBy("host", "group_no").agg(
+        F.transform(ordered(agent, F.lower("value").alias("agent")), lambda x: x["agent"]).alias("user_agents"),
+        F.transform(ordered(rule, "field", "value"), lambda x: F.struct(x["field"].alias("type"), x["value"].alias("path"))).alias("rules"),
+        F.max_by(delay, F.when(delay.isNotNull(), F.col("at"))).cast("long").alias("crawl_delay_ms"),
+    )
+
+
 def _agent_groups(groups: DataFrame, agent: str) -> DataFrame:
     """The group that binds ``agent`` on each host: longest agent token contained
     in it, else the first ``*`` group."""
