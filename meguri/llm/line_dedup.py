@@ -3,8 +3,7 @@
 Lines are trimmed; blank lines take no part. A line's set is all its distinct
 shingles of 9 characters; a shorter line is its own shingle. Two lines are
 near duplicates when the Jaccard similarity of their sets is 0.8 or more. Equal
-lines are brought together first. 21 minima of the shingles at word beginnings (and of all those
-inside long words) make 7 bands of 3; lines that share a band are verified on
+lines are brought together first. 21 minima over all shingles make 7 bands of 3; lines that share a band are verified on
 their whole sets; distributed union-find makes the components, and each keeps the first of its occurrences by (doc_id, row, line).
 """
 
@@ -68,21 +67,21 @@ def _places(piece: Column) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.length(piece) - (SHINGLE - 1), F.lit(1)))
 
 
-def _chosen(said: Column) -> Column:
-    """The shingles of a line that make its signature: those at the beginning of a word
-    and, in a word, all from its tenth character on. Whether a shingle is one depends only on what is just before it."""
-    found = F.regexp_extract_all(said, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))(?:(?<![^ ])[^ ]{{1,{SHINGLE}}}+ *+|[^ ] *+)"), F.lit(1))
-    return F.when(F.length(said) < SHINGLE, F.array(said)).otherwise(found)
+def _hashed(lines: DataFrame, text: str) -> DataFrame:
+    """(id, h) of every shingle of each line; they may repeat."""
+    pieces = lines.select("id", F.explode(_pieces(F.col(text))).alias("piece"))
+    placed = pieces.select("id", "piece", F.explode(_places(F.col("piece"))).alias("at"))
+    return placed.select("id", F.xxhash64(F.col("piece").substr(F.col("at"), F.lit(SHINGLE))).alias("h"))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, bands) of each distinct line.
+    """(id, bands) of each distinct line, from all its shingles.
 
     Lines are brought together by id, which is the one shuffle of texts; the
     shingles of a line stay in its partition, so the minima need no other.
     """
     lines = _said(docs).groupBy("id").agg(F.first("said").alias("said"))
-    hashed = lines.select("id", F.explode(_chosen(F.col("said"))).alias("piece")).select("id", F.xxhash64("piece").alias("h"))
+    hashed = _hashed(lines, "said")
     bases = ROWS
     hashed = hashed.select("id", *[F.xxhash64("h", F.lit(i)).alias(f"h{i}") for i in range(bases)])
     turns = BANDS * ROWS // bases
@@ -105,9 +104,7 @@ def lines_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def with_bits(lines: DataFrame) -> DataFrame:
     """(id, most, bits) for (id, line): the number of its shingles with repeats, and the bits that they are hashed to."""
-    pieces = lines.select("id", F.explode(_pieces(F.col("line"))).alias("piece"))
-    placed = pieces.select("id", "piece", F.explode(_places(F.col("piece"))).alias("at"))
-    hashed = placed.select("id", F.xxhash64(F.col("piece").substr(F.col("at"), F.lit(SHINGLE))).alias("h"))
+    hashed = _hashed(lines, "line")
     return hashed.groupBy("id").agg(F.count("*").alias("most"), folded(F.col("h"), BITS, F.bit_or).alias("bits"))
 
 
