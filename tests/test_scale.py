@@ -36,6 +36,8 @@ def test_views_deal_their_tables_out(spark, tmp_path):
     for view in (t.buildings, t.history, t.points):
         assert "RepartitionByExpression" in _optimized(view)
         assert view.count() == 20
+    plan = t.buildings._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
 
 
 def test_small_files_of_many_rows_are_not_broadcast_unmeasured(spark, tmp_path):
