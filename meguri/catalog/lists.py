@@ -12,6 +12,7 @@ from meguri.operators import aggregates as A
 from meguri.operators import dedup as U
 from meguri.operators import filters as L
 from meguri.operators import joins as J
+from meguri.session import only_where
 
 _ALL = tuple(vocab.STATUSES)
 _BASIC = ["id", "city", "total_units", "normalized_address", "building_name"]
@@ -87,7 +88,7 @@ def f6(t: Tables):
         F.col("building_id") % 4 == 2, "店舗付きマンション")
     rows = with_use(t.buildings.withColumn("use_value", tag), "use_value", "building_name", "_use")
     is_past = F.col("building_id") % 7 == 0
-    return rows.filter(is_past | (F.col("_use.use") != EXCLUDED)).select(
+    return only_where(rows, is_past | (F.col("_use.use") != EXCLUDED)).select(
         F.col("building_id").alias("id"), "use_value", F.col("_use.use").alias("use"))
 
 

@@ -70,3 +70,12 @@ def test_cells_hold_all_within_the_distance():
     for distance in (50.0, 200.0, 1000.0):
         lat, lon = J._snap_cell(distance)
         assert lat * 111_195 > distance and lon * 111_195 * 0.1909 > distance  # cos 79 degrees
+
+
+def test_filters_on_worked_out_columns_stay_above_the_dealing(spark, tmp_path):
+    path = str(tmp_path / "one")
+    spark.range(100).select("id", F.concat(F.lit("n"), F.col("id").cast("string")).alias("name")).coalesce(1).write.parquet(path)
+    rows = spread(spark.read.parquet(path)).withColumn("worked", F.reverse(F.upper("name"))).filter("worked <> '7N'")
+    plan = _optimized(rows)
+    assert plan.index("reverse") < plan.index("RepartitionByExpression") and "reverse" not in plan.split("RepartitionByExpression")[1]
+    assert rows.count() == 99
