@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from meguri.catalog.base import Tables
 from meguri.operators import joins as J
+from meguri.operators.dedup import first_line
 from meguri.session import settled, spread
 
 
@@ -79,3 +80,28 @@ def test_filters_on_worked_out_columns_stay_above_the_dealing(spark, tmp_path):
     plan = _optimized(rows)
     assert plan.index("reverse") < plan.index("RepartitionByExpression") and "reverse" not in plan.split("RepartitionByExpression")[1]
     assert rows.count() == 99
+
+
+def test_tables_of_some_10_000_rows_are_not_built_on_the_driver(spark, tmp_path):
+    Tables(spark, str(tmp_path))
+    stored = settled(spark.range(40_000).select("id", F.lit("x" * 20).alias("name")), "narrow")
+    names = stored.groupBy("id").agg(F.min("name").alias("name"))
+    counted = settled(spark.range(300_000), "keys").join(names, "id", "left").agg(F.count("*"), F.count("name"))
+    assert counted.collect() == [(300_000, 40_000)]
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan.split("Initial Plan")[0]
+
+
+def test_rows_of_few_bytes_stay_in_several_tasks(spark, tmp_path):
+    Tables(spark, str(tmp_path))
+    rows = spark.range(200_000).select((F.col("id") % 1000).alias("k"), F.lit("x" * 50).alias("name"))
+    assert rows.repartition("k").rdd.getNumPartitions() > 1
+
+
+def test_rows_without_a_key_do_not_meet_in_one_task(spark):
+    rows = spark.createDataFrame([("a", 2), ("", 1), ("a", 3), (None, 4), ("b", 5), ("", 6)], "building_id string, line long")
+    done = first_line(rows, "building_id")
+    assert done.columns == ["building_id", "line", "first_line"]
+    assert sorted((r["line"], r["building_id"], r["first_line"]) for r in done.collect()) == [
+        (1, "", None), (2, "a", 2), (3, "a", 2), (4, None, None), (5, "b", 5), (6, "", None)]
+    assert _optimized(done).startswith("Union")
