@@ -41,6 +41,7 @@ SHARE = (80, 100)  # the least similarity, as a fraction
 GROUPS = 32  # of common shingles, by hash
 CROWD = 32  # ids in a bucket above which it is crowded
 PARITY = 16  # words of 64 bits for each set: the parities of its shingles by hash
+MARK = 40  # bits of a signature's hash
 SENT = 2_000_000  # hashes that may be sent to every task; more are joined
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -139,7 +140,11 @@ def spares(starts: np.ndarray, values: np.ndarray, bands: Bands) -> tuple[np.nda
 
 def signatures(starts: np.ndarray, values: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(set, signature) for each set's own band and the one below; the last 8
-    bits of a signature are its band."""
+    bits of a signature are its band, the MARK bits before them its hash.
+
+    Nearly all that is shuffled are signatures, and zeros take next to no room there. Two different
+    ones that are equal by chance add a pair to be verified and lose none.
+    """
     sizes = np.diff(starts)
     own = bands.band(sizes)
     spread = mixed(values ^ np.uint64(0xA24BAED4963EE407))
@@ -158,7 +163,7 @@ def signatures(starts: np.ndarray, values: np.ndarray, bands: Bands) -> tuple[np
             number = (there - first[of]).astype(np.uint64)
             sig = mixed(total + mixed(number * np.uint64(256) + band[of].astype(np.uint64) + np.uint64(1)))
         sets.append(of)
-        sigs.append((sig & ~np.uint64(255)) | band[of].astype(np.uint64))
+        sigs.append(((sig >> np.uint64(64 - MARK)) << np.uint64(8)) | band[of].astype(np.uint64))
     return np.concatenate(sets), np.concatenate(sigs).view(np.int64)
 
 

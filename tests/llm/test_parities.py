@@ -45,3 +45,16 @@ def test_buckets_counted_where_they_lie(spark):
         got[r["bucket"]].append((r["own"], list(r["ids"])))
     assert got[1] == [(None, list(range(crowd)))] and got[4] == [(None, [1, 2])] and 3 not in got
     assert sorted(got[2]) == [(k, [k]) for k in range(crowd + 1)]
+
+
+def test_signatures_leave_bytes_empty():
+    """What is shuffled most: zeros ahead of the hash, and different signatures all the same."""
+    rng = np.random.default_rng(7)
+    values = rng.choice(1 << 62, 40_000, replace=False).astype(np.uint64)
+    starts = np.arange(0, 40_001, 200)
+    bands = ngram_join.Bands()
+    of, sigs = ngram_join.signatures(starts, values, bands)
+    assert len(of) > 10_000
+    assert sigs.min() >= 0 and sigs.max() < 1 << (ngram_join.MARK + 8)
+    assert len(np.unique(sigs)) == len(sigs)
+    assert set((sigs & 255).tolist()) == {int(bands.band(np.array([200]))[0]) - k for k in (0, 1)}
