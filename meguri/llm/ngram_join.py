@@ -7,7 +7,8 @@ sets; the domain of shingles is cut into n > k partitions, so at least n - k
 partitions have no difference. Each non-empty partition of a set gives one
 signature: band, partition and the shingles in it. Two sets with such a
 similarity therefore share a signature whenever one of them has more than k that are
-non-empty. Small sets may have no more than k; these scant sets also meet one another on
+non-empty. Of these a set gives some more than k, the least by their hash, which
+are enough to share one. Small sets may have no more than k; these scant sets also meet one another on
 their single shingles.
 
 A set may leave out signatures as long as more than k remain. Those in crowded
@@ -112,6 +113,8 @@ class Bands:
         # |A| <= top, |B| <= |A| q / p, and a difference is at most (|A| + |B|) (q - p) / (q + p)
         self.differ = np.array([(t + t * q // p) * (q - p) // (q + p) for t in tops], dtype=np.int64)
         self.parts = np.where(self.differ == 0, 1, self.differ + 1 + np.maximum(least_spare, np.ceil(spare * self.differ)).astype(np.int64))
+        # signatures that a set gives beyond k + 1, if it has them
+        self.more = np.maximum(least_spare, -(-self.differ // 8))
 
     def band(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.tops, sizes, side="left")
@@ -128,13 +131,13 @@ def _slots(starts: np.ndarray, values: np.ndarray, bands: Bands, lower: int) ->
 
 
 def spares(starts: np.ndarray, values: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """How many signatures each set can leave out in its own band and in the one
-    below: those beyond k + 1; may be negative."""
+    """How many of the signatures it gives each set can leave out in its own band and in
+    the one below: those beyond k + 1; may be negative."""
     out = []
     for lower in (0, 1):
         band, first, slot = _slots(starts, values, bands, lower)
         filled = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=int(first[-1])) > 0)])
-        out.append(filled[first[1:]] - filled[first[:-1]] - bands.differ[band] - 1)
+        out.append(np.minimum(filled[first[1:]] - filled[first[:-1]] - bands.differ[band] - 1, bands.more[band]))
     return out[0], out[1]
 
 
@@ -142,6 +145,10 @@ def signatures(starts: np.ndarray, values: np.ndarray, bands: Bands) -> tuple[np
     """(set, signature) for each set's own band and the one below; the last 8
     bits of a signature are its band, the MARK bits before them its hash.
 
+    Of its signatures in a band a set gives the least k + 1 + ``more`` by hash. Of two linked sets the
+    one with f of them shares at least f - k, so the j-th that they share is among the least k + j of
+    both: of those given they share at least all but k of what either one gives.
+
     Nearly all that is shuffled are signatures, and zeros take next to no room there. Two different
     ones that are equal by chance add a pair to be verified and lose none.
     """
@@ -161,9 +168,14 @@ def signatures(starts: np.ndarray, values: np.ndarray, bands: Bands) -> tuple[np
         with np.errstate(over="ignore"):  # sums of halves are whole below 2^53, so for 2^21 shingles in a slot
             total = (np.bincount(slot, high, n)[there].astype(np.uint64) << np.uint64(32)) + np.bincount(slot, low, n)[there].astype(np.uint64)
             number = (there - first[of]).astype(np.uint64)
-            sig = mixed(total + mixed(number * np.uint64(256) + band[of].astype(np.uint64) + np.uint64(1)))
+            sig = mixed(total + mixed(number * np.uint64(256) + band[of].astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - MARK)
+        order = np.lexsort((sig, of))
+        of, sig = of[order], sig[order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        given = rank < (bands.differ + 1 + bands.more)[band[of]]
+        of, sig = of[given], sig[given]
         sets.append(of)
-        sigs.append(((sig >> np.uint64(64 - MARK)) << np.uint64(8)) | band[of].astype(np.uint64))
+        sigs.append((sig << np.uint64(8)) | band[of].astype(np.uint64))
     return np.concatenate(sets), np.concatenate(sigs).view(np.int64)
 
 

@@ -58,3 +58,28 @@ def test_signatures_leave_bytes_empty():
     assert sigs.min() >= 0 and sigs.max() < 1 << (ngram_join.MARK + 8)
     assert len(np.unique(sigs)) == len(sigs)
     assert set((sigs & 255).tolist()) == {int(bands.band(np.array([200]))[0]) - k for k in (0, 1)}
+
+
+def test_a_set_gives_no_more_signatures_than_it_needs():
+    """k + 1 and a few in each band; linked sets share all but k of what either one gives."""
+    rng = np.random.default_rng(11)
+    bands, sets = ngram_join.Bands(), []
+    for size in (3, 9, 40, 200, 1000):
+        for _ in range(4):
+            x = rng.choice(1 << 62, size, replace=False).astype(np.uint64)
+            apart = rng.integers(0, size // 9 + 1)  # so many of either set are its own
+            sets += [x, np.concatenate([x[apart:], rng.choice(1 << 62, apart, replace=False).astype(np.uint64)])]
+    starts, values = np.concatenate([[0], np.cumsum([len(x) for x in sets])]), np.concatenate(sets)
+    own = bands.band(np.diff(starts))
+    of, sigs = ngram_join.signatures(starts, values, bands)
+    spare, _ = ngram_join.spares(starts, values, bands)
+    given = defaultdict(set)
+    for i, s in zip(of.tolist(), sigs.tolist()):
+        given[i, s & 255].add(s)
+    assert all(len(g) <= bands.differ[b] + 1 + bands.more[b] for (_, b), g in given.items())
+    large = [i for i in range(len(sets)) if len(sets[i]) == 1000]
+    assert all(len(given[i, int(own[i])]) == bands.differ[own[i]] + 1 + bands.more[own[i]] < bands.parts[own[i]] for i in large)
+    for i in range(0, len(sets), 2):  # of one size, so they meet in their own band
+        b = int(own[i])
+        if bands.differ[b]:
+            assert len(given[i, b] & given[i + 1, b]) >= max(spare[i], spare[i + 1]) + 1
