@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from meguri.llm import alignment
 from meguri.llm.common import table
@@ -141,6 +142,30 @@ def test_links_and_windows(spark, libraries, monkeypatch):
     assert all((x == y).all() for x, y in zip(whole, alignment.end_links(found)))
 
 
+def test_group_links_by_products(monkeypatch):
+    texts = ["hello world of tokens", "日本語 the end", None, "naïve café 12345", "# " + "#" * 3001, "", "0" * 500]
+    vocab = alignment.vocabularies(alignment.TOKENIZERS)
+    found = alignment.encoded(texts, vocab)
+    n = len(found.cuts)
+    want = np.bincount(found.groups_b, minlength=n)[found.groups_a]
+    assert want.max() > 50  # a group of many tokens of both
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    sizes = []
+    monkeypatch.setattr(alignment, "product", lambda x, y: sizes.append(len((m := product(x, y)).columns)) or m)
+    for links, window in ((alignment.LINKS, alignment.WINDOW), (40, alignment.WINDOW), (1, 7)):
+        monkeypatch.setattr(alignment, "LINKS", links)
+        monkeypatch.setattr(alignment, "WINDOW", window)
+        assert (alignment.group_links(found) == want).all()
+        sizes.clear()
+        rows = alignment._read(batch, vocab).to_pydict()
+        # each link that is counted is an entry of a product
+        assert sum(sizes) == sum(rows["n_overlaps"]) + sum(rows["n_shared"])
+        assert rows["n_shared"] == alignment._sums(want, found.sizes_a).tolist()
+    part = next(alignment.windows(found))
+    monkeypatch.setattr(alignment, "LINKS", 40)
+    assert all(len(m.columns) <= max(40, np.diff(m.starts)[0]) for _, m in alignment.shared_groups(found, part))
+
+
 def test_products():
     rng = np.random.default_rng(5)
     for _ in range(30):
