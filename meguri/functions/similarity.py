@@ -166,11 +166,14 @@ def block_relation(a: Column, b: Column, depth: Column | None = None) -> Column:
     )
 
 
+APART = 0.5  # of the likeness of localities that do not agree
+
+
 def address_score(a: Column, b: Column, exact: Column, local: Column, relation: Column, depth: Column) -> Column:
     share = depth / F.greatest(F.size(a["blocks"]), F.size(b["blocks"]), F.lit(1))
     return (
         F.when(exact, 1.0)
-        .when(~local, levenshtein_ratio(a["locality"], b["locality"]) * 0.5)
+        .when(~local, levenshtein_ratio(a["locality"], b["locality"]) * APART)
         .when(relation == "equal", 0.97)
         .when(relation == "prefix", 0.85 + 0.1 * share)
         .when(relation == "divergent", 0.45 + 0.25 * share)

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meguri.functions import geo, vocab
@@ -27,7 +27,7 @@ from meguri.functions.address import with_address
 from meguri.functions.names import with_name
 from meguri.functions.parse import metres_text, percent_text
 from meguri.functions.similarity import (
-    JARO_WEIGHT, address_score, block_relation, common_depth, compared_names, levenshtein_ratio, name_similarity, round4,
+    APART, JARO_WEIGHT, address_score, block_relation, common_depth, compared_names, levenshtein_ratio, name_similarity, round4,
     same_locality,
 )
 from meguri.operators.dedup import order_columns, top_per_key
@@ -288,15 +288,52 @@ def _blank_pairs(t: DataFrame, e: DataFrame) -> DataFrame:
     return blank_t.unionByName(blank_e)
 
 
-def _near_pairs(t: DataFrame, e: DataFrame, th: Thresholds) -> DataFrame:
-    """Pairs within ``nearby_m`` metres, met on 3 x 3 cells."""
+def _near_pairs(t: DataFrame, e: DataFrame, th: Thresholds, top: int | None) -> DataFrame:
+    """Pairs within ``nearby_m`` metres, met on 3 x 3 cells; of each target's, those that may be among its best ``top``.
+
+    Rows of one spot and locality are a class, and classes meet before rows do. Localities that do not agree give the
+    address score; those that do, the least it can be. Within ``same_place_m`` every pair is a candidate whatever
+    the names, so a class that meets enough rows there has no use for classes that cannot score as much.
+    """
     scale = max(1.0, th.nearby_m / 30.0)
     size = (geo.LAT_CELL_30M * scale, geo.LON_CELL_30M * scale)
-    located = lambda df, s: df.filter(F.col(f"{s}.latitude").isNotNull() & F.col(f"{s}.longitude").isNotNull())
-    asked = located(t, "t").withColumn("_cell", F.explode(geo.neighbour_cells(F.col("t.latitude"), F.col("t.longitude"), *size)))
-    stored = located(e, "e").withColumn("_cell", geo.home_cell(F.col("e.latitude"), F.col("e.longitude"), *size))
-    m = geo.distance_m(F.col("t.latitude"), F.col("t.longitude"), F.col("e.latitude"), F.col("e.longitude"))
-    return asked.join(stored, "_cell").select("t", "e").filter(m <= th.nearby_m)
+
+    def located(df: DataFrame, side: str) -> DataFrame:
+        at, spot = F.col(side), F.struct(F.col(f"{side}.latitude").alias("la"), F.col(f"{side}.longitude").alias("lo"), F.col(f"{side}.addr.locality").alias("loc"))
+        return df.filter(at["latitude"].isNotNull() & at["longitude"].isNotNull()).withColumn(f"{side}_spot", spot)
+
+    asked, stored = located(t, "t"), located(e, "e")
+    ts, es = F.col("t_spot"), F.col("e_spot")
+    # An id counts once, so that rows that come twice do not pass for more candidates.
+    once = stored.filter(F.col("e.id").isNotNull()).groupBy(F.col("e.id").alias("id")).agg(F.min("e_spot").alias("e_spot"))
+    counts = once.groupBy("e_spot").agg(F.count("*").alias("n"))
+    spots = stored.select("e_spot").distinct().join(counts, "e_spot", "left")
+    here = asked.select("t_spot").distinct().withColumn("_cell", F.explode(geo.neighbour_cells(ts["la"], ts["lo"], *size)))
+    there = spots.withColumn("_cell", geo.home_cell(es["la"], es["lo"], *size))
+    m = geo.distance_m(ts["la"], ts["lo"], es["la"], es["lo"])
+    near = only_where(here.join(there, "_cell").drop("_cell").withColumn("m", m), F.col("m") <= th.nearby_m)
+    near = near.withColumn("local", F.coalesce(same_locality(ts["loc"], es["loc"]), F.lit(True)))
+    if top is not None:
+        apart = round4(levenshtein_ratio(ts["loc"], es["loc"]) * APART)
+        scored = near.withColumns({
+            "least": F.when(F.col("local"), 0.0).otherwise(apart), "most": F.when(F.col("local"), 1.0).otherwise(apart),
+            "sure": F.when(F.col("m") <= th.same_place_m, F.col("n")).otherwise(0),
+        })
+        best_first = Window.partitionBy("t_spot").orderBy(F.col("least").desc())
+        through = scored.withColumn("through", F.sum("sure").over(best_first))  # one more, as a target may be stored itself
+        enough = F.max(F.when(F.col("through") > top, F.col("least"))).over(Window.partitionBy("t_spot"))
+        near = through.withColumn("enough", enough).filter(F.col("enough").isNull() | (F.col("most") >= F.col("enough")))
+    near = settled(near.select("t_spot", "e_spot", "local"), "spots")
+
+    def meeting(local: bool, rows: DataFrame) -> DataFrame:
+        return asked.join(near.filter(F.col("local") == local), "t_spot").join(rows, "e_spot").select("t", "e")
+
+    if top is None:
+        return meeting(True, stored).unionByName(meeting(False, stored))
+    # Apart from its locality an address counts for nothing there, so rows of one class and name score alike.
+    alike = Window.partitionBy("e_spot", "e.name").orderBy("e.order")
+    few = stored.withColumn("_n", F.dense_rank().over(alike)).filter(F.col("_n") <= top + 1).drop("_n")
+    return meeting(True, stored).unionByName(meeting(False, few))
 
 
 def _unsaturated(placed: DataFrame, found: DataFrame, ceiling: float, top: int | None) -> DataFrame:
@@ -333,7 +370,7 @@ def match_candidates(targets: DataFrame, existing: DataFrame, top: int | None =
         open_t.withColumn("t_loc", F.col("t.addr.locality")).join(localities, "t_loc").drop("t_loc"), "placed"
     )
     not_self = F.col("t.id") != F.col("e.id")
-    pairs = _close_pairs(placed, e).unionByName(_blank_pairs(placed, e)).unionByName(_near_pairs(open_t, e, th))
+    pairs = _close_pairs(placed, e).unionByName(_blank_pairs(placed, e)).unionByName(_near_pairs(open_t, e, th, top))
     found = settled(_scored(pairs.filter(not_self), th), "close")
     # Blocks that agree on d numbers and then differ score at most
     # 0.45 + 0.25 d / (d + 1); a target full above that has no use for them.

@@ -114,3 +114,28 @@ def test_stated_cases(spark):
     assert status["4"][0] == "POSSIBLE_DUPLICATE"
     assert "座標距離" in " ".join(rows["5", 1]["reasons"])
     assert status["6"][0] == "NOT_DISTRIBUTED"  # not matched with itself
+
+
+def test_a_crowded_spot_is_scored_for_the_best_only(spark, monkeypatch):
+    """Many served rows at one spot: the best of each target as by all pairs, while few pairs have their names scored."""
+    rng = random.Random(4)
+    wards = ["荒川区東日暮里", "台東区谷中", "台東区谷中一", "北区田端", "架空区桜町", "東日暮里", ""]
+    names = ["グランド", "SUN", "ロイヤル", "コーポ", "メゾン", "ハイツ", "PARK", "さくら", "丸十"]
+    row = lambda i, side: (f"{side}{i:03d}", rng.choice(names) + rng.choice(names) + str(rng.randint(1, 30)), f"{rng.choice(wards)}{rng.randint(1, 9)}-{rng.randint(1, 20)}-{rng.randint(1, 9)}", 35.73 + rng.choice([0, 0, 0.00004, 0.0002]), 139.78)
+    existing = [row(i, "e") for i in range(150)]
+    existing += [(f"s{i}", "同じ名前", f"新宿区四谷{i}-1", 35.73, 139.78) for i in range(9)]  # one name, one locality, other blocks
+    existing.append(("e900", "名無し", None, 35.73, 139.78))
+    targets = [row(i, "t") for i in range(30)] + existing[:8] + [("t900", "名無し", None, 35.73, 139.78), ("t901", "", "新宿区四谷三99", 35.73004, 139.78)]
+    scored, inner = [], M._scored
+    monkeypatch.setattr(M, "_scored", lambda pairs, th: scored.append(pairs.count()) or inner(pairs, th))
+    t, e = spark.createDataFrame(targets, SCHEMA), spark.createDataFrame(existing, SCHEMA)
+    got = {}
+    for r in M.match_candidates(t, e, 3).orderBy("target_id", "rank").collect():
+        got.setdefault(r["target_id"], []).append(r["existing_id"])
+    assert got == _brute_force(t, e, 3)
+    assert scored[0] < len(targets) * len(existing) / 2
+    # rows that come twice are no more candidates than once
+    again = {}
+    for r in M.match_candidates(t.filter("id like 't%'"), e.union(e.filter("id < 'e060'")), 3).orderBy("target_id", "rank").collect():
+        again.setdefault(r["target_id"], []).append(r["existing_id"])
+    assert again == {k: v for k, v in got.items() if k.startswith("t")}
