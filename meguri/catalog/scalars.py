@@ -8,6 +8,7 @@ from meguri.catalog.base import Tables, query, sql_jaro_winkler, sql_metres, sql
 from meguri.functions import address as P
 from meguri.functions import geo, names, osm, parse, similarity, use, vocab
 from meguri.operators import aggregates as A
+from meguri.operators import joins as J
 
 # The address of every building in five spellings.
 _SPELLINGS = """
@@ -310,10 +311,8 @@ def n1(t: Tables):
 @query("n1_same_name_in_two_scripts", f"""
 WITH n AS ({_LISTED}) SELECT a.building_id, b.building_id AS other_id, 1.0::DOUBLE AS score FROM n a JOIN n b ON a.c = b.c AND a.building_id < b.building_id""")
 def n1_same(t: Tables):
-    n = names.with_name(t.names, "name", "f").select("building_id", "f", F.col("f.canonical").alias("c"))
-    m = n.select(F.col("building_id").alias("other_id"), F.col("f").alias("g"), "c")
-    both = n.join(m, "c").filter("building_id < other_id")
-    return both.select("building_id", "other_id", similarity.name_similarity(F.col("f"), F.col("g"))["score"].alias("score"))
+    named = names.with_name(t.names, "name", "f").select("building_id", "f")
+    return J.same_name_pairs(named, lambda f, g: similarity.name_similarity(f, g)["score"])
 
 
 @query("j7_address_similarity", """

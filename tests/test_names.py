@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from meguri.functions import names as N
 from meguri.functions import similarity as S
+from meguri.operators import joins as J
 
 # (a, b, score): the stated measurements, and bounds where only bounds are stated.
 MEASURED = [
@@ -75,3 +76,19 @@ def test_a_piece_is_romanized_once(spark):
     assert got["Customer#12"] == (["kustomer12"], "Customer#12")
     assert got["丸十"] == (["丸十"], "丸十") and got[""] == ([], "") and got[None] == (None, None)
     assert got["K-2 ß１"][1] == "K2 ß１" and got["サンABC－ッー"][1] == "sanABC"
+
+
+@pytest.mark.parametrize("paired", [2, 1024])
+def test_pairs_of_one_name(spark, monkeypatch, paired):
+    """Every two rows of one canonical name, whatever the block they lie in, as by scoring each pair of rows."""
+    monkeypatch.setattr(J, "PAIRED", paired)
+    said = ["グランドメゾン１", "GRAND MAISON 1", "grand maison1", "サンハイツ", "SUN Heights", "マンション", "アパート", "", None, "丸十"]
+    rows = [(i, said[i * i % 10]) for i in range(60)] + [(3, "サンハイツ"), (3, "サンハイツ"), (4, "SUN Heights"), (None, "丸十")]
+    named = N.with_name(spark.createDataFrame(rows, "building_id long, name string"), "name", "f").select("building_id", "f").cache()
+    score = lambda f, g: S.name_similarity(f, g)["score"]
+    other = named.select(F.col("building_id").alias("other_id"), F.col("f").alias("g"))
+    every = named.join(other, (F.col("f.canonical") == F.col("g.canonical")) & (F.col("building_id") < F.col("other_id")))
+    want = sorted(tuple(r) for r in every.select("building_id", "other_id", score(F.col("f"), F.col("g"))).collect())
+    got = sorted(tuple(r) for r in J.same_name_pairs(named, score).select("building_id", "other_id", "score").collect())
+    assert len(want) > 300 and {s for _, _, s in want} > {1.0}
+    assert got == want
