@@ -68,10 +68,16 @@ def _places(piece: Column) -> Column:
 
 
 def _hashed(lines: DataFrame, text: str) -> DataFrame:
-    """(id, h) of every shingle of each line; they may repeat."""
+    """(id, h) of every shingle of each line; they may repeat.
+
+    Characters are found by walking a text, bytes at once: stretches whose characters are single
+    bytes are cut as bytes, which have the hash of the text they are.
+    """
     pieces = lines.select("id", F.explode(_pieces(F.col(text))).alias("piece"))
-    placed = pieces.select("id", "piece", F.explode(_places(F.col("piece"))).alias("at"))
-    return placed.select("id", F.xxhash64(F.col("piece").substr(F.col("at"), F.lit(SHINGLE))).alias("h"))
+    single = F.when(F.octet_length("piece") == F.length("piece"), F.col("piece").cast("binary"))
+    placed = pieces.withColumn("raw", single).select("id", "piece", "raw", F.explode(_places(F.col("piece"))).alias("at"))
+    of = lambda c: F.xxhash64(F.col(c).substr(F.col("at"), F.lit(SHINGLE)))
+    return placed.select("id", F.when(F.col("raw").isNotNull(), of("raw")).otherwise(of("piece")).alias("h"))
 
 
 def signatures(docs: DataFrame) -> DataFrame:

@@ -36,3 +36,16 @@ def test_every_shingle_counts(spark):
     for text, n in (("abcdefghij klm", 6), ("short", 1)):
         rows = line_dedup._hashed(docs.filter(docs.text == text).selectExpr("doc_id AS id", "text"), "text")
         assert rows.count() == n
+
+
+def test_shingles_have_the_hash_of_their_text(spark):
+    """Whether a stretch is cut as bytes or as characters; lines mix both, and only single bytes are cut as bytes."""
+    rng = random.Random(5)
+    texts = ["short", "日本", "é", "abcdefgh", "abcdefghi", "日本語" * 30, "\0a\x7f" * 9, "x" * 200]
+    texts += ["".join(rng.choice("ab cé日😀" if k % 2 else "abcde fg") for _ in range(rng.randrange(1, 150))) for k in range(40)]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    shingles = [(i, t[k : k + 9]) for i, t in enumerate(texts) for k in range(max(1, len(t) - 8))]
+    want = sorted(tuple(r) for r in spark.createDataFrame(shingles, "id long, s string").selectExpr("id", "xxhash64(s)").collect())
+    hashed = line_dedup._hashed(lines, "text")
+    assert sorted(tuple(r) for r in hashed.collect()) == want
+    assert "as binary" in hashed._jdf.queryExecution().optimizedPlan().toString()
